@@ -1,0 +1,34 @@
+"""Join policy: broadcast only behind a size check, shuffle joins otherwise.
+
+``broadcast_if_small`` reads Catalyst's size estimate of the optimized plan.
+For file scans this is the bytes on storage (scaled by the projection), for
+filters it is the child's size (never reduced), so it is an upper bound on
+the rows the scan returns. Sides above the limit are left to the planner:
+sort-merge join, which AQE may still turn into a broadcast at run time from
+measured shuffle sizes, and whose skewed partitions AQE splits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Compressed Parquet can expand several times in memory; keep the bound low.
+DEFAULT_BROADCAST_LIMIT = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the plan's output size, or None if unavailable."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString())
+    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
+        return None
+
+
+def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """Mark ``df`` for broadcast only if its estimated size is within ``limit``."""
+    size = estimated_bytes(df)
+    if size is not None and size <= limit:
+        return F.broadcast(df)
+    return df
