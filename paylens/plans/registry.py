@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.operators import activity
+from paylens.operators import activity, ledger, matching
+from paylens.plans import params as P
 from paylens.sources.adapters import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +60,95 @@ def _c2_user_behaviour(d: Dataset) -> DataFrame:
 @register("c2_high_decline")
 def _c2_high_decline(d: Dataset) -> DataFrame:
     return activity.high_decline(d.transactions())
+
+
+# ---- ledger (accounts payable) -------------------------------------------------
+@register("ap_open_balance")
+def _ap_open_balance(d: Dataset) -> DataFrame:
+    return ledger.open_balance(d.bills(), d.payment_applications())
+
+
+@register("ap_unapplied_payments")
+def _ap_unapplied_payments(d: Dataset) -> DataFrame:
+    return ledger.open_balance(
+        d.payments_ap(),
+        d.payment_applications(),
+        "payment_id",
+        keep=(),
+        names=("payment_amount", "applied_amount", "unapplied_amount"),
+    )
+
+
+@register("ap_unpaid_bills")
+def _ap_unpaid_bills(d: Dataset) -> DataFrame:
+    return ledger.unpaid_bills(d.bills(), d.payment_applications())
+
+
+@register("ap_vendor_debt")
+def _ap_vendor_debt(d: Dataset) -> DataFrame:
+    return ledger.debt_by_party(d.bills(), d.payment_applications())
+
+
+@register("ap_vendor_debt_as_of")
+def _ap_vendor_debt_as_of(d: Dataset) -> DataFrame:
+    return ledger.debt_as_of(d.vendors(), d.bills(), d.payment_applications(), P.AS_OF)
+
+
+@register("ap_aging")
+def _ap_aging(d: Dataset) -> DataFrame:
+    return ledger.aging(d.vendors(), d.bills(), d.payment_applications(), P.AS_OF)
+
+
+# ---- matching (accounts receivable) -----------------------------------------------
+def _ar(d: Dataset) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return d.invoices(), d.cash_applications(), d.payments()
+
+
+@register("ar_invoice_list")
+def _ar_invoice_list(d: Dataset) -> DataFrame:
+    return matching.invoice_list(d.invoices())
+
+
+@register("ar_matching")
+def _ar_matching(d: Dataset) -> DataFrame:
+    return matching.match(*_ar(d))
+
+
+@register("ar_unallocated_payments")
+def _ar_unallocated_payments(d: Dataset) -> DataFrame:
+    return matching.unallocated(d.payments(), d.cash_applications())
+
+
+@register("ar_paid_before_invoice")
+def _ar_paid_before_invoice(d: Dataset) -> DataFrame:
+    return matching.paid_before_issue(*_ar(d))
+
+
+@register("ar_days_to_pay")
+def _ar_days_to_pay(d: Dataset) -> DataFrame:
+    return matching.days_to_pay(*_ar(d))
+
+
+@register("ar_avg_days_to_pay")
+def _ar_avg_days_to_pay(d: Dataset) -> DataFrame:
+    return matching.avg_days_to_pay(*_ar(d))
+
+
+@register("ar_timeliness")
+def _ar_timeliness(d: Dataset) -> DataFrame:
+    return matching.timeliness(*_ar(d))
+
+
+@register("ar_timeliness_summary")
+def _ar_timeliness_summary(d: Dataset) -> DataFrame:
+    return matching.timeliness_summary(*_ar(d))
+
+
+@register("ar_timeliness_by_customer")
+def _ar_timeliness_by_customer(d: Dataset) -> DataFrame:
+    return matching.timeliness_by_customer(*_ar(d), d.customers())
+
+
+@register("ar_slowest_paid")
+def _ar_slowest_paid(d: Dataset) -> DataFrame:
+    return matching.slowest_paid(*_ar(d), d.customers())
