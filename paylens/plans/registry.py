@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.operators import activity, ledger, matching
+from pyspark.sql import functions as F
+
+from paylens.operators import activity, concentration, ledger, matching, recency, trailing
 from paylens.plans import params as P
 from paylens.sources.adapters import Dataset
 
@@ -152,3 +154,71 @@ def _ar_timeliness_by_customer(d: Dataset) -> DataFrame:
 @register("ar_slowest_paid")
 def _ar_slowest_paid(d: Dataset) -> DataFrame:
     return matching.slowest_paid(*_ar(d), d.customers())
+
+
+# ---- recency, concentration, trailing windows ------------------------------------
+@register("c1_multi_card_24h")
+def _c1_multi_card_24h(d: Dataset) -> DataFrame:
+    return recency.recent_activity(d.transactions())
+
+
+@register("c1_multi_device_24h")
+def _c1_multi_device_24h(d: Dataset) -> DataFrame:
+    return recency.recent_distinct(d.transactions(), "device_id", 24, 2, name="devices_last_24h")
+
+
+@register("c1_chargeback_burst")
+def _c1_chargeback_burst(d: Dataset) -> DataFrame:
+    tx = d.transactions()
+    return trailing.consecutive_gap(tx.filter(F.col("tx_type") == activity.CHARGEBACK), 48)
+
+
+@register("c1_card_testing")
+def _c1_card_testing(d: Dataset) -> DataFrame:
+    small = trailing.small_purchases(d.transactions())
+    return trailing.trailing_count(small, P.CARD_TESTING_WINDOW, P.CARD_TESTING_MIN, name="purchases_in_1h")
+
+
+@register("c1_multi_country_24h")
+def _c1_multi_country_24h(d: Dataset) -> DataFrame:
+    return trailing.trailing_distinct(d.transactions(), "country", "24 hours", 2, name="countries_in_24h", n=10)
+
+
+@register("c2_velocity_24h")
+def _c2_velocity_24h(d: Dataset) -> DataFrame:
+    return recency.recent_count(d.transactions(), 24, name="tx_24h")
+
+
+@register("c2_multi_device_24h")
+def _c2_multi_device_24h(d: Dataset) -> DataFrame:
+    return recency.recent_distinct(d.transactions(), "device_id", 24, 3, name="device_id_count")
+
+
+@register("c2_multi_country_24h")
+def _c2_multi_country_24h(d: Dataset) -> DataFrame:
+    return recency.recent_distinct(d.transactions(), "country", 24, 2, name="distinct_country_count")
+
+
+@register("c2_decline_storm")
+def _c2_decline_storm(d: Dataset) -> DataFrame:
+    declined = F.col("status") == activity.DECLINED
+    return recency.recent_count(
+        d.transactions(), 24, when=declined, min_count=P.DECLINE_STORM_MIN, name="declined_count"
+    )
+
+
+@register("c2_merchant_concentration")
+def _c2_merchant_concentration(d: Dataset) -> DataFrame:
+    return concentration.concentration(d.transactions(), "merchant_id", P.CONCENTRATION_MIN_RATIO, 10)
+
+
+@register("c2_rapid_merchant_switch")
+def _c2_rapid_merchant_switch(d: Dataset) -> DataFrame:
+    return trailing.trailing_distinct(
+        d.transactions(),
+        "merchant_id",
+        P.MERCHANT_SWITCH_WINDOW,
+        P.MERCHANT_SWITCH_MIN,
+        name="merchants_1h",
+        order_by_time_desc=True,
+    )
