@@ -415,3 +415,36 @@ b AS (
 SELECT user_id, transaction_time, merchants_1h FROM b
 WHERE merchants_1h >= {P.MERCHANT_SWITCH_MIN}
 ORDER BY merchants_1h DESC, transaction_time DESC"""
+
+# ---- schema and data-quality checks ------------------------------------------------
+ORACLE["c2_schema"] = f"""
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS cid, column_name AS name, column_type AS type
+FROM (DESCRIBE ({_with(TX)} SELECT * FROM tx))"""
+
+ORACLE["dq_primary_key"] = """
+SELECT l_orderkey, l_linenumber, COUNT(*) AS row_count
+FROM lineitem
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber
+HAVING COUNT(*) > 1"""
+
+
+def _not_null_sql() -> str:
+    from paylens.plans.registry import NOT_NULL_TABLES
+    from paylens.sources.schemas import KEYS
+
+    parts = [
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM {t}"
+        for t in NOT_NULL_TABLES
+        for c in KEYS[t][1]
+    ]
+    return _with(INVOICES, PAYMENTS, CASH_APPS, CUSTOMERS) + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["dq_not_null"] = _not_null_sql()
+
+ORACLE["dq_foreign_key"] = _with(APPS) + """,
+finished AS (SELECT o_orderkey AS bill_id FROM orders WHERE o_orderstatus = 'F')
+SELECT a.bill_id, a.payment_id, a.applied_amount, a.applied_date
+FROM apps a
+WHERE a.bill_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM finished f WHERE f.bill_id = a.bill_id)"""

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from paylens.operators import activity, concentration, ledger, matching, recency, trailing
+from paylens.operators import activity, catalog, concentration, ledger, matching, quality, recency, trailing
+from paylens.sources import adapters
+from paylens.sources.schemas import KEYS
 from paylens.plans import params as P
 from paylens.sources.adapters import Dataset
 
@@ -222,3 +224,38 @@ def _c2_rapid_merchant_switch(d: Dataset) -> DataFrame:
         name="merchants_1h",
         order_by_time_desc=True,
     )
+
+
+# ---- schema and data-quality checks ------------------------------------------------
+@register("c2_schema")
+def _c2_schema(d: Dataset) -> DataFrame:
+    return catalog.describe(d.transactions())
+
+
+@register("dq_primary_key")
+def _dq_primary_key(d: Dataset) -> DataFrame:
+    return quality.duplicate_keys(d.raw("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+NOT_NULL_TABLES = ("invoices", "payments", "cash_applications", "customers")
+
+
+@register("dq_not_null")
+def _dq_not_null(d: Dataset) -> DataFrame:
+    frames = {
+        "invoices": d.invoices(),
+        "payments": d.payments(),
+        "cash_applications": d.cash_applications(),
+        "customers": d.customers(),
+    }
+    parts = [quality.null_counts(frames[t], KEYS[t][1], table=t) for t in NOT_NULL_TABLES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("dq_foreign_key")
+def _dq_foreign_key(d: Dataset) -> DataFrame:
+    finished_bills = adapters.bills(d.raw("orders").filter(F.col("o_orderstatus") == "F"))
+    return quality.orphans(d.payment_applications(), finished_bills, "bill_id")
