@@ -81,20 +81,27 @@ def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> Dat
 
 def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, name: str) -> DataFrame:
     b = _bucket(ts, w)
-    own = rows.select(user, F.col(ts).alias("_t"), b.alias("_b"), F.lit(1).alias("_d"), F.lit(True).alias("_probe"))
-    # a row of bucket b is context in bucket b + 1: counted from the start and
-    # removed just after t + w
-    leave = rows.select(
+    # each row enters its own bucket at t (and is a probe there), and is context
+    # in the next bucket: counted from that bucket's start, removed just after t + w
+    ev = rows.select(
         user,
-        (F.col(ts) + _interval(w, plus_micro=True)).alias("_t"),
-        (b + 1).alias("_b"),
-        F.lit(-1).alias("_d"),
-        F.lit(False).alias("_probe"),
+        F.inline(
+            F.array(
+                F.struct(F.col(ts).alias("_t"), b.alias("_b"), F.lit(1).alias("_d"), F.lit(True).alias("_probe")),
+                F.struct(
+                    (F.col(ts) + _interval(w, plus_micro=True)).alias("_t"),
+                    (b + 1).alias("_b"),
+                    F.lit(-1).alias("_d"),
+                    F.lit(False).alias("_probe"),
+                ),
+            )
+        ),
     )
-    part = Window.partitionBy(user, "_b")
-    running = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = F.sum(F.when(~F.col("_probe"), F.lit(1)).otherwise(F.lit(0))).over(part)
-    ev = own.unionByName(leave).withColumn("_n", F.sum("_d").over(running) + carried)
+    ordered = Window.partitionBy(user, "_b").orderBy("_t")
+    running = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = F.sum(F.when(~F.col("_probe"), F.lit(1)).otherwise(F.lit(0))).over(whole)
+    ev = ev.withColumn("_n", F.sum("_d").over(running) + carried)
     return (
         ev.filter("_probe")
         .groupBy(user, "_b", "_t")
@@ -150,17 +157,35 @@ def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, na
 
 
 def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, name: str) -> DataFrame:
-    b = _bucket(ts, w)
-    occ = rows.filter(F.col(value).isNotNull()).select(user, ts, value, b.alias("_b"))
-    occ = occ.unionByName(occ.withColumn("_b", F.col("_b") + 1))  # context copy in the next bucket
+    # every row in its own bucket (_c = 0) and as context in the next one (_c = 1)
+    copies = rows.select(user, ts, value, _bucket(ts, w).alias("_b0"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_c"))
+    copies = copies.withColumn("_b", F.col("_b0") + F.col("_c"))
     by_value = Window.partitionBy(user, "_b").orderBy(value, ts)
     nxt = F.when(F.lead(value).over(by_value) == F.col(value), F.lead(ts).over(by_value))
-    occ = occ.withColumn("_leave", F.least(nxt, F.col(ts) + _interval(w, plus_micro=True)))
-    enter = occ.select(user, "_b", F.col(ts).alias("_t"), F.lit(1).alias("_d"), F.lit(False).alias("_probe"))
-    leave = occ.select(user, "_b", F.col("_leave").alias("_t"), F.lit(-1).alias("_d"), F.lit(False).alias("_probe"))
-    probe = rows.select(user, b.alias("_b"), F.col(ts).alias("_t"), F.lit(0).alias("_d"), F.lit(True).alias("_probe"))
+    copies = copies.withColumn("_leave", F.least(nxt, F.col(ts) + _interval(w, plus_micro=True)))
+    has = F.col(value).isNotNull()
+    # a value occurrence counts from t until the earlier of t + w and the next
+    # occurrence of the same value; a row's own copy is also a probe
+    ev = copies.select(
+        user,
+        "_b",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col(ts).alias("_t"),
+                    F.when(has, F.lit(1)).otherwise(F.lit(0)).alias("_d"),
+                    (F.col("_c") == 0).alias("_probe"),
+                ),
+                F.struct(
+                    F.col("_leave").alias("_t"),
+                    F.when(has, F.lit(-1)).otherwise(F.lit(0)).alias("_d"),
+                    F.lit(False).alias("_probe"),
+                ),
+            )
+        ),
+    ).filter((F.col("_d") != 0) | F.col("_probe"))
     running = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = enter.unionByName(leave).unionByName(probe).withColumn("_n", F.sum("_d").over(running))
+    ev = ev.withColumn("_n", F.sum("_d").over(running))
     return (
         ev.filter("_probe")
         .groupBy(user, "_b", "_t")
