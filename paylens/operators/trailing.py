@@ -12,16 +12,24 @@ k * n; so each row's window count is summed per (user, t1).
 
 Strategies:
 
-* ``"bucketed"`` (default). Time is cut into buckets of the window width w
-  (whole epoch seconds). A row's window lies in its own bucket and the one
-  before, so each bucket gets the previous bucket's rows as context and the
-  work is partitioned by (user, bucket): a user with a very long history is
-  spread over many tasks instead of one. Inside a bucket a running sum over
-  +1/-1 events (a sweep) gives every row's window count in one ordered pass:
-  a row enters at t and leaves just after t + w (count), or leaves at the
-  earlier of t + w and the next occurrence of the same value (distinct).
+* ``"bucketed"`` (default). Time is cut into buckets of width g (whole epoch
+  seconds; ``bucket``, default the window width w) and the work is
+  partitioned by (user, bucket), so one user's history is spread over many
+  tasks; a smaller g splits a burst of one user further. Inside a bucket a
+  running sum over +1/-1 events (a sweep) gives every row's window count in
+  one ordered pass.
+
+  - count: a row is +1 at t in its own bucket and -1 just after t + w in the
+    bucket where that falls; a bucket starts from the number of rows still in
+    their window at its start, taken from per-bucket totals (a small
+    aggregate) by a cumulative sum. Two events per row whatever g is.
+  - distinct: an occurrence of a value counts from t until the earlier of
+    t + w and the next occurrence of the same value. Earlier buckets reach a
+    bucket only through the latest time per (user, value, bucket), a partial
+    aggregate replicated into the next ceil(w / g) buckets.
+
   Every result is grouped per (user, bucket, t1), which the window's
-  partitioning already satisfies, so no further shuffle happens.
+  partitioning already satisfies, so no further shuffle of the rows happens.
 * ``"window"``: one RANGE frame per user (``count`` or ``size(collect_set)``).
   Simple, but one task holds each user's whole history and the frame is
   re-aggregated per row; kept for small data and as a cross-check.
@@ -62,10 +70,19 @@ def _interval(seconds: int, plus_micro: bool = False) -> Column:
     return F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes), F.lit(s))
 
 
-def _bucket(ts: str, width: int) -> Column:
+def _bucket(ts: Column | str, width: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(width)).cast("bigint")
 
 
+def _widths(window: str | int, bucket: str | int | None) -> tuple[int, int, int]:
+    """(window seconds, bucket seconds, buckets a row can reach after its own)."""
+    w = window_seconds(window)
+    g = w if bucket is None else window_seconds(bucket)
+    if w <= 0 or g <= 0:
+        raise ValueError("window and bucket must be positive")
+    return w, g, -(-w // g)
+
+
 def _clean(df: DataFrame, user: str, ts: str, *cols: str) -> DataFrame:
     return df.select(user, ts, *cols).filter(F.col(user).isNotNull() & F.col(ts).isNotNull())
 
@@ -79,33 +96,31 @@ def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> Dat
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.sum("_n").cast("bigint").alias(name))
 
 
-def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, name: str) -> DataFrame:
-    b = _bucket(ts, w)
-    # each row enters its own bucket at t (and is a probe there), and is context
-    # in the next bucket: counted from that bucket's start, removed just after t + w
+def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str) -> DataFrame:
+    leave = F.col(ts) + _interval(w, plus_micro=True)
     ev = rows.select(
         user,
         F.inline(
             F.array(
-                F.struct(F.col(ts).alias("_t"), b.alias("_b"), F.lit(1).alias("_d"), F.lit(True).alias("_probe")),
-                F.struct(
-                    (F.col(ts) + _interval(w, plus_micro=True)).alias("_t"),
-                    (b + 1).alias("_b"),
-                    F.lit(-1).alias("_d"),
-                    F.lit(False).alias("_probe"),
-                ),
+                F.struct(F.col(ts).alias("_t"), _bucket(ts, g).alias("_b"), F.lit(1).alias("_d"), F.lit(True).alias("_probe")),
+                F.struct(leave.alias("_t"), _bucket(leave, g).alias("_b"), F.lit(-1).alias("_d"), F.lit(False).alias("_probe")),
             )
         ),
     )
-    ordered = Window.partitionBy(user, "_b").orderBy("_t")
-    running = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = F.sum(F.when(~F.col("_probe"), F.lit(1)).otherwise(F.lit(0))).over(whole)
-    ev = ev.withColumn("_n", F.sum("_d").over(running) + carried)
+    # rows still in their window at the start of each bucket: per-bucket totals
+    # are a partial aggregate (only one row per task and bucket is shuffled)
+    earlier = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = (
+        ev.groupBy(user, "_b")
+        .agg(F.sum("_d").alias("_net"))
+        .select(user, "_b", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_start"))
+    )
+    running = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    probes = ev.withColumn("_run", F.sum("_d").over(running)).filter("_probe")
     return (
-        ev.filter("_probe")
+        probes.join(start, [user, "_b"])
         .groupBy(user, "_b", "_t")
-        .agg(F.sum("_n").cast("bigint").alias(name))
+        .agg(F.sum(F.col("_run") + F.col("_start")).cast("bigint").alias(name))
         .select(user, F.col("_t").alias(ts), name)
     )
 
@@ -119,16 +134,17 @@ def trailing_count(
     user: str = "user_id",
     ts: str = "transaction_time",
     strategy: str = "bucketed",
+    bucket: str | int | None = None,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): rows of the user in [t1 - window, t1], times the rows at t1;
-    kept when >= ``min_count``."""
-    w = window_seconds(window)
+    kept when >= ``min_count``. ``bucket``: work-split width (default: window)."""
+    w, g, _ = _widths(window, bucket)
     rows = _clean(df, user, ts)
     if strategy == "window":
         counts = _count_window(rows, user, ts, w, name)
     elif strategy == "bucketed":
-        counts = _count_bucketed(rows, user, ts, w, name)
+        counts = _count_bucketed(rows, user, ts, w, g, name)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = counts.filter(F.col(name) >= min_count)
@@ -156,17 +172,25 @@ def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, na
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.max("_n").cast("bigint").alias(name))
 
 
-def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, name: str) -> DataFrame:
-    # every row in its own bucket (_c = 0) and as context in the next one (_c = 1)
-    copies = rows.select(user, ts, value, _bucket(ts, w).alias("_b0"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_c"))
-    copies = copies.withColumn("_b", F.col("_b0") + F.col("_c"))
+def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, g: int, reach: int, name: str) -> DataFrame:
+    b = _bucket(ts, g)
+    own = rows.select(user, ts, value, b.alias("_b"), F.lit(True).alias("_own"))
+    # context: latest time per (user, value, bucket), replicated into the next
+    # buckets while it can still be inside their rows' windows
+    latest = rows.filter(F.col(value).isNotNull()).groupBy(user, value, b.alias("_b0")).agg(F.max(ts).alias(ts))
+    ctx = (
+        latest.select(user, ts, value, "_b0", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_j"))
+        .select(user, ts, value, (F.col("_b0") + F.col("_j")).alias("_b"), F.lit(False).alias("_own"))
+        .filter(epoch_seconds(ts) + F.lit(w + 1) >= F.col("_b") * F.lit(g))
+    )
+    occ = own.unionByName(ctx)
     by_value = Window.partitionBy(user, "_b").orderBy(value, ts)
     nxt = F.when(F.lead(value).over(by_value) == F.col(value), F.lead(ts).over(by_value))
-    copies = copies.withColumn("_leave", F.least(nxt, F.col(ts) + _interval(w, plus_micro=True)))
+    occ = occ.withColumn("_leave", F.least(nxt, F.col(ts) + _interval(w, plus_micro=True)))
     has = F.col(value).isNotNull()
     # a value occurrence counts from t until the earlier of t + w and the next
-    # occurrence of the same value; a row's own copy is also a probe
-    ev = copies.select(
+    # occurrence of the same value; each own row is also a probe
+    ev = occ.select(
         user,
         "_b",
         F.inline(
@@ -174,7 +198,7 @@ def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int,
                 F.struct(
                     F.col(ts).alias("_t"),
                     F.when(has, F.lit(1)).otherwise(F.lit(0)).alias("_d"),
-                    (F.col("_c") == 0).alias("_probe"),
+                    F.col("_own").alias("_probe"),
                 ),
                 F.struct(
                     F.col("_leave").alias("_t"),
@@ -204,20 +228,21 @@ def trailing_distinct(
     user: str = "user_id",
     ts: str = "transaction_time",
     strategy: str = "bucketed",
+    bucket: str | int | None = None,
     n: int | None = None,
     order_by_time_desc: bool = False,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): distinct non-null ``column`` values in [t1 - window, t1];
     kept when >= ``min_count``. With ``n``, the top ``n`` by count (ties by
-    user, then time)."""
+    user, then time). ``bucket``: work-split width (default: window)."""
     name = name or f"{column}_in_window"
-    w = window_seconds(window)
+    w, g, reach = _widths(window, bucket)
     rows = _clean(df, user, ts, column)
     if strategy == "window":
         counts = _distinct_window(rows, user, ts, column, w, name)
     elif strategy == "bucketed":
-        counts = _distinct_bucketed(rows, user, ts, column, w, name)
+        counts = _distinct_bucketed(rows, user, ts, column, w, g, reach, name)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = counts.filter(F.col(name) >= min_count)
@@ -236,25 +261,28 @@ def consecutive_gap(
     *,
     user: str = "user_id",
     ts: str = "transaction_time",
+    bucket: str | int | None = None,
     ordered: bool = True,
 ) -> DataFrame:
     """Pairs of consecutive events of a user at most ``max_hours`` apart.
 
     Output: user, prev_cb_time, transaction_time, hours_diff (whole seconds /
     3600). Equal times give a gap of 0. The previous event is found with
-    ``lag`` inside buckets of width >= max_hours, each bucket seeded with the
-    latest time of the bucket before (a partial aggregate): a previous event
-    further back is more than max_hours away, so no qualifying pair is lost,
-    and a user's history is spread over (user, bucket) tasks.
+    ``lag`` inside (user, bucket) groups (bucket width default max_hours).
+    Each group is seeded with the latest time of each of the earlier buckets
+    within max_hours (a partial aggregate): an event further back is more
+    than max_hours away, so no qualifying pair is lost.
     """
-    width = max(1, int(-(-max_hours * 3600 // 1)))
+    limit = max(1, int(-(-max_hours * 3600 // 1)))
+    _, g, reach = _widths(limit, bucket)
     rows = events.select(user, ts).filter(F.col(ts).isNotNull())
-    b = _bucket(ts, width)
+    b = _bucket(ts, g)
     own = rows.select(user, F.col(ts), b.alias("_b"), F.lit(True).alias("_own"))
     seed = (
-        rows.groupBy(user, b.alias("_b"))
+        rows.groupBy(user, b.alias("_b0"))
         .agg(F.max(ts).alias(ts))
-        .select(user, ts, (F.col("_b") + 1).alias("_b"), F.lit(False).alias("_own"))
+        .select(user, ts, "_b0", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_j"))
+        .select(user, ts, (F.col("_b0") + F.col("_j")).alias("_b"), F.lit(False).alias("_own"))
     )
     order = Window.partitionBy(user, "_b").orderBy(ts)
     paired = own.unionByName(seed).withColumn("prev_cb_time", F.lag(ts).over(order))

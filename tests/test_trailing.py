@@ -59,23 +59,34 @@ def _random_rows(seed, n=600, users=6, span_hours=60):
     return out
 
 
-@pytest.mark.parametrize("window", ["1 hour", "24 hours"])
-@pytest.mark.parametrize("strategy", ["bucketed", "window"])
-def test_trailing_count_matches_self_join(spark, window, strategy):
+# (window, strategy, bucket): the default bucket is the window; finer and
+# non-dividing bucket widths must give the same answer
+CASES = [
+    ("1 hour", "window", None),
+    ("24 hours", "window", None),
+    ("1 hour", "bucketed", None),
+    ("24 hours", "bucketed", None),
+    ("1 hour", "bucketed", "7 minutes"),
+    ("24 hours", "bucketed", "5 hours"),
+    ("1 hour", "bucketed", "2 hours"),
+]
+
+
+@pytest.mark.parametrize("window,strategy,bucket", CASES)
+def test_trailing_count_matches_self_join(spark, window, strategy, bucket):
     df = spark.createDataFrame(_random_rows(11), SCHEMA)
     secs = trailing.window_seconds(window)
     want = {k: v for k, v in _brute_count(df, secs).items() if v >= 2}
-    got = trailing.trailing_count(df, window, 2, name="n", strategy=strategy)
+    got = trailing.trailing_count(df, window, 2, name="n", strategy=strategy, bucket=bucket)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("window", ["1 hour", "24 hours"])
-@pytest.mark.parametrize("strategy", ["bucketed", "window"])
-def test_trailing_distinct_matches_self_join(spark, window, strategy):
+@pytest.mark.parametrize("window,strategy,bucket", CASES)
+def test_trailing_distinct_matches_self_join(spark, window, strategy, bucket):
     df = spark.createDataFrame(_random_rows(23), SCHEMA)
     secs = trailing.window_seconds(window)
     want = {k: v for k, v in _brute_distinct(df, secs).items() if v >= 1}
-    got = trailing.trailing_distinct(df, "country", window, 1, name="n", strategy=strategy)
+    got = trailing.trailing_distinct(df, "country", window, 1, name="n", strategy=strategy, bucket=bucket)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == want
 
 
@@ -115,12 +126,12 @@ def _brute_gaps(df, max_hours):
     return sorted((tuple(r) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("max_hours", [1, 48])
-def test_consecutive_gap_matches_plain_lag(spark, max_hours):
+@pytest.mark.parametrize("max_hours,bucket", [(1, None), (48, None), (48, "7 hours"), (1, "25 minutes")])
+def test_consecutive_gap_matches_plain_lag(spark, max_hours, bucket):
     data = [(u, t, c) for u, t, c in _random_rows(5, n=300, span_hours=400) if t is not None]
     data += [(None, ts("2024-01-05 10:00:00"), "x"), (None, ts("2024-01-05 10:10:00"), "x")]
     df = spark.createDataFrame(data, SCHEMA)
-    got = sorted(rows(trailing.consecutive_gap(df, max_hours)), key=repr)
+    got = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket=bucket)), key=repr)
     assert got == _brute_gaps(df, max_hours)
     assert any(r[0] is None for r in got)  # null users form their own sequence
 
