@@ -1,0 +1,12 @@
+"""Incremental loading of new rows into the tables.
+
+The source analyses have no streaming operators; rows arrive through
+``INSERT`` statements. At scale that is an append of new files, which
+``ingest.append_stream`` runs as a Structured Streaming query with a
+checkpoint (exactly-once file sink, restartable after executor or driver
+loss). The analytical operators stay batch jobs over the resulting tables.
+"""
+
+from paylens.streaming.ingest import append_stream, read_new_files
+
+__all__ = ["append_stream", "read_new_files"]

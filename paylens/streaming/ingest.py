@@ -1,0 +1,46 @@
+"""Append newly arriving Parquet files of a table into a target table folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from paylens.session import checkpoint_dir
+
+
+def read_new_files(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """Streaming scan of ``<folder>/<name>.parquet`` files (schema given, no inference)."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+
+
+def append_stream(
+    stream: DataFrame,
+    target: str,
+    *,
+    name: str,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    partition_by: list[str] | None = None,
+    once: bool = True,
+    interval: str = "1 minute",
+) -> StreamingQuery:
+    """Start a checkpointed append of ``stream`` (after ``transform``) into ``target``.
+
+    The checkpoint lives under the session's shared ``spark.checkpoint.dir``,
+    so a restarted query resumes where it stopped without duplicating files.
+    ``once=True`` processes what is available and stops (batch-style runs).
+    """
+    spark = stream.sparkSession
+    out = transform(stream) if transform is not None else stream
+    writer = (
+        out.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", target)
+        .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
+    )
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.queryName(name).start()

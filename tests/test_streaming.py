@@ -1,0 +1,34 @@
+"""Incremental append of new event files into a transactions table."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+import pytest
+from conftest import TESTDATA
+
+from paylens.operators import activity
+from paylens.sources import adapters
+from paylens.sources.tables import read_table
+from paylens.streaming import append_stream, read_new_files
+
+SF = f"{TESTDATA}/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_append_stream_then_batch_operator(spark):
+    events = read_table(spark, SF, "events")
+    target = tempfile.mkdtemp(prefix="paylens-stream-") + "/transactions"
+    q = append_stream(
+        read_new_files(spark, SF, "events", events.schema),
+        target,
+        name=f"tx_ingest_{os.getpid()}",
+        transform=adapters.transactions,
+    )
+    q.awaitTermination(120)
+    assert q.exception() is None
+    loaded = spark.read.parquet(target)
+    assert loaded.count() == events.count()
+    # the batch operators run unchanged on the ingested table
+    assert activity.risk_triage(loaded).count() == activity.risk_triage(adapters.transactions(events)).count()
