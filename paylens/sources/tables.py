@@ -22,12 +22,25 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
 
+# path -> schema read from the files' footers on first use; later reads pass it
+# explicitly, which skips the footer-reading job a schema-less read starts
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, root: str, name: str, schema: StructType | None = None) -> DataFrame:
     """Scan one table of a dataset folder (``<root>/<name>.parquet``)."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(table_path(root, name))
+    path = table_path(root, name)
+    schema = schema or _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_schemas() -> None:
+    """Drop remembered table schemas (after a table's files were replaced)."""
+    _SCHEMAS.clear()
 
 
 def rows_to_frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
