@@ -11,9 +11,10 @@ def plan_text(df: DataFrame, final: bool = False) -> str:
     ``final=False`` gives the plan before adaptive re-optimization (no query
     runs); ``final=True`` runs the query and returns the plan AQE settled on.
     """
+    plan = df._jdf.queryExecution().executedPlan()
     if final:
-        df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString()
+        plan.execute().count()  # runs this plan itself, so AQE records its final form
+    return plan.toString()
 
 
 def formatted(df: DataFrame) -> str:
