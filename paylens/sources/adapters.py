@@ -180,3 +180,20 @@ class Dataset:
 
     def cash_applications(self) -> DataFrame:
         return cash_applications(self.raw("orders"))
+
+    DOMAIN_TABLES = (
+        "transactions", "vendors", "bills", "payments_ap", "payment_applications",
+        "customers", "invoices", "payments", "cash_applications",
+    )
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every domain table as a temp view, for ``spark.sql`` users.
+
+        The views are lazy adapters over the raw tables; queries on them get
+        the same pruning and pushdown as the DataFrame operators.
+        """
+        names = []
+        for name in self.DOMAIN_TABLES:
+            getattr(self, name)().createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
