@@ -168,7 +168,7 @@ def user_behaviour(
         sum_money(amount).alias("total_amount"),
         mean_exact(amount).alias("avg_amount"),
     )
-    return out.orderBy(F.col("total_tx").desc()) if ordered else out
+    return out.orderBy(F.col("total_tx").desc(), F.col(user).asc()) if ordered else out
 
 
 def high_decline(
@@ -188,4 +188,4 @@ def high_decline(
         .withColumn("decline_rate", F.col("declined_tx").cast("double") / F.col("total_tx"))
         .filter((F.col("total_tx") >= min_tx) & (F.col("decline_rate") > min_rate))
     )
-    return out.orderBy(F.col("decline_rate").desc(), F.col("total_tx").desc()) if ordered else out
+    return out.orderBy(F.col("decline_rate").desc(), F.col("total_tx").desc(), F.col(user).asc()) if ordered else out

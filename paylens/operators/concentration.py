@@ -36,4 +36,4 @@ def concentration(
         F.col("total_tx").cast("bigint").alias("total_tx"),
         (F.col("_top").cast("double") / F.col("total_tx")).alias(name),
     ).filter((F.col(name) > min_ratio) & (F.col("total_tx") >= min_total))
-    return out.orderBy(F.col(name).desc(), F.col("total_tx").desc()) if ordered else out
+    return out.orderBy(F.col(name).desc(), F.col("total_tx").desc(), F.col(user).asc()) if ordered else out

@@ -40,14 +40,14 @@ def payment_status(payment_date: str = "payment_date", due_date: str = "due_date
 
 def invoice_list(invoices: DataFrame, *, ordered: bool = True) -> DataFrame:
     out = invoices.select("invoice_id", "invoice_date", "due_date", "amount", "status")
-    return out.orderBy("invoice_date") if ordered else out
+    return out.orderBy("invoice_date", "invoice_id") if ordered else out
 
 
 def match(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
     out = matched(invoices, applications, payments).select(
         "invoice_id", "invoice_date", "payment_id", "payment_date", "applied_amount"
     )
-    return out.orderBy("invoice_date") if ordered else out
+    return out.orderBy("invoice_date", "invoice_id", "payment_id") if ordered else out
 
 
 def unallocated(payments: DataFrame, applications: DataFrame, *, ordered: bool = True) -> DataFrame:
@@ -55,12 +55,12 @@ def unallocated(payments: DataFrame, applications: DataFrame, *, ordered: bool =
     out = payments.join(applications.select("payment_id"), "payment_id", "left_anti").select(
         "payment_id", "customer_id", "payment_date", "amount", "reference", "method"
     )
-    return out.orderBy(F.col("amount").desc()) if ordered else out
+    return out.orderBy(F.col("amount").desc(), F.col("payment_id").asc()) if ordered else out
 
 
 def paid_before_issue(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
     out = match(invoices, applications, payments, ordered=False).filter(F.col("payment_date") < F.col("invoice_date"))
-    return out.orderBy("payment_date") if ordered else out
+    return out.orderBy("payment_date", "invoice_id", "payment_id") if ordered else out
 
 
 def days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
@@ -70,7 +70,7 @@ def days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFram
         "payment_date",
         days_between("payment_date", "invoice_date").alias("days_to_pay"),
     )
-    return out.orderBy(F.col("days_to_pay").desc()) if ordered else out
+    return out.orderBy(F.col("days_to_pay").desc(), F.col("invoice_id").asc(), F.col("payment_date").asc()) if ordered else out
 
 
 def avg_days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def timeliness(invoices: DataFrame, applications: DataFrame, payments: DataFrame
     out = matched(invoices, applications, payments).select(
         "invoice_id", "due_date", "payment_date", payment_status().alias("payment_status")
     )
-    return out.orderBy("invoice_id") if ordered else out
+    return out.orderBy("invoice_id", "payment_date") if ordered else out
 
 
 def timeliness_summary(invoices: DataFrame, applications: DataFrame, payments: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def timeliness_by_customer(
         .groupBy("customer_name", "payment_status")
         .agg(F.sum("_n").alias("payment_count"))
     )
-    return out.orderBy(F.col("customer_name").asc(), F.col("payment_count").desc()) if ordered else out
+    return out.orderBy(F.col("customer_name").asc(), F.col("payment_count").desc(), F.col("payment_status").asc()) if ordered else out
 
 
 def slowest_paid(

@@ -54,7 +54,7 @@ def recent_activity(
         )
         .filter(F.col("cards_last_24h") >= min_cards)
     )
-    return out.orderBy(F.col("cards_last_24h").desc(), F.col("purchases_last_24h").desc()) if ordered else out
+    return out.orderBy(F.col("cards_last_24h").desc(), F.col("purchases_last_24h").desc(), F.col(user).asc()) if ordered else out
 
 
 def recent_distinct(
@@ -78,7 +78,7 @@ def recent_distinct(
         .agg(F.count(column).alias(name))
         .filter(F.col(name) >= min_count)
     )
-    return out.orderBy(F.col(name).desc()) if ordered else out
+    return out.orderBy(F.col(name).desc(), F.col(user).asc()) if ordered else out
 
 
 def recent_count(
@@ -105,4 +105,4 @@ def recent_count(
     out = scored.groupBy(user).agg(sum_flag(cond).alias(name))
     if min_count is not None:
         out = out.filter(F.col(name) >= min_count)
-    return out.orderBy(F.col(name).desc()) if ordered else out
+    return out.orderBy(F.col(name).desc(), F.col(user).asc()) if ordered else out

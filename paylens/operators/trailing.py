@@ -148,7 +148,7 @@ def trailing_count(
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = counts.filter(F.col(name) >= min_count)
-    return out.orderBy(F.col(name).desc()) if ordered else out
+    return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()) if ordered else out
 
 
 def small_purchases(
@@ -250,8 +250,9 @@ def trailing_distinct(
         return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()).limit(n)
     if not ordered:
         return out
-    second = F.col(ts).desc() if order_by_time_desc else F.col(user).asc()
-    return out.orderBy(F.col(name).desc(), second)
+    if order_by_time_desc:
+        return out.orderBy(F.col(name).desc(), F.col(ts).desc(), F.col(user).asc())
+    return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc())
 
 
 # ---- consecutive gaps ------------------------------------------------------------
@@ -291,4 +292,4 @@ def consecutive_gap(
         .select(user, "prev_cb_time", ts, hours_between(ts, "prev_cb_time").alias("hours_diff"))
         .filter(F.col("hours_diff") <= max_hours)
     )
-    return out.orderBy(F.col("hours_diff").asc(), F.col(ts).desc()) if ordered else out
+    return out.orderBy(F.col("hours_diff").asc(), F.col(ts).desc(), F.col(user).asc()) if ordered else out
