@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.exprs import money
 from paylens.plans.joins import broadcast_if_small
-from paylens.sources.tables import read_table
+from paylens.sources.tables import read_table, table_path, write_table
 
 # ---- fixed values of the adapters ----
 CHARGEBACK_SOURCE_TYPE = "error"
@@ -197,3 +197,53 @@ class Dataset:
             getattr(self, name)().createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
         return names
+
+    def materialize(self, target: str, tables: tuple[str, ...] | None = None) -> "StoredDataset":
+        """Write the domain tables once as typed Parquet under ``target`` (a
+        shared folder) and return a dataset that reads them.
+
+        Later jobs then scan typed, column-pruned tables instead of re-running
+        the adapters (JSON parsing of ``events.props`` on every scan), and the
+        written tables cut the lineage: a lost executor recomputes from them.
+        """
+        for name in tables or self.DOMAIN_TABLES:
+            write_table(getattr(self, name)(), table_path(target, name))
+        return StoredDataset(self.spark, self.root, target)
+
+
+class StoredDataset(Dataset):
+    """Domain tables read from a folder written by ``Dataset.materialize``."""
+
+    def __init__(self, spark: SparkSession, root: str, stored: str):
+        super().__init__(spark, root)
+        self.stored = stored
+
+    def _stored(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.stored, name)
+
+    def transactions(self) -> DataFrame:
+        return self._stored("transactions")
+
+    def vendors(self) -> DataFrame:
+        return self._stored("vendors")
+
+    def bills(self) -> DataFrame:
+        return self._stored("bills")
+
+    def payments_ap(self) -> DataFrame:
+        return self._stored("payments_ap")
+
+    def payment_applications(self) -> DataFrame:
+        return self._stored("payment_applications")
+
+    def customers(self) -> DataFrame:
+        return self._stored("customers")
+
+    def invoices(self) -> DataFrame:
+        return self._stored("invoices")
+
+    def payments(self) -> DataFrame:
+        return self._stored("payments")
+
+    def cash_applications(self) -> DataFrame:
+        return self._stored("cash_applications")

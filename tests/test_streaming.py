@@ -32,3 +32,19 @@ def test_append_stream_then_batch_operator(spark):
     assert loaded.count() == events.count()
     # the batch operators run unchanged on the ingested table
     assert activity.risk_triage(loaded).count() == activity.risk_triage(adapters.transactions(events)).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_materialized_domain_tables_give_same_results(spark):
+    from paylens.operators import ledger, trailing
+    from paylens.sources.adapters import Dataset
+
+    raw = Dataset(spark, SF)
+    stored = raw.materialize(tempfile.mkdtemp(prefix="paylens-domain-"))
+    assert "get_json_object" not in stored.transactions()._jdf.queryExecution().executedPlan().toString()
+    for build in (
+        lambda d: trailing.trailing_distinct(d.transactions(), "country", "24 hours", 2, name="n", ordered=False),
+        lambda d: ledger.aging(d.vendors(), d.bills(), d.payment_applications(), "1998-06-30", ordered=False),
+    ):
+        a, b = build(raw), build(stored)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
