@@ -3,8 +3,10 @@
 The raw dataset is TPC-H-like (``customer``, ``orders``, ``lineitem``,
 ``part``, ``nation``) plus an ``events`` log. Each adapter is a projection
 (plus one dimension join for ``customers``), so Catalyst prunes the columns an
-operator does not read and pushes its filters into the Parquet scan. The same
-mappings are written in SQL for the DuckDB oracle in ``plans/oracle.py``.
+operator does not read and pushes its filters into the Parquet scan. The
+projections are ``selectExpr`` lists: parsed once on the JVM side instead of
+built from many Column objects over Py4J. The same mappings are written in
+DuckDB SQL for the oracle in ``plans/oracle.py``.
 
 Mapping (``k`` is the integer under ``$.k`` of ``events.props``):
 
@@ -22,9 +24,7 @@ Mapping (``k`` is the integer under ``$.k`` of ``events.props``):
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paylens.functions.exprs import money
 from paylens.plans.joins import broadcast_if_small
 from paylens.sources.tables import read_table, table_path, write_table
 
@@ -42,105 +42,103 @@ UNAPPLIED_EVERY = 7                  # orders whose key is a multiple of 7 have
 
 
 def transactions(events: DataFrame) -> DataFrame:
-    """Transaction log for the fraud and payment-risk operators."""
-    k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
-    et = F.col("event_type")
-    tx_type = (
-        F.when((et == CHARGEBACK_SOURCE_TYPE) & (k < CHARGEBACK_MAX_K), F.lit("chargeback"))
-        .when(et.isin(*PURCHASE_SOURCE_TYPES), F.lit("purchase"))
-        .otherwise(et)
-    )
-    status = F.when(et.isin(*DECLINED_SOURCE_TYPES), F.lit("declined")).otherwise(F.lit("approved"))
-    return events.select(
-        F.col("event_id").alias("transaction_id"),
-        F.col("user_id"),
-        F.col("ts").alias("transaction_time"),
-        money("value").alias("amount"),
-        (k % CARD_MOD).cast("string").alias("card_id"),
-        (k % DEVICE_MOD).cast("string").alias("device_id"),
-        (k % COUNTRY_MOD).cast("string").alias("country"),
-        (k % MERCHANT_MOD).cast("string").alias("merchant_id"),
-        tx_type.alias("tx_type"),
-        status.alias("status"),
+    """Transaction log for the fraud and payment-risk operators.
+
+    One ``selectExpr``: the projection is parsed once on the JVM side instead
+    of being assembled from many Column objects over Py4J.
+    """
+    k = "CAST(get_json_object(props, '$.k') AS BIGINT)"
+    purchase_types = ", ".join(f"'{t}'" for t in PURCHASE_SOURCE_TYPES)
+    declined_types = ", ".join(f"'{t}'" for t in DECLINED_SOURCE_TYPES)
+    return events.selectExpr(
+        "event_id AS transaction_id",
+        "user_id",
+        "ts AS transaction_time",
+        "CAST(value AS DECIMAL(18,2)) AS amount",
+        f"CAST({k} % {CARD_MOD} AS STRING) AS card_id",
+        f"CAST({k} % {DEVICE_MOD} AS STRING) AS device_id",
+        f"CAST({k} % {COUNTRY_MOD} AS STRING) AS country",
+        f"CAST({k} % {MERCHANT_MOD} AS STRING) AS merchant_id",
+        f"CASE WHEN event_type = '{CHARGEBACK_SOURCE_TYPE}' AND {k} < {CHARGEBACK_MAX_K} THEN 'chargeback' "
+        f"WHEN event_type IN ({purchase_types}) THEN 'purchase' ELSE event_type END AS tx_type",
+        f"CASE WHEN event_type IN ({declined_types}) THEN 'declined' ELSE 'approved' END AS status",
     )
 
 
 def vendors(customer: DataFrame) -> DataFrame:
-    return customer.select(F.col("c_custkey").alias("vendor_id"))
+    return customer.selectExpr("c_custkey AS vendor_id")
 
 
 def bills(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_custkey").alias("vendor_id"),
-        F.col("o_orderkey").alias("bill_id"),
-        money("o_totalprice").alias("amount"),
-        F.date_add(F.to_date("o_orderdate"), DUE_DAYS).alias("due_date"),
+    return orders.selectExpr(
+        "o_custkey AS vendor_id",
+        "o_orderkey AS bill_id",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
+        f"date_add(to_date(o_orderdate), {DUE_DAYS}) AS due_date",
     )
 
 
 def payments_ap(part: DataFrame) -> DataFrame:
-    return part.select(
-        F.col("p_partkey").alias("payment_id"),
-        money(F.col("p_retailprice") * F.lit(PAYMENT_RETAIL_MULTIPLIER)).alias("amount"),
+    return part.selectExpr(
+        "p_partkey AS payment_id",
+        f"CAST(p_retailprice * {PAYMENT_RETAIL_MULTIPLIER} AS DECIMAL(18,2)) AS amount",
     )
 
 
 def payment_applications(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter(F.col("l_quantity") >= APPLICATION_MIN_QUANTITY).select(
-        F.col("l_orderkey").alias("bill_id"),
-        F.col("l_partkey").alias("payment_id"),
-        money("l_extendedprice").alias("applied_amount"),
-        F.to_date("l_shipdate").alias("applied_date"),
+    return lineitem.where(f"l_quantity >= {APPLICATION_MIN_QUANTITY}").selectExpr(
+        "l_orderkey AS bill_id",
+        "l_partkey AS payment_id",
+        "CAST(l_extendedprice AS DECIMAL(18,2)) AS applied_amount",
+        "to_date(l_shipdate) AS applied_date",
     )
 
 
 def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     nations = broadcast_if_small(nation.select("n_nationkey", "n_name"))
-    return customer.join(nations, customer["c_nationkey"] == nations["n_nationkey"], "left").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        F.col("c_mktsegment").alias("segment"),
-        F.col("n_name").alias("country"),
-        F.lit(None).cast("date").alias("created_at"),
+    return customer.join(nations, customer["c_nationkey"] == nations["n_nationkey"], "left").selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS customer_name",
+        "c_mktsegment AS segment",
+        "n_name AS country",
+        "CAST(NULL AS DATE) AS created_at",
     )
 
 
 def invoices(orders: DataFrame) -> DataFrame:
-    invoice_date = F.to_date("o_orderdate")
-    return orders.select(
-        F.col("o_orderkey").alias("invoice_id"),
-        F.col("o_custkey").alias("customer_id"),
-        invoice_date.alias("invoice_date"),
-        F.date_add(invoice_date, DUE_DAYS).alias("due_date"),
-        money("o_totalprice").alias("amount"),
-        F.col("o_orderstatus").alias("status"),
+    return orders.selectExpr(
+        "o_orderkey AS invoice_id",
+        "o_custkey AS customer_id",
+        "to_date(o_orderdate) AS invoice_date",
+        f"date_add(to_date(o_orderdate), {DUE_DAYS}) AS due_date",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
+        "o_orderstatus AS status",
     )
 
 
-def _payment_date() -> F.Column:
+def _payment_date() -> str:
     mult, spread, shift = PAYMENT_DATE_SPREAD
-    offset = ((F.col("o_orderkey") * mult) % spread - shift).cast("int")
-    return F.date_add(F.to_date("o_orderdate"), offset)
+    return f"date_add(to_date(o_orderdate), CAST((o_orderkey * {mult}) % {spread} - {shift} AS INT))"
 
 
 def ar_payments(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("payment_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _payment_date().alias("payment_date"),
-        money("o_totalprice").alias("amount"),
-        F.lit(None).cast("string").alias("reference"),
-        F.col("o_orderpriority").alias("method"),
+    return orders.selectExpr(
+        "o_orderkey AS payment_id",
+        "o_custkey AS customer_id",
+        f"{_payment_date()} AS payment_date",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
+        "CAST(NULL AS STRING) AS reference",
+        "o_orderpriority AS method",
     )
 
 
 def cash_applications(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("o_orderkey") % UNAPPLIED_EVERY != 0).select(
-        F.col("o_orderkey").alias("application_id"),
-        F.col("o_orderkey").alias("payment_id"),
-        F.col("o_orderkey").alias("invoice_id"),
-        money("o_totalprice").alias("applied_amount"),
-        _payment_date().alias("applied_date"),
+    return orders.where(f"o_orderkey % {UNAPPLIED_EVERY} <> 0").selectExpr(
+        "o_orderkey AS application_id",
+        "o_orderkey AS payment_id",
+        "o_orderkey AS invoice_id",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS applied_amount",
+        f"{_payment_date()} AS applied_date",
     )
 
 
