@@ -18,7 +18,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.exprs import MONEY_SUM, days_between, sum_money
+from paylens.functions.exprs import MONEY_SUM, sum_money
 
 # ---- fixed values: aging buckets of the source report (days past due) ----
 DEFAULT_AGING_BUCKETS: tuple[tuple[str, int, int | None], ...] = (
@@ -151,17 +151,15 @@ def aging(
     total only.
     """
     per_bill = _bill_debt_as_of(bills, apps, as_of, party, key, amount, applied, (due,))
-    days = days_between(F.lit(_to_date(as_of)), F.col(due))
-    rest = F.col("remaining_debt")
-    aggs = [F.sum(rest).alias("total_debt")]
+    # bucket sums as SQL expressions: one parse each instead of many Column calls
+    days = f"datediff(DATE'{_to_date(as_of)}', `{due}`)"
+    aggs = [F.sum("remaining_debt").alias("total_debt")]
     for name, lo, hi in buckets:
-        cond = (rest > 0) & (days >= lo)
-        if hi is not None:
-            cond = cond & (days <= hi)
-        aggs.append(F.sum(F.when(cond, rest).otherwise(F.lit(0))).alias(name))
+        cond = f"remaining_debt > 0 AND {days} >= {lo}" + ("" if hi is None else f" AND {days} <= {hi}")
+        aggs.append(F.expr(f"sum(CASE WHEN {cond} THEN remaining_debt ELSE 0 END)").alias(name))
     per_party = per_bill.groupBy(party).agg(*aggs)
     names = ["total_debt"] + [b[0] for b in buckets]
-    out = parties.select(party).join(per_party, party, "left").select(
-        party, *[F.coalesce(F.col(n), F.lit(0)).cast(MONEY_SUM).alias(n) for n in names]
+    out = parties.select(party).join(per_party, party, "left").selectExpr(
+        f"`{party}`", *[f"CAST(coalesce(`{n}`, 0) AS DECIMAL(38,2)) AS `{n}`" for n in names]
     )
     return out.orderBy(party) if ordered else out

@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.exprs import count_where
 from paylens.sources.schemas import KEYS
 
 
@@ -29,9 +28,9 @@ def duplicate_keys(df: DataFrame, keys: list[str], *, name: str = "row_count") -
 
 def null_counts(df: DataFrame, columns: list[str], *, table: str) -> DataFrame:
     """(table_name, column_name, null_count) for each column, from one aggregate."""
-    counts = df.agg(*[count_where(F.col(c).isNull()).alias(c) for c in columns])
-    return counts.unpivot([], columns, "column_name", "null_count").select(
-        F.lit(table).alias("table_name"), "column_name", "null_count"
+    counts = df.agg(*[F.expr(f"count_if(`{c}` IS NULL)").alias(c) for c in columns])
+    return counts.unpivot([], columns, "column_name", "null_count").selectExpr(
+        f"'{table}' AS table_name", "column_name", "null_count"
     )
 
 

@@ -42,13 +42,10 @@ both ends.
 from __future__ import annotations
 
 import re
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.exprs import epoch_seconds, hours_between
-
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
 
@@ -62,16 +59,23 @@ def window_seconds(window: str | int) -> int:
     return int(m.group(1)) * _UNITS[m.group(2)]
 
 
-def _interval(seconds: int, plus_micro: bool = False) -> Column:
+# The event-generating steps below are written as SQL expressions: each is
+# parsed once on the JVM side instead of being assembled from many Column
+# objects over Py4J, which dominated the time to build these plans.
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _interval_sql(seconds: int, plus_micro: bool = False) -> str:
     days, rest = divmod(seconds, 86400)
     hours, rest = divmod(rest, 3600)
     minutes, secs = divmod(rest, 60)
-    s = Decimal(secs) + (Decimal("0.000001") if plus_micro else Decimal(0))
-    return F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes), F.lit(s))
+    micros = 1 if plus_micro else 0
+    return f"INTERVAL '{days} {hours:02d}:{minutes:02d}:{secs:02d}.{micros:06d}' DAY TO SECOND"
 
 
-def _bucket(ts: Column | str, width: int) -> Column:
-    return F.floor(epoch_seconds(ts) / F.lit(width)).cast("bigint")
+def _bucket_sql(ts_sql: str, width: int) -> str:
+    return f"CAST(FLOOR(unix_timestamp({ts_sql}) / {width}) AS BIGINT)"
 
 
 def _widths(window: str | int, bucket: str | int | None) -> tuple[int, int, int]:
@@ -97,31 +101,36 @@ def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> Dat
 
 
 def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str) -> DataFrame:
-    leave = F.col(ts) + _interval(w, plus_micro=True)
-    ev = rows.select(
-        user,
-        F.inline(
-            F.array(
-                F.struct(F.col(ts).alias("_t"), _bucket(ts, g).alias("_b"), F.lit(1).alias("_d"), F.lit(True).alias("_probe")),
-                F.struct(leave.alias("_t"), _bucket(leave, g).alias("_b"), F.lit(-1).alias("_d"), F.lit(False).alias("_probe")),
-            )
-        ),
+    u, t = _q(user), _q(ts)
+    leave = f"{t} + {_interval_sql(w, plus_micro=True)}"
+    # +1 at t in the row's own bucket (a probe there); -1 just after t + w in
+    # the bucket where that falls
+    ev = rows.selectExpr(
+        u,
+        "inline(array("
+        f"named_struct('_t', {t}, '_b', {_bucket_sql(t, g)}, '_d', 1, '_probe', true), "
+        f"named_struct('_t', {leave}, '_b', {_bucket_sql(leave, g)}, '_d', -1, '_probe', false)))",
     )
     # rows still in their window at the start of each bucket: per-bucket totals
     # are a partial aggregate (only one row per task and bucket is shuffled)
-    earlier = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = (
         ev.groupBy(user, "_b")
         .agg(F.sum("_d").alias("_net"))
-        .select(user, "_b", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_start"))
+        .selectExpr(
+            u,
+            "_b",
+            f"coalesce(sum(_net) OVER (PARTITION BY {u} ORDER BY _b "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+        )
     )
-    running = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    probes = ev.withColumn("_run", F.sum("_d").over(running)).filter("_probe")
+    probes = ev.selectExpr(
+        "*", f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _run"
+    ).where("_probe")
     return (
         probes.join(start, [user, "_b"])
         .groupBy(user, "_b", "_t")
-        .agg(F.sum(F.col("_run") + F.col("_start")).cast("bigint").alias(name))
-        .select(user, F.col("_t").alias(ts), name)
+        .agg(F.expr("CAST(sum(_run + _start) AS BIGINT)").alias(name))
+        .selectExpr(u, f"_t AS {t}", _q(name))
     )
 
 
@@ -173,48 +182,40 @@ def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, na
 
 
 def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, g: int, reach: int, name: str) -> DataFrame:
-    b = _bucket(ts, g)
-    own = rows.select(user, ts, value, b.alias("_b"), F.lit(True).alias("_own"))
+    u, t, v = _q(user), _q(ts), _q(value)
+    b = _bucket_sql(t, g)
+    own = rows.selectExpr(u, t, v, f"{b} AS _b", "true AS _own")
     # context: latest time per (user, value, bucket), replicated into the next
     # buckets while it can still be inside their rows' windows
-    latest = rows.filter(F.col(value).isNotNull()).groupBy(user, value, b.alias("_b0")).agg(F.max(ts).alias(ts))
     ctx = (
-        latest.select(user, ts, value, "_b0", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_j"))
-        .select(user, ts, value, (F.col("_b0") + F.col("_j")).alias("_b"), F.lit(False).alias("_own"))
-        .filter(epoch_seconds(ts) + F.lit(w + 1) >= F.col("_b") * F.lit(g))
+        rows.where(f"{v} IS NOT NULL")
+        .groupBy(user, value, F.expr(b).alias("_b0"))
+        .agg(F.max(ts).alias(ts))
+        .selectExpr(u, t, v, f"explode(sequence(_b0 + 1, _b0 + {reach})) AS _b", "false AS _own")
+        .where(f"unix_timestamp({t}) + {w + 1} >= _b * {g}")
     )
-    occ = own.unionByName(ctx)
-    by_value = Window.partitionBy(user, "_b").orderBy(value, ts)
-    nxt = F.when(F.lead(value).over(by_value) == F.col(value), F.lead(ts).over(by_value))
-    occ = occ.withColumn("_leave", F.least(nxt, F.col(ts) + _interval(w, plus_micro=True)))
-    has = F.col(value).isNotNull()
     # a value occurrence counts from t until the earlier of t + w and the next
     # occurrence of the same value; each own row is also a probe
-    ev = occ.select(
-        user,
+    by_value = f"OVER (PARTITION BY {u}, _b ORDER BY {v}, {t})"
+    occ = own.unionByName(ctx).selectExpr(
+        "*",
+        f"least(CASE WHEN lead({v}) {by_value} = {v} THEN lead({t}) {by_value} END, "
+        f"{t} + {_interval_sql(w, plus_micro=True)}) AS _leave",
+    )
+    ev = occ.selectExpr(
+        u,
         "_b",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col(ts).alias("_t"),
-                    F.when(has, F.lit(1)).otherwise(F.lit(0)).alias("_d"),
-                    F.col("_own").alias("_probe"),
-                ),
-                F.struct(
-                    F.col("_leave").alias("_t"),
-                    F.when(has, F.lit(-1)).otherwise(F.lit(0)).alias("_d"),
-                    F.lit(False).alias("_probe"),
-                ),
-            )
-        ),
-    ).filter((F.col("_d") != 0) | F.col("_probe"))
-    running = Window.partitionBy(user, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("_n", F.sum("_d").over(running))
+        "inline(array("
+        f"named_struct('_t', {t}, '_d', IF({v} IS NULL, 0, 1), '_probe', _own), "
+        f"named_struct('_t', _leave, '_d', IF({v} IS NULL, 0, -1), '_probe', false)))",
+    ).where("_d <> 0 OR _probe")
+    running = f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return (
-        ev.filter("_probe")
+        ev.selectExpr("*", f"{running} AS _n")
+        .where("_probe")
         .groupBy(user, "_b", "_t")
-        .agg(F.max("_n").cast("bigint").alias(name))
-        .select(user, F.col("_t").alias(ts), name)
+        .agg(F.expr("CAST(max(_n) AS BIGINT)").alias(name))
+        .selectExpr(u, f"_t AS {t}", _q(name))
     )
 
 
@@ -276,20 +277,22 @@ def consecutive_gap(
     """
     limit = max(1, int(-(-max_hours * 3600 // 1)))
     _, g, reach = _widths(limit, bucket)
-    rows = events.select(user, ts).filter(F.col(ts).isNotNull())
-    b = _bucket(ts, g)
-    own = rows.select(user, F.col(ts), b.alias("_b"), F.lit(True).alias("_own"))
+    u, t = _q(user), _q(ts)
+    b = _bucket_sql(t, g)
+    rows = events.select(user, ts).where(f"{t} IS NOT NULL")
+    own = rows.selectExpr(u, t, f"{b} AS _b", "true AS _own")
     seed = (
-        rows.groupBy(user, b.alias("_b0"))
+        rows.groupBy(user, F.expr(b).alias("_b0"))
         .agg(F.max(ts).alias(ts))
-        .select(user, ts, "_b0", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_j"))
-        .select(user, ts, (F.col("_b0") + F.col("_j")).alias("_b"), F.lit(False).alias("_own"))
+        .selectExpr(u, t, f"explode(sequence(_b0 + 1, _b0 + {reach})) AS _b", "false AS _own")
     )
-    order = Window.partitionBy(user, "_b").orderBy(ts)
-    paired = own.unionByName(seed).withColumn("prev_cb_time", F.lag(ts).over(order))
     out = (
-        paired.filter(F.col("_own") & F.col("prev_cb_time").isNotNull())
-        .select(user, "prev_cb_time", ts, hours_between(ts, "prev_cb_time").alias("hours_diff"))
-        .filter(F.col("hours_diff") <= max_hours)
+        own.unionByName(seed)
+        .selectExpr("*", f"lag({t}) OVER (PARTITION BY {u}, _b ORDER BY {t}) AS prev_cb_time")
+        .where("_own AND prev_cb_time IS NOT NULL")
+        .selectExpr(
+            u, "prev_cb_time", t, f"CAST(unix_timestamp({t}) - unix_timestamp(prev_cb_time) AS DOUBLE) / 3600.0D AS hours_diff"
+        )
+        .where(f"hours_diff <= {float(max_hours)!r}")
     )
     return out.orderBy(F.col("hours_diff").asc(), F.col(ts).desc(), F.col(user).asc()) if ordered else out
