@@ -1,23 +1,36 @@
-"""Plan inspection helpers (used by tests and when tuning operators)."""
+"""Plan inspection helpers (used by tests and when tuning operators).
+
+They capture what ``DataFrame.explain`` prints, so the text is exactly what a
+user sees in the console.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame
 
 
+def _explain(df: DataFrame, mode: str) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode=mode)
+    return buf.getvalue()
+
+
 def plan_text(df: DataFrame, final: bool = False) -> str:
     """The physical plan as text.
 
     ``final=False`` gives the plan before adaptive re-optimization (no query
-    runs); ``final=True`` runs the query and returns the plan AQE settled on.
+    runs). ``final=True`` first collects ``df`` (small results only) so the
+    text shows the plan AQE settled on.
     """
-    plan = df._jdf.queryExecution().executedPlan()
     if final:
-        plan.execute().count()  # runs this plan itself, so AQE records its final form
-    return plan.toString()
+        df.collect()
+    return _explain(df, "simple")
 
 
 def formatted(df: DataFrame) -> str:
     """``explain("formatted")`` output as a string."""
-    jvm = df.sparkSession.sparkContext._jvm
-    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return _explain(df, "formatted")

@@ -58,13 +58,17 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (a
-    local test run) is a fresh scratch folder created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset and
+    the session runs in local mode (tests) is a scratch folder created and
+    registered; on a cluster an unset value is an error, never a
+    machine-local fallback.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     local = tempfile.mkdtemp(prefix="paylens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -43,3 +43,11 @@ def test_describe_lists_sql_types(spark):
     assert got[:4] == [(0, "transaction_id", "BIGINT"), (1, "user_id", "BIGINT"),
                        (2, "transaction_time", "TIMESTAMP"), (3, "amount", "DECIMAL(18,2)")]
     assert len(got) == 10
+
+
+def test_checkpoint_dir_prefers_the_session_setting(spark):
+    from paylens.session import checkpoint_dir
+
+    current = checkpoint_dir(spark)
+    assert spark.conf.get("spark.checkpoint.dir") == current
+    assert checkpoint_dir(spark) == current  # stable: read back, not recreated
