@@ -11,6 +11,6 @@ collected to the driver. Sub-packages:
 * ``streaming``  -- incremental append of new rows into the tables
 """
 
-from paylens.session import build_session, checkpoint_dir
+from paylens.session import build_session, checkpoint_dir, scale_settings
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "scale_settings"]

@@ -21,7 +21,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the plan's output size, or None if unavailable."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except Exception:  # pragma: no cover - e.g. Spark Connect sessions
         return None
 

@@ -55,6 +55,25 @@ def build_session(
     return spark
 
 
+def scale_settings(shuffle_bytes: int, cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Session settings for a given shuffle volume (bytes moved by the largest
+    exchange, after column pruning and partial aggregation) and total cores.
+
+    Shuffle partitions target ``partition_bytes`` each (at least two waves of
+    tasks), so a partition's sort and window buffers fit in executor memory;
+    AQE then coalesces the small ones and splits skewed join partitions above
+    the same size. Example: 20 TB shuffled on 8,000 cores -> 80,000 partitions.
+    """
+    partitions = max(2 * cores, -(-shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(partition_bytes, 512 * 1024 * 1024)),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
