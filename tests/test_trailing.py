@@ -142,3 +142,36 @@ def test_gap_boundary_uses_whole_seconds(spark):
     )
     # 47 h 59 m 59.2 s apart, but 48 h in whole seconds: kept, hours_diff = 48.0
     assert rows(trailing.consecutive_gap(df, 48), "hours_diff") == [(48.0,)]
+
+
+# ---- property-based: random data, window and bucket widths ----------------------
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_row = st.tuples(
+    st.sampled_from([1, 2, 3, None]),
+    st.integers(0, 6 * 3600),
+    st.sampled_from([0, 1, 999_999]),
+    st.sampled_from(["a", "b", "c", None]),
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    data=st.lists(_row, min_size=1, max_size=40),
+    window=st.sampled_from(["10 minutes", "1 hour"]),
+    bucket=st.sampled_from([None, "7 minutes", "2 hours"]),
+)
+def test_random_inputs_match_self_join(spark, data, window, bucket):
+    base = dt.datetime(2024, 3, 10)
+    df = spark.createDataFrame(
+        [(u, base + dt.timedelta(seconds=s, microseconds=us), v) for u, s, us, v in data], SCHEMA
+    )
+    secs = trailing.window_seconds(window)
+    got = trailing.trailing_count(df, window, 1, name="n", bucket=bucket, ordered=False)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_count(df, secs)
+    got = trailing.trailing_distinct(df, "country", window, 0, name="n", bucket=bucket, ordered=False)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_distinct(df, secs)
+    max_hours = secs / 3600
+    gaps = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket=bucket, ordered=False)), key=repr)
+    assert gaps == _brute_gaps(df, max_hours)
