@@ -94,7 +94,7 @@ def _clean(df: DataFrame, user: str, ts: str, *cols: str) -> DataFrame:
 # ---- trailing count ------------------------------------------------------------
 def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> DataFrame:
     frame = (
-        f"count(1) OVER (PARTITION BY `{user}` ORDER BY `{ts}` "
+        f"count(1) OVER (PARTITION BY {_q(user)} ORDER BY {_q(ts)} "
         f"RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
     )
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.sum("_n").cast("bigint").alias(name))
@@ -175,7 +175,7 @@ def small_purchases(
 # ---- trailing distinct ---------------------------------------------------------
 def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, name: str) -> DataFrame:
     frame = (
-        f"size(collect_set(`{value}`) OVER (PARTITION BY `{user}` ORDER BY `{ts}` "
+        f"size(collect_set({_q(value)}) OVER (PARTITION BY {_q(user)} ORDER BY {_q(ts)} "
         f"RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW))"
     )
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.max("_n").cast("bigint").alias(name))

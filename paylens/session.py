@@ -45,6 +45,9 @@ def build_session(
         master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master.startswith("local"):
+        # local mode runs every task inside the driver JVM; 1 GB default is too small
+        conf["spark.driver.memory"] = os.environ.get("PAYLENS_DRIVER_MEMORY", "8g")
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
