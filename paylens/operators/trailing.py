@@ -208,7 +208,10 @@ def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int,
         "inline(array("
         f"named_struct('_t', {t}, '_d', IF({v} IS NULL, 0, 1), '_probe', _own), "
         f"named_struct('_t', _leave, '_d', IF({v} IS NULL, 0, -1), '_probe', false)))",
-    ).where("_d <> 0 OR _probe")
+    ).where(
+        # a leave at or after the bucket's end comes after every probe of the bucket
+        f"_probe OR _d = 1 OR (_d = -1 AND unix_timestamp(_t) < (_b + 1) * {g})"
+    )
     running = f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return (
         ev.selectExpr("*", f"{running} AS _n")
