@@ -20,9 +20,11 @@ Strategies:
   one ordered pass.
 
   - count: a row is +1 at t in its own bucket and -1 just after t + w in the
-    bucket where that falls; a bucket starts from the number of rows still in
-    their window at its start, taken from per-bucket totals (a small
-    aggregate) by a cumulative sum. Two events per row whatever g is.
+    bucket holding t + w. A bucket starts from the number of rows still in
+    their window at its start: with g >= w those are exactly the earlier-born
+    rows leaving inside the bucket (a window count, no extra pass); with
+    finer buckets, per-bucket totals (a small aggregate) and a cumulative sum.
+    Two events per row whatever g is.
   - distinct: an occurrence of a value counts from t until the earlier of
     t + w and the next occurrence of the same value. Earlier buckets reach a
     bucket only through the latest time per (user, value, bucket), a partial
@@ -102,33 +104,42 @@ def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> Dat
 
 def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str) -> DataFrame:
     u, t = _q(user), _q(ts)
-    leave = f"{t} + {_interval_sql(w, plus_micro=True)}"
+    born, last_in = _bucket_sql(t, g), _bucket_sql(f"{t} + {_interval_sql(w)}", g)
     # +1 at t in the row's own bucket (a probe there); -1 just after t + w in
-    # the bucket where that falls
+    # the bucket holding t + w (after every probe of that bucket if it falls
+    # on the boundary); _prior marks a -1 of a row born in an earlier bucket
     ev = rows.selectExpr(
         u,
         "inline(array("
-        f"named_struct('_t', {t}, '_b', {_bucket_sql(t, g)}, '_d', 1, '_probe', true), "
-        f"named_struct('_t', {leave}, '_b', {_bucket_sql(leave, g)}, '_d', -1, '_probe', false)))",
+        f"named_struct('_t', {t}, '_b', {born}, '_d', 1, '_probe', true, '_prior', false), "
+        f"named_struct('_t', {t} + {_interval_sql(w, plus_micro=True)}, '_b', {last_in}, '_d', -1, "
+        f"'_probe', false, '_prior', {born} < {last_in})))",
     )
-    # rows still in their window at the start of each bucket: per-bucket totals
-    # are a partial aggregate (only one row per task and bucket is shuffled)
-    start = (
-        ev.groupBy(user, "_b")
-        .agg(F.sum("_d").alias("_net"))
-        .selectExpr(
-            u,
-            "_b",
-            f"coalesce(sum(_net) OVER (PARTITION BY {u} ORDER BY _b "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+    group = f"PARTITION BY {u}, _b"
+    running = f"sum(_d) OVER ({group} ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    if g >= w:
+        # a row alive at a bucket's start leaves inside that bucket, so the
+        # bucket starts from the count of its -1 events of earlier-born rows
+        probes = ev.selectExpr(
+            u, "_b", "_t", "_probe", f"{running} AS _run", f"sum(IF(_prior, 1, 0)) OVER ({group}) AS _start"
+        ).where("_probe")
+    else:
+        # finer buckets: rows alive at a bucket's start are births minus
+        # leaves of all earlier buckets, from per-bucket totals (a partial
+        # aggregate, one row per task and bucket shuffled) and a running sum
+        start = (
+            ev.groupBy(user, "_b")
+            .agg(F.sum("_d").alias("_net"))
+            .selectExpr(
+                u,
+                "_b",
+                f"coalesce(sum(_net) OVER (PARTITION BY {u} ORDER BY _b "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+            )
         )
-    )
-    probes = ev.selectExpr(
-        "*", f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _run"
-    ).where("_probe")
+        probes = ev.selectExpr("*", f"{running} AS _run").where("_probe").join(start, [user, "_b"])
     return (
-        probes.join(start, [user, "_b"])
-        .groupBy(user, "_b", "_t")
+        probes.groupBy(user, "_b", "_t")
         .agg(F.expr("CAST(sum(_run + _start) AS BIGINT)").alias(name))
         .selectExpr(u, f"_t AS {t}", _q(name))
     )
