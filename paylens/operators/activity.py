@@ -33,18 +33,26 @@ APPROVED = "approved"
 DECLINED = "declined"
 
 
+def _distinct(col: str, approx_rsd: float | None) -> F.Column:
+    """Exact ``COUNT(DISTINCT col)``, or a HyperLogLog++ estimate when
+    ``approx_rsd`` (relative standard deviation) is given: one pass with a
+    fixed-size sketch per task instead of shuffling (key, value) partials."""
+    return F.countDistinct(col) if approx_rsd is None else F.approx_count_distinct(col, rsd=approx_rsd)
+
+
 def fraud_overview(
     tx: DataFrame,
     *,
     user: str = "user_id",
     type_col: str = "tx_type",
     amount: str = "amount",
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """One row: total amount over all types, distinct users, purchases, chargebacks."""
     t = F.col(type_col)
     return tx.agg(
         sum_money(amount).alias("total_amount"),
-        F.countDistinct(user).alias("unique_users"),
+        _distinct(user, approx_rsd).alias("unique_users"),
         count_where(t == PURCHASE).alias("purchase_count"),
         count_where(t == CHARGEBACK).alias("chargeback_count"),
     )
@@ -137,6 +145,7 @@ def payments_overview(
     merchant: str = "merchant_id",
     status: str = "status",
     amount: str = "amount",
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """One row: count, approved, declined, distinct users and merchants, total and mean amount."""
     s = F.col(status)
@@ -144,8 +153,8 @@ def payments_overview(
         F.count(F.lit(1)).alias("total_transactions"),
         sum_flag(s == APPROVED).alias("approved_tx"),
         sum_flag(s == DECLINED).alias("declined_tx"),
-        F.countDistinct(user).alias("unique_users"),
-        F.countDistinct(merchant).alias("unique_merchants"),
+        _distinct(user, approx_rsd).alias("unique_users"),
+        _distinct(merchant, approx_rsd).alias("unique_merchants"),
         sum_money(amount).alias("total_volume"),
         mean_exact(amount).alias("avg_tx_amount"),
     )

@@ -89,3 +89,19 @@ def test_user_behaviour_mean_and_null_status(spark):
         spark.createDataFrame([(99, 1, T0, None, "m1", "MT", None, "d", "card", None)], schemas.RISK_PAYMENTS)
     )
     assert rows(activity.user_behaviour(tx)) == [(1, 4, 2, 1, m("6.00"), 2.0)]
+
+
+def test_approximate_distinct_is_opt_in(spark):
+    from pyspark.sql import functions as F
+
+    tx = spark.range(20000).select(
+        F.col("id").alias("transaction_id"), (F.col("id") % 5000).alias("user_id"),
+        F.lit(None).cast("timestamp_ntz").alias("transaction_time"), F.lit(1).cast("decimal(18,2)").alias("amount"),
+        (F.col("id") % 7).cast("string").alias("merchant_id"), F.lit("MT").alias("country"),
+        F.lit(None).cast("string").alias("ip_address"), F.lit("d").alias("device_id"),
+        F.lit("card").alias("payment_method"), F.lit("approved").alias("status"),
+    )
+    exact = rows(activity.payments_overview(tx), "unique_users", "unique_merchants")[0]
+    approx = rows(activity.payments_overview(tx, approx_rsd=0.02), "unique_users", "unique_merchants")[0]
+    assert exact == (5000, 7)
+    assert abs(approx[0] - 5000) <= 5000 * 0.1 and approx[1] == 7
