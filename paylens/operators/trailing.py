@@ -32,6 +32,9 @@ Strategies:
 
   Every result is grouped per (user, bucket, t1), which the window's
   partitioning already satisfies, so no further shuffle of the rows happens.
+* ``"sweep"``: the same sweep with one bucket spanning all time, i.e. one
+  ordered pass per user (no context rows; one task per user).
+* ``"binned"``: another name for ``"bucketed"``.
 * ``"window"``: one RANGE frame per user (``count`` or ``size(collect_set)``).
   Simple, but one task holds each user's whole history and the frame is
   re-aggregated per row; kept for small data and as a cross-check.
@@ -80,6 +83,20 @@ def _bucket_sql(ts_sql: str, width: int) -> str:
     return f"CAST(FLOOR(unix_timestamp({ts_sql}) / {width}) AS BIGINT)"
 
 
+# one bucket covering every representable time: the per-user sweep
+_ALL_TIME = 1 << 40
+
+
+def _strategy(strategy: str, bucket: str | int | None) -> tuple[str, str | int | None]:
+    if strategy == "sweep":
+        return "bucketed", _ALL_TIME
+    if strategy in ("bucketed", "binned"):
+        return "bucketed", bucket
+    if strategy == "window":
+        return "window", bucket
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
 def _widths(window: str | int, bucket: str | int | None) -> tuple[int, int, int]:
     """(window seconds, bucket seconds, buckets a row can reach after its own)."""
     w = window_seconds(window)
@@ -159,14 +176,13 @@ def trailing_count(
 ) -> DataFrame:
     """Per (user, t1): rows of the user in [t1 - window, t1], times the rows at t1;
     kept when >= ``min_count``. ``bucket``: work-split width (default: window)."""
+    strategy, bucket = _strategy(strategy, bucket)
     w, g, _ = _widths(window, bucket)
     rows = _clean(df, user, ts)
     if strategy == "window":
         counts = _count_window(rows, user, ts, w, name)
-    elif strategy == "bucketed":
-        counts = _count_bucketed(rows, user, ts, w, g, name)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        counts = _count_bucketed(rows, user, ts, w, g, name)
     out = counts.filter(F.col(name) >= min_count)
     return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()) if ordered else out
 
@@ -252,14 +268,13 @@ def trailing_distinct(
     kept when >= ``min_count``. With ``n``, the top ``n`` by count (ties by
     user, then time). ``bucket``: work-split width (default: window)."""
     name = name or f"{column}_in_window"
+    strategy, bucket = _strategy(strategy, bucket)
     w, g, reach = _widths(window, bucket)
     rows = _clean(df, user, ts, column)
     if strategy == "window":
         counts = _distinct_window(rows, user, ts, column, w, name)
-    elif strategy == "bucketed":
-        counts = _distinct_bucketed(rows, user, ts, column, w, g, reach, name)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        counts = _distinct_bucketed(rows, user, ts, column, w, g, reach, name)
     out = counts.filter(F.col(name) >= min_count)
     if n is not None:
         return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()).limit(n)

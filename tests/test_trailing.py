@@ -69,6 +69,8 @@ CASES = [
     ("1 hour", "bucketed", "7 minutes"),
     ("24 hours", "bucketed", "5 hours"),
     ("1 hour", "bucketed", "2 hours"),
+    ("1 hour", "sweep", None),
+    ("24 hours", "binned", None),
 ]
 
 
