@@ -4,8 +4,14 @@ Each statement runs on the raw dataset views (``events``, ``orders``, ...).
 The adapters of ``sources/adapters.py`` are restated as CTEs, and every
 computed column carries the alias and type the Spark operator returns:
 money sums as DECIMAL(38,2), counts as BIGINT, ratios as DOUBLE, day counts
-as INTEGER. Self joins here are the brute-force form of the trailing-window
-operators.
+as INTEGER.
+
+The statements keep the direct, brute-force form of each analysis: raw left
+join then group for the ledger, self interval joins for trailing windows,
+window maxima and window counts for recency and concentration. The Spark
+operators compute the same results through different plans (pre-aggregated
+joins, bucketed sweeps, two-level aggregates), so agreement is an
+independent check.
 """
 
 from __future__ import annotations
