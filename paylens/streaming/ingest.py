@@ -11,9 +11,10 @@ from pyspark.sql.types import StructType
 from paylens.session import checkpoint_dir
 
 
-def read_new_files(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """Streaming scan of ``<folder>/<name>.parquet`` files (schema given, no inference)."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+def read_new_files(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
+    """Streaming scan of the Parquet files arriving in ``folder`` whose names
+    match ``pattern`` (schema given, no inference; each file is read once)."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def append_stream(

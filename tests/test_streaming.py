@@ -21,7 +21,7 @@ def test_append_stream_then_batch_operator(spark):
     events = read_table(spark, SF, "events")
     target = tempfile.mkdtemp(prefix="paylens-stream-") + "/transactions"
     q = append_stream(
-        read_new_files(spark, SF, "events", events.schema),
+        read_new_files(spark, SF, events.schema, pattern="events.parquet"),
         target,
         name=f"tx_ingest_{os.getpid()}",
         transform=adapters.transactions,
