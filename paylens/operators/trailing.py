@@ -28,7 +28,8 @@ Strategies:
   - distinct: an occurrence of a value counts from t until the earlier of
     t + w and the next occurrence of the same value. Earlier buckets reach a
     bucket only through the latest time per (user, value, bucket), a partial
-    aggregate replicated into the next ceil(w / g) buckets.
+    aggregate replicated into the next ceil(w / g) buckets, but no further
+    than the next bucket where the value occurs again.
 
   Every result is grouped per (user, bucket, t1), which the window's
   partitioning already satisfies, so no further shuffle of the rows happens.
@@ -79,10 +80,62 @@ def _interval_sql(seconds: int, plus_micro: bool = False) -> str:
     return f"INTERVAL '{days} {hours:02d}:{minutes:02d}:{secs:02d}.{micros:06d}' DAY TO SECOND"
 
 
-def _bucket_sql(ts_sql: str, width: int) -> str:
+def _bucket_sql(ts_sql: str, width: int | str) -> str:
     return f"CAST(FLOOR(unix_timestamp({ts_sql}) / {width}) AS BIGINT)"
 
 
+def _sql_literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
+def _width_sql(user_sql: str, g: int, per_user: dict | None) -> str:
+    """Bucket width of a row: ``g``, or a narrower one for the users in ``per_user``."""
+    if not per_user:
+        return str(g)
+    cases = " ".join(f"WHEN {_sql_literal(k)} THEN {v}" for k, v in per_user.items())
+    return f"(CASE {user_sql} {cases} ELSE {g} END)"
+
+
+def hot_user_widths(
+    rows: DataFrame,
+    window: str | int,
+    *,
+    user: str = "user_id",
+    ts: str = "transaction_time",
+    hot_rows: int = 2_000_000,
+    sample_fraction: float = 0.01,
+    max_users: int = 256,
+    seed: int = 17,
+) -> dict:
+    """Narrower bucket widths for users with a burst: {user: width seconds}.
+
+    A sampled pass over (user, time) estimates the rows in each user's busiest
+    window-width bucket; users above ``hot_rows`` get buckets split so that
+    each holds about ``hot_rows`` rows. Only the top ``max_users`` users (one
+    row each) reach the driver.
+    """
+    w = window_seconds(window)
+    peak = (
+        rows.select(user, ts)
+        .where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+        .sample(fraction=sample_fraction, seed=seed)
+        .groupBy(user, F.expr(_bucket_sql(_q(ts), w)).alias("_b"))
+        .count()
+        .groupBy(user)
+        .agg(F.max("count").alias("_peak"))
+        .where(F.col("_peak") > hot_rows * sample_fraction)
+        .orderBy(F.col("_peak").desc())
+        .limit(max_users)
+    )
+    widths = {}
+    for key, sampled in peak.collect():
+        splits = min(w, -(-int(sampled / sample_fraction) // hot_rows))
+        widths[key] = max(1, w // splits)
+    return widths
+
+
 # one bucket covering every representable time: the per-user sweep
 _ALL_TIME = 1 << 40
 
@@ -119,9 +172,10 @@ def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> Dat
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.sum("_n").cast("bigint").alias(name))
 
 
-def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str) -> DataFrame:
+def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str, per_user: dict | None = None) -> DataFrame:
     u, t = _q(user), _q(ts)
-    born, last_in = _bucket_sql(t, g), _bucket_sql(f"{t} + {_interval_sql(w)}", g)
+    width = _width_sql(u, g, per_user)
+    born, last_in = _bucket_sql(t, width), _bucket_sql(f"{t} + {_interval_sql(w)}", width)
     # +1 at t in the row's own bucket (a probe there); -1 just after t + w in
     # the bucket holding t + w (after every probe of that bucket if it falls
     # on the boundary); _prior marks a -1 of a row born in an earlier bucket
@@ -134,7 +188,7 @@ def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: s
     )
     group = f"PARTITION BY {u}, _b"
     running = f"sum(_d) OVER ({group} ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    if g >= w:
+    if g >= w and not per_user:
         # a row alive at a bucket's start leaves inside that bucket, so the
         # bucket starts from the count of its -1 events of earlier-born rows
         probes = ev.selectExpr(
@@ -172,17 +226,24 @@ def trailing_count(
     ts: str = "transaction_time",
     strategy: str = "bucketed",
     bucket: str | int | None = None,
+    hot_rows: int = 2_000_000,
+    sample_fraction: float = 0.01,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): rows of the user in [t1 - window, t1], times the rows at t1;
-    kept when >= ``min_count``. ``bucket``: work-split width (default: window)."""
+    kept when >= ``min_count``. ``bucket``: work-split width (default: the
+    window); ``"auto"`` narrows it for users with bursts (``hot_user_widths``)."""
     strategy, bucket = _strategy(strategy, bucket)
-    w, g, _ = _widths(window, bucket)
     rows = _clean(df, user, ts)
+    per_user = None
+    if bucket == "auto":
+        per_user = hot_user_widths(rows, window, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
+        bucket = None
+    w, g, _ = _widths(window, bucket)
     if strategy == "window":
         counts = _count_window(rows, user, ts, w, name)
     else:
-        counts = _count_bucketed(rows, user, ts, w, g, name)
+        counts = _count_bucketed(rows, user, ts, w, g, name, per_user)
     out = counts.filter(F.col(name) >= min_count)
     return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()) if ordered else out
 
@@ -208,18 +269,24 @@ def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, na
     return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.max("_n").cast("bigint").alias(name))
 
 
-def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, g: int, reach: int, name: str) -> DataFrame:
+def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, g: int, name: str, per_user: dict | None = None) -> DataFrame:
     u, t, v = _q(user), _q(ts), _q(value)
-    b = _bucket_sql(t, g)
+    width = _width_sql(u, g, per_user)
+    reach = f"(({w} + {width} - 1) DIV {width})"
+    b = _bucket_sql(t, width)
     own = rows.selectExpr(u, t, v, f"{b} AS _b", "true AS _own")
     # context: latest time per (user, value, bucket), replicated into the next
-    # buckets while it can still be inside their rows' windows
+    # buckets while it can still be inside their rows' windows, and no further
+    # than the next bucket holding the same value (which supersedes it)
     ctx = (
         rows.where(f"{v} IS NOT NULL")
         .groupBy(user, value, F.expr(b).alias("_b0"))
         .agg(F.max(ts).alias(ts))
-        .selectExpr(u, t, v, f"explode(sequence(_b0 + 1, _b0 + {reach})) AS _b", "false AS _own")
-        .where(f"unix_timestamp({t}) + {w + 1} >= _b * {g}")
+        .selectExpr(
+            u, t, v, "_b0", f"coalesce(lead(_b0) OVER (PARTITION BY {u}, {v} ORDER BY _b0), _b0 + {reach}) AS _next"
+        )
+        .selectExpr(u, t, v, f"explode(sequence(_b0 + 1, least(_b0 + {reach}, _next))) AS _b", "false AS _own")
+        .where(f"unix_timestamp({t}) + {w + 1} >= _b * {width}")
     )
     # a value occurrence counts from t until the earlier of t + w and the next
     # occurrence of the same value; each own row is also a probe
@@ -237,7 +304,7 @@ def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int,
         f"named_struct('_t', _leave, '_d', IF({v} IS NULL, 0, -1), '_probe', false)))",
     ).where(
         # a leave at or after the bucket's end comes after every probe of the bucket
-        f"_probe OR _d = 1 OR (_d = -1 AND unix_timestamp(_t) < (_b + 1) * {g})"
+        f"_probe OR _d = 1 OR (_d = -1 AND unix_timestamp(_t) < (_b + 1) * {width})"
     )
     running = f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return (
@@ -260,21 +327,28 @@ def trailing_distinct(
     ts: str = "transaction_time",
     strategy: str = "bucketed",
     bucket: str | int | None = None,
+    hot_rows: int = 2_000_000,
+    sample_fraction: float = 0.01,
     n: int | None = None,
     order_by_time_desc: bool = False,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): distinct non-null ``column`` values in [t1 - window, t1];
     kept when >= ``min_count``. With ``n``, the top ``n`` by count (ties by
-    user, then time). ``bucket``: work-split width (default: window)."""
+    user, then time). ``bucket``: work-split width (default: the window);
+    ``"auto"`` narrows it for users with bursts (``hot_user_widths``)."""
     name = name or f"{column}_in_window"
     strategy, bucket = _strategy(strategy, bucket)
-    w, g, reach = _widths(window, bucket)
     rows = _clean(df, user, ts, column)
+    per_user = None
+    if bucket == "auto":
+        per_user = hot_user_widths(rows, window, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
+        bucket = None
+    w, g, _ = _widths(window, bucket)
     if strategy == "window":
         counts = _distinct_window(rows, user, ts, column, w, name)
     else:
-        counts = _distinct_bucketed(rows, user, ts, column, w, g, reach, name)
+        counts = _distinct_bucketed(rows, user, ts, column, w, g, name, per_user)
     out = counts.filter(F.col(name) >= min_count)
     if n is not None:
         return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()).limit(n)

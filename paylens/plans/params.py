@@ -14,3 +14,4 @@ MERCHANT_SWITCH_WINDOW = "24 hours"  # default "1 hour"
 MERCHANT_SWITCH_MIN = 4              # default 4
 AS_OF = "1998-06-30"                 # default "2025-02-28"
 AS_OF_COLUMN = "debt_as_of_1998_06_30"
+TRAILING_BUCKET = "auto"            # per-user bucket widths: bursts of one user are split

@@ -177,12 +177,16 @@ def _c1_chargeback_burst(d: Dataset) -> DataFrame:
 @register("c1_card_testing")
 def _c1_card_testing(d: Dataset) -> DataFrame:
     small = trailing.small_purchases(d.transactions())
-    return trailing.trailing_count(small, P.CARD_TESTING_WINDOW, P.CARD_TESTING_MIN, name="purchases_in_1h")
+    return trailing.trailing_count(
+        small, P.CARD_TESTING_WINDOW, P.CARD_TESTING_MIN, name="purchases_in_1h", bucket=P.TRAILING_BUCKET
+    )
 
 
 @register("c1_multi_country_24h")
 def _c1_multi_country_24h(d: Dataset) -> DataFrame:
-    return trailing.trailing_distinct(d.transactions(), "country", "24 hours", 2, name="countries_in_24h", n=10)
+    return trailing.trailing_distinct(
+        d.transactions(), "country", "24 hours", 2, name="countries_in_24h", n=10, bucket=P.TRAILING_BUCKET
+    )
 
 
 @register("c2_velocity_24h")
@@ -222,6 +226,7 @@ def _c2_rapid_merchant_switch(d: Dataset) -> DataFrame:
         P.MERCHANT_SWITCH_MIN,
         name="merchants_1h",
         order_by_time_desc=True,
+        bucket=P.TRAILING_BUCKET,
     )
 
 

@@ -177,3 +177,17 @@ def test_random_inputs_match_self_join(spark, data, window, bucket):
     max_hours = secs / 3600
     gaps = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket=bucket, ordered=False)), key=repr)
     assert gaps == _brute_gaps(df, max_hours)
+
+
+def test_auto_buckets_narrow_only_hot_users_and_stay_exact(spark):
+    df = spark.createDataFrame(_random_rows(31, n=800, span_hours=30), SCHEMA)
+    widths = trailing.hot_user_widths(df, "24 hours", hot_rows=60, sample_fraction=1.0)
+    assert 1 in widths and widths[1] < 86400  # the hot user (about half the rows)
+    assert all(w < 86400 for w in widths.values())
+    secs = trailing.window_seconds("24 hours")
+    got = trailing.trailing_count(df, "24 hours", 1, name="n", bucket="auto", hot_rows=60, sample_fraction=1.0, ordered=False)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_count(df, secs)
+    got = trailing.trailing_distinct(
+        df, "country", "24 hours", 0, name="n", bucket="auto", hot_rows=60, sample_fraction=1.0, ordered=False
+    )
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_distinct(df, secs)
