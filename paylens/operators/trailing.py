@@ -367,22 +367,31 @@ def consecutive_gap(
     user: str = "user_id",
     ts: str = "transaction_time",
     bucket: str | int | None = None,
+    hot_rows: int = 2_000_000,
+    sample_fraction: float = 0.01,
     ordered: bool = True,
 ) -> DataFrame:
     """Pairs of consecutive events of a user at most ``max_hours`` apart.
 
     Output: user, prev_cb_time, transaction_time, hours_diff (whole seconds /
     3600). Equal times give a gap of 0. The previous event is found with
-    ``lag`` inside (user, bucket) groups (bucket width default max_hours).
-    Each group is seeded with the latest time of each of the earlier buckets
-    within max_hours (a partial aggregate): an event further back is more
-    than max_hours away, so no qualifying pair is lost.
+    ``lag`` inside (user, bucket) groups (bucket width default max_hours;
+    ``"auto"`` narrows it for users with bursts). Each group is seeded with
+    the latest time of each of the earlier buckets within max_hours (a
+    partial aggregate): an event further back is more than max_hours away, so
+    no qualifying pair is lost.
     """
     limit = max(1, int(-(-max_hours * 3600 // 1)))
-    _, g, reach = _widths(limit, bucket)
     u, t = _q(user), _q(ts)
-    b = _bucket_sql(t, g)
     rows = events.select(user, ts).where(f"{t} IS NOT NULL")
+    per_user = None
+    if bucket == "auto":
+        per_user = hot_user_widths(rows, limit, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
+        bucket = None
+    _, g, _ = _widths(limit, bucket)
+    width = _width_sql(u, g, per_user)
+    reach = f"(({limit} + {width} - 1) DIV {width})"
+    b = _bucket_sql(t, width)
     own = rows.selectExpr(u, t, f"{b} AS _b", "true AS _own")
     seed = (
         rows.groupBy(user, F.expr(b).alias("_b0"))

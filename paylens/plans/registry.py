@@ -171,7 +171,7 @@ def _c1_multi_device_24h(d: Dataset) -> DataFrame:
 @register("c1_chargeback_burst")
 def _c1_chargeback_burst(d: Dataset) -> DataFrame:
     tx = d.transactions()
-    return trailing.consecutive_gap(tx.filter(F.col("tx_type") == activity.CHARGEBACK), 48)
+    return trailing.consecutive_gap(tx.filter(F.col("tx_type") == activity.CHARGEBACK), 48, bucket=P.TRAILING_BUCKET)
 
 
 @register("c1_card_testing")

@@ -191,3 +191,10 @@ def test_auto_buckets_narrow_only_hot_users_and_stay_exact(spark):
         df, "country", "24 hours", 0, name="n", bucket="auto", hot_rows=60, sample_fraction=1.0, ordered=False
     )
     assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_distinct(df, secs)
+
+
+def test_auto_buckets_for_consecutive_gaps(spark):
+    data = [(u, t, c) for u, t, c in _random_rows(41, n=400, span_hours=100) if t is not None]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = sorted(rows(trailing.consecutive_gap(df, 48, bucket="auto", hot_rows=30, sample_fraction=1.0)), key=repr)
+    assert got == _brute_gaps(df, 48)
