@@ -48,6 +48,7 @@ both ends.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,9 +86,13 @@ def _bucket_sql(ts_sql: str, width: int | str) -> str:
 
 
 def _sql_literal(value: object) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return repr(value)
+    """A user key as a SQL literal (numbers and strings; other types as text)."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
 
 
 def _width_sql(user_sql: str, g: int, per_user: dict | None) -> str:
