@@ -108,3 +108,16 @@ def test_time_keyed_operators_shuffle_rows_once(spark, key):
 
 def test_risk_triage_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan_text(QUERIES["c1_risk_triage"](spark, SF))
+
+
+@pytest.mark.parametrize("key", ["c1_chargeback_burst", "c2_velocity_24h", "c1_card_testing", "ar_days_to_pay", "ap_aging"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, key):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = QUERIES[key](spark, SF)
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = duck.sql(ORACLE[key])
+    assert _bag(df.columns, got) == _bag([c[0] for c in res.description], res.fetchall())
