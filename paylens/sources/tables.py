@@ -43,6 +43,18 @@ def forget_schemas() -> None:
     _SCHEMAS.clear()
 
 
+def create_table(spark: SparkSession, name: str, path: str, schema: StructType) -> DataFrame:
+    """``CREATE TABLE name (...) USING parquet LOCATION path``: a catalog table
+    with a fixed schema over a shared folder; rows arrive via ``append_table``
+    or ``streaming.append_stream`` and are seen after ``refresh_table``."""
+    return spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
+
+
+def refresh_table(spark: SparkSession, name: str) -> None:
+    """Pick up files appended to a catalog table's folder since it was read."""
+    spark.catalog.refreshTable(name)
+
+
 def rows_to_frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """Rows given as literals (the seed inserts of the analyses) -> DataFrame.
 

@@ -48,3 +48,20 @@ def test_materialized_domain_tables_give_same_results(spark):
     ):
         a, b = build(raw), build(stored)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_create_table_with_fixed_schema_then_append(spark):
+    from conftest import SEED_INVOICES
+
+    from paylens.sources import schemas
+    from paylens.sources.tables import append_table, create_table, refresh_table, rows_to_frame
+
+    folder = tempfile.mkdtemp(prefix="paylens-table-") + "/invoices"
+    name = f"invoices_{os.getpid()}"
+    table = create_table(spark, name, folder, schemas.INVOICES)
+    assert [f.name for f in table.schema.fields] == [f.name for f in schemas.INVOICES.fields]
+    assert table.count() == 0
+    append_table(rows_to_frame(spark, SEED_INVOICES, schemas.INVOICES), folder)
+    refresh_table(spark, name)
+    assert spark.table(name).count() == len(SEED_INVOICES)
+    spark.sql(f"DROP TABLE {name}")
