@@ -69,3 +69,17 @@ def test_sql_over_registered_views_matches_operator(spark, data):
     via_sql = spark.sql(sql)
     via_op = ledger.open_balance(data.bills(), data.payment_applications(), ordered=False)
     assert via_sql.exceptAll(via_op).count() == 0 and via_op.exceptAll(via_sql).count() == 0
+
+
+def test_adapted_receivables_meet_their_declared_constraints(data):
+    from paylens.operators import quality
+
+    tables = {
+        "customers": data.customers(),
+        "invoices": data.invoices(),
+        "payments": data.payments(),
+        "cash_applications": data.cash_applications(),
+    }
+    got = rows(quality.constraint_violations(tables), "table_name", "check_name", "column_name", "violations")
+    assert len(got) == 4 + (1 + 6 + 4 + 5) + (1 + 1 + 2)
+    assert [r for r in got if r[3]] == []
