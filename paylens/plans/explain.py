@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import DataFrame
 
@@ -34,3 +35,29 @@ def plan_text(df: DataFrame, final: bool = False) -> str:
 def formatted(df: DataFrame) -> str:
     """``explain("formatted")`` output as a string."""
     return _explain(df, "formatted")
+
+
+def shuffle_profile(text: str) -> dict[str, object]:
+    """Counts from a plan's text: Parquet scans, hash exchanges moving rows
+    (``raw_shuffles``) or partial aggregates (``agg_shuffles``), range
+    exchanges (global sorts), broadcasts, join strategies, windows, top-k."""
+    lines = [ln.lstrip(" :+-") for ln in text.splitlines()]
+    raw = agg = 0
+    for i, ln in enumerate(lines):
+        if ln.startswith("Exchange hashpartitioning"):
+            child = lines[i + 1] if i + 1 < len(lines) else ""
+            if child.startswith("HashAggregate"):
+                agg += 1
+            else:
+                raw += 1
+    joins = sorted({m.group(1) for ln in lines for m in [re.match(r"(\w*Join)\b", ln)] if m})
+    return {
+        "scans": sum(ln.startswith("FileScan parquet") for ln in lines),
+        "raw_shuffles": raw,
+        "agg_shuffles": agg,
+        "range": sum(ln.startswith("Exchange rangepartitioning") for ln in lines),
+        "broadcast": sum(ln.startswith("BroadcastExchange") for ln in lines),
+        "joins": ", ".join(joins) or "-",
+        "windows": sum(ln.startswith("Window ") for ln in lines),
+        "topk": "yes" if any(ln.startswith("TakeOrderedAndProject") for ln in lines) else "",
+    }

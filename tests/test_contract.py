@@ -121,3 +121,27 @@ def test_results_do_not_depend_on_session_time_zone(spark, duck, key):
         spark.conf.set("spark.sql.session.timeZone", old)
     res = duck.sql(ORACLE[key])
     assert _bag(df.columns, got) == _bag([c[0] for c in res.description], res.fetchall())
+
+
+NO_RAW_ROW_SHUFFLE = [
+    "c1_overview", "c1_chargeback_ratio", "c1_high_risk_users", "c1_risk_triage", "c2_overview",
+    "c2_user_behaviour", "c2_high_decline", "c2_merchant_concentration", "c1_multi_device_24h",
+    "c2_multi_device_24h", "c2_multi_country_24h", "dq_primary_key",
+]
+
+
+def test_at_scale_aggregates_move_only_partial_aggregates(spark):
+    from paylens.plans.explain import shuffle_profile
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at 100 TB: nothing is small
+    try:
+        profiles = {k: shuffle_profile(plan_text(QUERIES[k](spark, SF))) for k in sorted(QUERIES)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for key in NO_RAW_ROW_SHUFFLE:
+        assert profiles[key]["raw_shuffles"] == 0, (key, profiles[key])
+    for key in ("ap_open_balance", "ap_unapplied_payments", "ap_unpaid_bills", "ap_vendor_debt"):
+        assert profiles[key]["raw_shuffles"] <= 1, (key, profiles[key])  # the documents, once
+    # broadcasts only where a dimension (customer names, nations) passed the size check
+    with_broadcast = {k for k, p in profiles.items() if p["broadcast"]}
+    assert with_broadcast <= {"ar_slowest_paid", "ar_timeliness_by_customer", "dq_not_null"}, with_broadcast

@@ -16,38 +16,14 @@ partitions, switch a join to broadcast or split skewed partitions).
 from __future__ import annotations
 
 import os
-import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from paylens.plans.explain import plan_text  # noqa: E402
+from paylens.plans.explain import plan_text, shuffle_profile  # noqa: E402
 from paylens.session import build_session  # noqa: E402
 
 
-def summarize(text: str) -> dict[str, object]:
-    lines = [ln.lstrip(" :+-") for ln in text.splitlines()]
-    raw = agg = 0
-    for i, ln in enumerate(lines):
-        if ln.startswith("Exchange hashpartitioning"):
-            child = lines[i + 1] if i + 1 < len(lines) else ""
-            if child.startswith("HashAggregate"):
-                agg += 1
-            else:
-                raw += 1
-    joins = sorted({m.group(1) for ln in lines for m in [re.match(r"(\w*Join)\b", ln)] if m})
-    return {
-        "scans": sum(ln.startswith("FileScan parquet") for ln in lines),
-        "raw_shuffles": raw,
-        "agg_shuffles": agg,
-        "range": sum(ln.startswith("Exchange rangepartitioning") for ln in lines),
-        "broadcast": sum(ln.startswith("BroadcastExchange") for ln in lines),
-        "joins": ", ".join(joins) or "-",
-        "windows": sum(ln.startswith("Window ") for ln in lines),
-        "topk": "yes" if any(ln.startswith("TakeOrderedAndProject") for ln in lines) else "",
-    }
-
-
 def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     root = args[0] if args else "/root/testdata/sf0.1"
@@ -60,7 +36,7 @@ def main() -> None:
     print("| key | " + " | ".join(cols) + " |")
     print("| --- " * (len(cols) + 1) + "|")
     for key in sorted(qs):
-        s = summarize(plan_text(qs[key](spark, root)))
+        s = shuffle_profile(plan_text(qs[key](spark, root)))
         print(f"| {key} | " + " | ".join(str(s[c]) for c in cols) + " |")
 
 
