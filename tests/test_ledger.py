@@ -99,3 +99,17 @@ def test_aging_buckets(ap):
         (3, m("55.00"), m("0.00"), m("25.00"), m("0.00")),  # 30 has no due date, 31 at 58 days
         (4, m("0.00"), m("0.00"), m("0.00"), m("0.00")),
     ]
+
+
+def test_aging_bucket_edges_with_open_balances(spark):
+    bills = spark.createDataFrame(
+        [
+            (5, 50, m("10.00"), d("2025-02-28")),  # 0 days: current
+            (5, 51, m("20.00"), d("2024-12-30")),  # 60 days: 31-60
+            (5, 52, m("40.00"), d("2025-03-01")),  # -1 day: total only
+        ],
+        schemas.BILLS,
+    )
+    apps = spark.createDataFrame([], schemas.PAYMENT_APPLICATIONS)
+    vendors = spark.createDataFrame([(5,)], schemas.VENDORS)
+    assert rows(ledger.aging(vendors, bills, apps, AS_OF)) == [(5, m("70.00"), m("10.00"), m("20.00"), m("0.00"))]

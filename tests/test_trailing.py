@@ -198,3 +198,14 @@ def test_auto_buckets_for_consecutive_gaps(spark):
     df = spark.createDataFrame(data, SCHEMA)
     got = sorted(rows(trailing.consecutive_gap(df, 48, bucket="auto", hot_rows=30, sample_fraction=1.0)), key=repr)
     assert got == _brute_gaps(df, 48)
+
+
+def test_small_purchases_amount_bounds(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame(
+        [(1, "purchase", Decimal(a)) for a in ("0.00", "0.01", "10.00", "10.01")] + [(1, "chargeback", Decimal("5.00"))],
+        "user_id bigint, tx_type string, amount decimal(18,2)",
+    )
+    got = sorted(r[0] for r in trailing.small_purchases(df).select("amount").collect())
+    assert got == [Decimal("0.01"), Decimal("10.00")]  # 0 < amount <= 10, purchases only
