@@ -95,14 +95,29 @@ def recent_count(
     """Per user: rows (matching ``when``) in the last ``hours``.
 
     Without ``min_count`` every user is listed (0 when only undated rows), as
-    in the velocity report; with it, users below the threshold drop out.
+    in the velocity report; with it, users below the threshold drop out. With
+    both ``when`` and a threshold, only the matching rows are joined to the
+    users' latest times, so the shuffle moves just those rows.
     """
-    cols = [user, ts] + ([] if when is None else [when.alias("_when")])
-    scored = with_hours_from_last(tx.select(*cols), user=user, ts=ts)
-    cond = F.col("hours_from_last") <= hours
-    if when is not None:
-        cond = cond & F.col("_when")
-    out = scored.groupBy(user).agg(sum_flag(cond).alias(name))
-    if min_count is not None:
-        out = out.filter(F.col(name) >= min_count)
+    if when is not None and min_count is not None and min_count >= 1:
+        # only matching rows can count, and users below the threshold drop out:
+        # join just those rows to the latest time over all rows (an aggregate)
+        last = tx.groupBy(F.col(user).alias("_u")).agg(F.max(ts).alias("_last"))
+        hits = tx.where(when).select(user, ts)
+        out = (
+            hits.join(last, hits[user].eqNullSafe(last["_u"]))
+            .where(hours_between("_last", ts) <= hours)
+            .groupBy(user)
+            .agg(F.count(F.lit(1)).alias(name))
+            .where(F.col(name) >= min_count)
+        )
+    else:
+        cols = [user, ts] + ([] if when is None else [when.alias("_when")])
+        scored = with_hours_from_last(tx.select(*cols), user=user, ts=ts)
+        cond = F.col("hours_from_last") <= hours
+        if when is not None:
+            cond = cond & F.col("_when")
+        out = scored.groupBy(user).agg(sum_flag(cond).alias(name))
+        if min_count is not None:
+            out = out.filter(F.col(name) >= min_count)
     return out.orderBy(F.col(name).desc(), F.col(user).asc()) if ordered else out
