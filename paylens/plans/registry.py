@@ -149,12 +149,12 @@ def _ar_timeliness_summary(d: Dataset) -> DataFrame:
 
 @register("ar_timeliness_by_customer")
 def _ar_timeliness_by_customer(d: Dataset) -> DataFrame:
-    return matching.timeliness_by_customer(*_ar(d), d.customers())
+    return matching.timeliness_by_customer(*_ar(d), d.customer_names())
 
 
 @register("ar_slowest_paid")
 def _ar_slowest_paid(d: Dataset) -> DataFrame:
-    return matching.slowest_paid(*_ar(d), d.customers())
+    return matching.slowest_paid(*_ar(d), d.customer_names())
 
 
 # ---- recency, concentration, trailing windows ------------------------------------

@@ -170,6 +170,11 @@ class Dataset:
     def customers(self) -> DataFrame:
         return customers(self.raw("customer"), self.raw("nation"))
 
+    def customer_names(self) -> DataFrame:
+        """(customer_id, customer_name) only: no nation lookup, so the size
+        estimate is the customer table's own and a left join is not carried."""
+        return self.raw("customer").selectExpr("c_custkey AS customer_id", "c_name AS customer_name")
+
     def invoices(self) -> DataFrame:
         return invoices(self.raw("orders"))
 
