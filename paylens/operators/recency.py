@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.exprs import count_where, hours_between, sum_flag
+from paylens.functions.exprs import hours_between, sum_flag
 from paylens.operators.activity import PURCHASE
 
 
@@ -43,16 +43,31 @@ def recent_activity(
     type_col: str = "tx_type",
     ordered: bool = True,
 ) -> DataFrame:
-    """Distinct cards and purchases in the last ``hours``; users with >= ``min_cards`` cards."""
-    scored = with_hours_from_last(tx.select(user, ts, card, type_col), user=user, ts=ts)
-    recent = F.col("hours_from_last") <= hours
-    out = (
-        scored.groupBy(user)
-        .agg(
-            F.countDistinct(F.when(recent, F.col(card))).alias("cards_last_24h"),
-            count_where((F.col(type_col) == PURCHASE) & recent).alias("purchases_last_24h"),
-        )
-        .filter(F.col("cards_last_24h") >= min_cards)
+    """Distinct cards and purchases in the last ``hours``; users with >= ``min_cards`` cards.
+
+    Cards come from the per-(user, card) latest time (partial aggregates
+    only); purchases from joining just the purchase rows to the users'
+    latest times; the two per-user results are then joined (0 purchases when
+    none fall in the window).
+    """
+    latest = tx.groupBy(user, card).agg(F.max(ts).alias(ts))
+    last = latest.groupBy(F.col(user).alias("_u")).agg(F.max(ts).alias("_last"))
+    cards = (
+        latest.join(last, latest[user].eqNullSafe(last["_u"]))
+        .where(hours_between("_last", ts) <= hours)
+        .groupBy(user)
+        .agg(F.count(card).alias("cards_last_24h"))
+        .where(F.col("cards_last_24h") >= min_cards)
+    )
+    buys = tx.where(F.col(type_col) == PURCHASE).select(user, ts)
+    purchases = (
+        buys.join(last, buys[user].eqNullSafe(last["_u"]))
+        .where(hours_between("_last", ts) <= hours)
+        .groupBy(F.col(user).alias("_pu"))
+        .agg(F.count(F.lit(1)).alias("_p"))
+    )
+    out = cards.join(purchases, cards[user].eqNullSafe(purchases["_pu"]), "left").select(
+        user, "cards_last_24h", F.coalesce(F.col("_p"), F.lit(0)).alias("purchases_last_24h")
     )
     return out.orderBy(F.col("cards_last_24h").desc(), F.col("purchases_last_24h").desc(), F.col(user).asc()) if ordered else out
 
