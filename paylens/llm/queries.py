@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import content_sort_dedup, hilbert_shards, mixing, multiset_hash
+from paylens.llm import bpe_codec, content_sort_dedup, hilbert_shards, mixing, multiset_hash, token_counts
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -22,21 +22,34 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(spark, sf_dir).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return content_sort_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_points")
 
 
-def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_sort_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+def _vocabulary() -> str:
+    """The public tokenizer file the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_multiset_hash": op2_multiset_hash,
     "op3_content_sort": op3_content_sort,
+    "op4_bpe_transducer": op4_bpe_transducer,
     "op7_mixing": op7_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
