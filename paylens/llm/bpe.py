@@ -22,8 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paylens.llm.workspace import ship_package
+
 # ---- fixed values: Unicode white space, without the separators 1C to 1F that str.split() also cuts at ----
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE_CODES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACES = re.compile("[" + "".join(map(chr, SPACE_CODES)) + "]+")
 OTHER_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -150,5 +153,6 @@ def frequent_words(docs: DataFrame, path: str, top: int, per_task: int, text: st
             {"word": pa.array([w for w, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())}
         )
 
+    ship_package(docs.sparkSession)
     counted = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(top).collect()]

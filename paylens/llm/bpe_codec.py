@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm import bpe
 from paylens.llm.transducer import Lexicon, compile_lexicon
+from paylens.llm.workspace import ship_package
 
 LEXICON_WORDS = 50_000
 WORDS_PER_TASK = 20_000
@@ -98,6 +99,7 @@ def encode(
     gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     words = bpe.frequent_words(docs, vocabulary, lexicon_words, WORDS_PER_TASK, text) if lexicon_words else []
     lexicon_file = ship_lexicon(spark, words, vocabulary) if words else None
     id_type = docs.schema[doc_id].dataType.simpleString()

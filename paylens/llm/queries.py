@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe_codec, content_sort_dedup, hilbert_shards, mixing, multiset_hash, token_counts
+from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, token_counts
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_components(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multiset_hash": op2_multiset_hash,
     "op3_content_sort": op3_content_sort,
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op6_hamming_join": op6_hamming_join,
     "op7_mixing": op7_mixing,
     "op10_token_counts": op10_token_counts,
 }
