@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, token_counts
+from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, quality, token_counts, wacz
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = wacz.archive_round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.near_components(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary())
 
@@ -53,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multiset_hash": op2_multiset_hash,
     "op3_content_sort": op3_content_sort,
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op5_wacz": op5_wacz,
     "op6_hamming_join": op6_hamming_join,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
