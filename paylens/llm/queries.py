@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, quality, token_counts, wacz
+from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, wacz
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.repeated_spans(_read(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary())
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hamming_join": op6_hamming_join,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_suffix_levels": op9_suffix_levels,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
