@@ -27,7 +27,7 @@ SAMPLE_PER_RANGE = 50
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when identical without blanks (null counts as empty). Of equal
     texts the row with the most code points in its original text stays, then the
@@ -42,6 +42,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         docs.select(
             F.col(doc_id).cast("bigint").alias("doc_id"),
             F.length(body).alias("n_points"),
+            F.xxhash64(body).alias("text_hash"),
             F.translate(body, BLANKS, "").alias("norm"),
         )
         .withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
@@ -65,7 +66,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .withColumn("is_first", F.row_number().over(order) == 1)
         .withColumn("is_last", F.lead("part").over(order).isNull())
         .select(
-            "doc_id", "id_key", "n_points", "sha", "part", "run", "again", "is_first", "is_last",
+            "doc_id", "id_key", "n_points", "text_hash", "sha", "part", "run", "again", "is_first", "is_last",
             F.when(F.col("is_first") | F.col("is_last"), F.col("norm")).alias("edge"),
         ),
         "rows",
@@ -85,7 +86,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.col("group_size").cast("bigint").alias("group_size"),
         ((F.col("id_key") == keep) & (F.col("n_points") == -F.col("best.minus")) & ~F.col("again")).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        "n_points",
+        "text_hash",
     )
 
 

@@ -100,7 +100,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash.
 
     Linked are documents whose sets of 5-word shingles have
     100 * |intersection| >= percent * |union|; ``component_id`` is the smallest id
@@ -139,13 +139,14 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_print = named.join(ids, "component").select("print", "component_id")
-    out = sigs.select("doc_id", "n", "print").join(of_print, "print", "left")
+    out = sigs.select("doc_id", "text_hash", "n", "print").join(of_print, "print", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
     )
 
 

@@ -83,10 +83,10 @@ def mix(
     source: str = "source",
     quality: Column | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, epochs, taken.
+    """One row per document: doc_id, size, source, source_size, target, passes, taken, text_hash.
 
-    ``size`` counts words (null text: 0); ``taken`` is size times the passes that
-    take the document: ``epochs`` complete ones, and one more for those drawn. The
+    ``size`` counts words (null text: 0); ``taken`` is size times ``passes``, the passes
+    that take the document: ``epochs`` complete ones, and one more for those drawn. The
     draw stops where the running sum is nearest to the rest of the target, so a
     source misses it by half a document at most. ``quality`` weighs documents
     (default: ``prose_quality``); below 0.000001 or null counts as that.
@@ -105,6 +105,7 @@ def mix(
             F.col(source).alias("source"),
             F.regexp_count(body, F.lit(WORD)).cast("bigint").alias("size"),
             (-F.log(uniform(F.col(doc_id), seed)) / F.greatest(worth, F.lit(1e-6))).alias("key"),
+            F.xxhash64(body).alias("text_hash"),
             F.rand(7).alias("tie"),
         ).withColumn("step", F.floor((1 - F.exp(-F.col("key"))) * intervals).cast("int")),
         "rows",
@@ -119,12 +120,7 @@ def mix(
     ranked = rows.withColumn("upto", F.sum("size").over(inside))
     joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("src")) & (F.col("step") == F.col("st")))
     drawn = F.col("start") + F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    return joined.select(
-        "doc_id",
-        "size",
-        "source",
-        "source_size",
-        "target",
-        "epochs",
-        (F.col("size") * (F.col("epochs") + F.when(drawn, 1).otherwise(0))).cast("bigint").alias("taken"),
+    passes = (F.col("epochs") + F.when(drawn & (F.col("rest") > 0), 1).otherwise(0)).cast("bigint")
+    return joined.withColumn("passes", passes).select(
+        "doc_id", "size", "source", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), "text_hash"
     )

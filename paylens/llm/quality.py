@@ -157,7 +157,8 @@ def classify(
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, quality, toxic (probabilities after pooling), own_quality,
-    own_toxic (before), host_quality, path_quality, host_toxic, path_toxic (shrunk rates), kept.
+    own_toxic (before), host_quality, path_quality, host_toxic, path_toxic (shrunk rates), kept,
+    text_hash.
 
     ``kept``: more likely good than not, and more likely not toxic than toxic.
     ``host`` and ``path`` default to the columns source and lang. Null hosts and
@@ -183,8 +184,8 @@ def classify(
                     own[k].append(float(w[k][found].sum(dtype=np.float64)))
                 own[2].append(len(found) > SHAPES + 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(own[0], pa.float64()), pa.array(own[1], pa.float64()), pa.array(own[2], pa.bool_())],
-                ["doc_id", "host", "path", "e_quality", "e_toxic", "has_words"],
+                [*(batch.column(i) for i in range(4)), pa.array(own[0], pa.float64()), pa.array(own[1], pa.float64()), pa.array(own[2], pa.bool_())],
+                ["doc_id", "host", "path", "text_hash", "e_quality", "e_toxic", "has_words"],
             )
 
     host = docs["source"] if host is None else host
@@ -194,8 +195,8 @@ def classify(
         F.concat(F.lit("="), host.cast("string")).alias("host"),
         F.concat(F.lit("="), path.cast("string")).alias("path"),
         docs[text].alias("text"),
-    ).select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "text")
-    rows = read.mapInArrow(score, "doc_id bigint, host string, path string, e_quality double, e_toxic double, has_words boolean")
+    ).select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    rows = read.mapInArrow(score, "doc_id bigint, host string, path string, text_hash bigint, e_quality double, e_toxic double, has_words boolean")
     for name in ("quality", "toxic"):
         rows = rows.withColumn(f"p_{name}", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"e_{name}"))))))
     rows = ws.table(rows, "own")
@@ -229,6 +230,7 @@ def classify(
         "host_toxic",
         "path_toxic",
         (F.col("has_words") & (F.col("final_quality") > 0) & (F.col("final_toxic") < 0)).alias("kept"),
+        "text_hash",
     )
 
 

@@ -22,10 +22,10 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_sort_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_points")
+    return content_sort_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     """The public tokenizer file the contracts name."""
     import public_tokenizers
 
@@ -33,7 +33,7 @@ def _vocabulary() -> str:
 
 
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode(_read(spark, sf_dir, "documents"), _vocabulary())
+    return bpe_codec.encode(_read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming_join.near_components(_read(spark, sf_dir, "documents"))
+    return hamming_join.near_components(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"), _vocabulary())
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
