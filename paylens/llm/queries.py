@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, wacz
+from paylens.llm.oracle import ORACLE
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -73,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_levels": op9_suffix_levels,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES", "vocabulary"]
