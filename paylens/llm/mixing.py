@@ -59,9 +59,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
         .withColumn("weight_from", F.sum("weight").over(by_fill.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("level", (F.col("total") - F.col("caps_before")) / F.col("weight_from"))
-        .withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("cap") / F.col("weight")))
+        .withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
     )
-    first = F.min_by("level", "fits").over(everything)
+    # levels fall from the first that fits on, ties included
+    first = F.max("fits").over(everything)
     out = out.withColumn("target", F.least(F.col("cap"), F.coalesce(first * F.col("weight"), F.col("cap"))))
     out = out.withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")

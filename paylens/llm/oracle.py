@@ -156,7 +156,7 @@ w AS (
     sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from,
     sum(source_size) OVER () * 1.5::DOUBLE AS total FROM w
 ), l AS (SELECT *, (total - caps_before) / weight_from AS level FROM o),
-f AS (SELECT min_by(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
+f AS (SELECT max(level) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT l.source, l.source_size, least(cap, coalesce(f.level * weight, cap)) AS target FROM l, f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 r AS (

@@ -9,8 +9,8 @@ host and of every path within a host are plain sums over all documents. A host's
 rate is shrunk toward the global rate, a path's toward its host's: with few
 documents it stays there, with many it becomes the site's own. How strongly is
 estimated from how much hosts and paths differ (method of moments). A document's
-log odds are its own evidence with the training prior replaced by its path's rate,
-from which the document itself is left out.
+log odds are its own evidence with the global rate replaced by its path's, from
+which the document itself is left out.
 """
 
 from __future__ import annotations
@@ -107,6 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> np.
         kept, cols = np.unique(cols, return_inverse=True)
         value = scale[kept][cols]
         w, m, v = np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(len(kept))
+        w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))  # the constant starts at the labels' log odds
         for t in range(1, rounds + 1):
             z = np.bincount(owner, value * w[cols], len(y))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -138,13 +139,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return sorted((r["l_id"], bytes(r["features"]), r["quality"], r["toxic"]) for r in found.collect())
 
 
-def train(sample: list) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, prior log odds) of the quality and the toxicity model."""
+def train(sample: list) -> np.ndarray:
+    """Weights of the quality and the toxicity model; zeros without a sample."""
     if not sample:
-        return np.zeros((2, SIZE), np.float32), np.zeros(2)
-    y = np.array([[q, t] for _, _, q, t in sample], float)
-    prior = (y.sum(axis=0) + 0.5) / (len(y) + 1)
-    return fit([np.frombuffer(f, np.int32) for _, f, _, _ in sample], y), np.log(prior / (1 - prior))
+        return np.zeros((2, SIZE), np.float32)
+    return fit([np.frombuffer(f, np.int32) for _, f, _, _ in sample], np.array([[q, t] for _, _, q, t in sample], float))
 
 
 def classify(
@@ -165,13 +164,13 @@ def classify(
     paths are a site of their own. Null text counts as empty; a document without
     words is not kept. Repeated rows each count in their site's rate. Labels with a
     null or for unknown ids are not used; of several labels of an id one is. Without
-    labels all scores are 0.5 before pooling. An empty table gives an empty result.
+    labels all scores are 0.5 and nothing is kept. An empty table gives an empty result.
     Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     ws = Workspace(spark, "quality")
-    weights, prior = train(labelled_sample(docs, labels, sample_rows, doc_id, text))
+    weights = train(labelled_sample(docs, labels, sample_rows, doc_id, text))
     model = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +208,7 @@ def classify(
     whole, strength_host, strength_path = _strengths(paths, hosts)
     placed = rows.join(sites, ["host", "path"])
     out = placed
-    for k, name in enumerate(("quality", "toxic")):
+    for name in ("quality", "toxic"):
         p = F.col(f"p_{name}")
         # the document itself is left out of its site's sums
         host_rate = (F.col(f"h_{name}") - p + strength_host[name] * whole[name]) / (F.col("h_n") - 1 + strength_host[name])
@@ -217,7 +216,8 @@ def classify(
         path_rate = (F.col(name) - p + strength_path[name] * F.col(f"host_{name}")) / (F.col("n") - 1 + strength_path[name])
         out = out.withColumn(f"path_{name}", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path_rate)))
         site = F.log(F.col(f"path_{name}") / (1 - F.col(f"path_{name}")))
-        out = out.withColumn(f"final_{name}", F.col(f"e_{name}") - F.lit(float(prior[k])) + site)
+        usual = float(np.log(whole[name] / (1 - whole[name])))
+        out = out.withColumn(f"final_{name}", F.col(f"e_{name}") - F.lit(usual) + site)
     odds = lambda c: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(c)))))
     return out.select(
         "doc_id",

@@ -1,0 +1,148 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from paylens.llm import hamming_join, suffix_levels
+from tests.llm.conftest import edge_rows, make, words
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [shingles(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[top(i)].append(rows[i][0])
+    least = {t: min((x for x in ids if x is not None), default=None) for t, ids in groups.items()}
+    return [(r[0], len(s), least[top(i)] if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def family(seed=1, members=150):
+    """Copies with light to heavy edits of one text, chains of small edits, and loners."""
+    rng = random.Random(seed)
+    base = words(rng, 150).split(" ")
+    rows = []
+    for i in range(members):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 10, 30])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((i * 7 % 1009, " ".join(w), "en", "s"))
+    w = words(rng, 100).split(" ")
+    for i in range(25):
+        w = list(w)
+        w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((2000 - i, " ".join(w), "en", "s"))
+    return rows + [(3000 + i, words(rng, rng.randint(1, 60)), "en", "s") for i in range(40)]
+
+
+@pytest.mark.parametrize("rows", [edge_rows(), family()], ids=["edge", "family"])
+def test_components_equal_brute_force(spark, rows):
+    got = hamming_join.near_components(make(spark, rows)).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(rows), key=key)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_no_documents(empty):
+    assert hamming_join.near_components(empty).count() == 0
+    assert suffix_levels.repeated_spans(empty).count() == 0
+
+
+def test_pairs_within_the_distance_share_a_key():
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 16, (200, hamming_join.POSITIONS)).astype("<u2")
+    other = sigs.copy()
+    for row in other:
+        row[rng.choice(hamming_join.POSITIONS, hamming_join.MOST, replace=False)] ^= 1
+    a, b = hamming_join.chunk_keys(sigs), hamming_join.chunk_keys(other)
+    assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def brute_repeats(rows):
+    NO = 1 << 63
+    texts = [(NO if i is None else i, (t or "").encode()) for i, t, *_ in rows]
+    first = {}
+    for i, t in texts:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], NO))
+    out = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        runs = len([x for x in bytes(gone).split(b"\0") if x])
+        out.append((None if i == NO else i, len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def repeats():
+    rng = random.Random(4)
+    passage, line = words(rng, 40), "the same line in many documents, of over fifty bytes in all"
+    rows = []
+    for i in range(120):
+        parts = [words(rng, rng.randint(1, 60)) for _ in range(3)]
+        if i % 3 == 0:
+            parts.insert(1, passage[rng.randint(0, 60) :])
+        if i % 4 == 0:
+            parts += [line] * rng.randint(1, 3)
+        if i % 10 == 0:
+            parts = [passage[:49], passage[100:149], "ab" * 40, "é" * 26]
+        rows.append((500 - i, "\n".join(parts), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [edge_rows(), repeats()], ids=["edge", "repeats"])
+def test_removed_bytes_equal_brute_force(spark, rows):
+    got = suffix_levels.repeated_spans(make(spark, rows)).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    fields = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[f] for f in fields) for r in got), key=key) == sorted(brute_repeats(rows), key=key)
+    assert all(sum(r["removed"][1::2]) - sum(r["removed"][::2]) == r["n_removed"] and len(r["removed"]) == 2 * r["n_spans"] for r in got)
+
+
+def test_levels_merge_geometrically_and_find_all():
+    rng = np.random.default_rng(2)
+    family, seen = suffix_levels.Levels(), {}
+    for batch in range(64):
+        keys, ids = rng.integers(0, 900, 50).astype(np.uint64), rng.integers(0, 10_000, 50)
+        family.add(keys, ids)
+        for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
+            lo, hi = seen.get(k, (i, i))
+            seen[k] = min(lo, i), max(hi, i)
+    assert len(family.levels) <= 8
+    low, high = family.find(np.array(list(seen), np.uint64))
+    assert list(zip(low.tolist(), high.tolist(), strict=True)) == list(seen.values())
+
+
+def test_anchors_of_equal_windows_are_equal(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole, hashes = suffix_levels.anchors(data)
+    shifted, _ = suffix_levels.anchors(data[777:])
+    assert (shifted + 777 == whole[777:]).all() and len(hashes) == len(data) - 19
+    monkeypatch.setattr(suffix_levels, "PIECE", 311)
+    assert (suffix_levels.anchors(data)[0] == whole).all()
