@@ -8,7 +8,6 @@ collected to the driver. Sub-packages:
 * ``operators``  -- the analytical operators (activity, recency, trailing windows,
                     concentration, ledger, matching, data-quality checks)
 * ``plans``      -- join/broadcast policy, plan inspection, the query registry
-* ``streaming``  -- incremental append of new rows into the tables
 """
 
 from paylens.session import build_session, checkpoint_dir, scale_settings

@@ -1,13 +1,14 @@
-"""Column listing of a table (position, name, SQL type name).
+"""Column listing of a table: position, name, SQL type, and whether it holds nulls.
 
-Parquet files and DataFrames carry no primary-key or NOT NULL constraints,
-so only position, name and type are listed; declared constraints are
-checked against the data by ``operators.quality``.
+Parquet files and DataFrames carry no NOT NULL constraints, so the flag is read
+from the rows: one aggregate counts the nulls of every column. Declared
+constraints are checked by ``operators.quality``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
     DataType,
@@ -45,6 +46,19 @@ def sql_type_name(t: DataType) -> str:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """(cid, name, type) per column of ``df``, in column order."""
-    rows = [(i, f.name, sql_type_name(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "cid int, name string, type string")
+    """(cid, name, type, not_null, row_count) per column of ``df``; ``not_null`` is 1
+    for a column without nulls."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.expr(f"count_if(`{c}` IS NULL)").alias(f"_{c}") for c in df.columns])
+    columns = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("cid"),
+                F.lit(f.name).alias("name"),
+                F.lit(sql_type_name(f.dataType)).alias("type"),
+                F.when(F.col(f"_{f.name}") == 0, 1).otherwise(0).alias("not_null"),
+                F.col("_rows").alias("row_count"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    return counts.select(F.inline(columns))

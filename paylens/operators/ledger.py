@@ -8,7 +8,8 @@ An as-of date limits the *applications* before the join (a bill issued after
 the date still counts as debt; a null application date counts as unpaid).
 
 These forms equal the source analyses' raw left-join-then-group queries when
-document keys are unique; check that with ``quality.duplicate_keys``.
+document keys are unique; check that with ``quality.duplicate_keys``. A party
+listed several times is one row whose debt counts once per listing.
 """
 
 from __future__ import annotations
@@ -103,6 +104,11 @@ def _bill_debt_as_of(bills: DataFrame, apps: DataFrame, as_of: str, party: str,
     return bills.filter(F.col(key).isNotNull()).join(per_key, key, "left").select(party, *extra, rest)
 
 
+def _listed(parties: DataFrame, party: str) -> DataFrame:
+    """Each party once, with how often it is listed (a partial count)."""
+    return parties.groupBy(party).agg(F.count(F.lit(1)).cast("decimal(10,0)").alias("_listed"))
+
+
 def debt_as_of(
     parties: DataFrame,
     bills: DataFrame,
@@ -123,8 +129,8 @@ def debt_as_of(
     column = column or "debt_as_of_" + str(_to_date(as_of)).replace("-", "_")
     per_bill = _bill_debt_as_of(bills, apps, as_of, party, key, amount, applied, ())
     per_party = per_bill.groupBy(party).agg(F.sum("remaining_debt").alias("_debt"))
-    out = parties.select(party).join(per_party, party, "left").select(
-        party, F.coalesce(F.col("_debt"), F.lit(0)).cast(MONEY_SUM).alias(column)
+    out = _listed(parties, party).join(per_party, party, "left").select(
+        party, (F.coalesce(F.col("_debt"), F.lit(0)) * F.col("_listed")).cast(MONEY_SUM).alias(column)
     )
     return out.orderBy(party) if ordered else out
 
@@ -159,7 +165,7 @@ def aging(
         aggs.append(F.expr(f"sum(CASE WHEN {cond} THEN remaining_debt ELSE 0 END)").alias(name))
     per_party = per_bill.groupBy(party).agg(*aggs)
     names = ["total_debt"] + [b[0] for b in buckets]
-    out = parties.select(party).join(per_party, party, "left").selectExpr(
-        f"`{party}`", *[f"CAST(coalesce(`{n}`, 0) AS DECIMAL(38,2)) AS `{n}`" for n in names]
+    out = _listed(parties, party).join(per_party, party, "left").selectExpr(
+        f"`{party}`", *[f"CAST(coalesce(`{n}`, 0) * _listed AS DECIMAL(38,2)) AS `{n}`" for n in names]
     )
     return out.orderBy(party) if ordered else out

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions.exprs import days_between
-from paylens.plans.joins import broadcast_if_small
 
 LATE, ON_TIME = "LATE", "ON_TIME"
 
@@ -113,7 +112,7 @@ def timeliness_by_customer(
         .groupBy("customer_id", payment_status().alias("payment_status"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    names = broadcast_if_small(customers.select("customer_id", "customer_name"))
+    names = customers.select("customer_id", "customer_name")
     out = (
         per_id.join(names, "customer_id")
         .groupBy("customer_name", "payment_status")
@@ -131,16 +130,17 @@ def slowest_paid(
 ) -> DataFrame:
     """Top ``n`` applications by days to pay, with the customer name.
 
-    Ties on days to pay are broken by invoice_id, then payment_id.
+    Ties on days to pay are broken by invoice_id, then payment_id. The top rows are
+    found among matches whose customer is known, by ids alone; only they are joined
+    to names.
     """
-    names = broadcast_if_small(customers.select("customer_id", "customer_name"))
-    rows = matched(invoices, applications, payments).join(names, "customer_id").select(
-        "invoice_id",
-        "customer_name",
-        "invoice_date",
-        "payment_date",
-        days_between("payment_date", "invoice_date").alias("days_to_pay"),
-        "payment_id",
+    order = [F.col("days_to_pay").desc(), F.col("invoice_id").asc(), F.col("payment_id").asc()]
+    top = (
+        matched(invoices, applications, payments)
+        .join(customers.select("customer_id"), "customer_id", "left_semi")
+        .withColumn("days_to_pay", days_between("payment_date", "invoice_date"))
+        .orderBy(*order)
+        .limit(n)
     )
-    top = rows.orderBy(F.col("days_to_pay").desc(), F.col("invoice_id").asc(), F.col("payment_id").asc()).limit(n)
-    return top.drop("payment_id")
+    named = top.join(customers.select("customer_id", "customer_name"), "customer_id")
+    return named.orderBy(*order).limit(n).select("invoice_id", "customer_name", "invoice_date", "payment_date", "days_to_pay")

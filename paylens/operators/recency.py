@@ -8,8 +8,10 @@ scan tasks, one row per user after the shuffle), joined back to the rows on
 ``user`` (null-safe: null users form their own group, as in a window
 partition). AQE splits the join partition of a user holding many rows, so no
 single task has to hold one user's full history, unlike a
-``max() OVER (PARTITION BY user)`` window. The counts after the join are
-partial aggregates again.
+``max() OVER (PARTITION BY user)`` window. Rows are counted per (user, instant)
+before they move, so what is shuffled is one row per instant and task, and rows
+at one instant are never gathered; the counts after the join are partial
+aggregates again.
 
 Distinct-only variants first reduce the rows to one per (user, value) with
 that value's latest time: a value occurs in the window exactly when its
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.exprs import count_where, hours_between, sum_flag
+from paylens.functions.exprs import hours_between
 from paylens.operators.activity import PURCHASE
 
 
@@ -43,16 +45,24 @@ def recent_activity(
     type_col: str = "tx_type",
     ordered: bool = True,
 ) -> DataFrame:
-    """Distinct cards and purchases in the last ``hours``; users with >= ``min_cards`` cards."""
-    scored = with_hours_from_last(tx.select(user, ts, card, type_col), user=user, ts=ts)
-    recent = F.col("hours_from_last") <= hours
-    out = (
-        scored.groupBy(user)
-        .agg(
-            F.countDistinct(F.when(recent, F.col(card))).alias("cards_last_24h"),
-            count_where((F.col(type_col) == PURCHASE) & recent).alias("purchases_last_24h"),
-        )
-        .filter(F.col("cards_last_24h") >= min_cards)
+    """Distinct cards and purchases in the last ``hours``; users with >= ``min_cards`` cards.
+
+    Cards come from the latest time per (user, card), purchases from the purchase
+    rows alone; both are joined to the users' latest times.
+    """
+    last = tx.groupBy(F.col(user).alias("_u")).agg(F.max(ts).alias("_last"))
+    latest = tx.groupBy(F.col(user).alias("c_u"), card).agg(F.max(ts).alias("_t"))
+    cards = (
+        latest.join(last, F.col("c_u").eqNullSafe(F.col("_u")))
+        .where(hours_between("_last", "_t") <= hours)
+        .groupBy("c_u")
+        .agg(F.count(card).alias("cards_last_24h"))
+        .where(F.col("cards_last_24h") >= min_cards)
+    )
+    bought = recent_count(tx, hours, when=F.col(type_col) == PURCHASE, min_count=1, name="_n", user=user, ts=ts, ordered=False)
+    bought = bought.select(F.col(user).alias("p_u"), "_n")
+    out = cards.join(bought, F.col("c_u").eqNullSafe(F.col("p_u")), "left").select(
+        F.col("c_u").alias(user), "cards_last_24h", F.coalesce("_n", F.lit(0)).cast("bigint").alias("purchases_last_24h")
     )
     return out.orderBy(F.col("cards_last_24h").desc(), F.col("purchases_last_24h").desc(), F.col(user).asc()) if ordered else out
 
@@ -103,21 +113,21 @@ def recent_count(
         # only matching rows can count, and users below the threshold drop out:
         # join just those rows to the latest time over all rows (an aggregate)
         last = tx.groupBy(F.col(user).alias("_u")).agg(F.max(ts).alias("_last"))
-        hits = tx.where(when).select(user, ts)
+        hits = tx.where(when).groupBy(user, ts).agg(F.count(F.lit(1)).alias("_n"))
         out = (
             hits.join(last, hits[user].eqNullSafe(last["_u"]))
             .where(hours_between("_last", ts) <= hours)
             .groupBy(user)
-            .agg(F.count(F.lit(1)).alias(name))
+            .agg(F.sum("_n").alias(name))
             .where(F.col(name) >= min_count)
         )
     else:
-        cols = [user, ts] + ([] if when is None else [when.alias("_when")])
-        scored = with_hours_from_last(tx.select(*cols), user=user, ts=ts)
-        cond = F.col("hours_from_last") <= hours
-        if when is not None:
-            cond = cond & F.col("_when")
-        out = scored.groupBy(user).agg(sum_flag(cond).alias(name))
+        counted = F.count(F.lit(1)) if when is None else F.count_if(when)
+        instants = tx.groupBy(user, ts).agg(counted.alias("_n"))
+        scored = with_hours_from_last(instants, user=user, ts=ts)
+        out = scored.groupBy(user).agg(
+            F.sum(F.when(F.col("hours_from_last") <= hours, F.col("_n")).otherwise(0)).cast("bigint").alias(name)
+        )
         if min_count is not None:
             out = out.filter(F.col(name) >= min_count)
     return out.orderBy(F.col(name).desc(), F.col(user).asc()) if ordered else out

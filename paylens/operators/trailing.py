@@ -1,226 +1,129 @@
 """Trailing-window counts per transaction, and gaps between consecutive events.
 
-The source analyses write these as self joins on user with a time range
-(``t2 BETWEEN t1 - w AND t1``), grouped by (user, t1). A self join costs the
-square of the rows per user. Here they are sorts and running sums instead.
-
-``trailing_count`` (count of rows in the window, grouped per (user, t1)):
-with k rows at one instant and n rows in its window, the self join gives
-k * n; so each row's window count is summed per (user, t1).
-
-``trailing_distinct`` (distinct non-null values in the window per (user, t1)).
-
-Strategies:
-
-* ``"bucketed"`` (default). Time is cut into buckets of width g (whole epoch
-  seconds; ``bucket``, default the window width w) and the work is
-  partitioned by (user, bucket), so one user's history is spread over many
-  tasks; a smaller g splits a burst of one user further. Inside a bucket a
-  running sum over +1/-1 events (a sweep) gives every row's window count in
-  one ordered pass.
-
-  - count: a row is +1 at t in its own bucket and -1 just after t + w in the
-    bucket holding t + w. A bucket starts from the number of rows still in
-    their window at its start: with g >= w those are exactly the earlier-born
-    rows leaving inside the bucket (a window count, no extra pass); with
-    finer buckets, per-bucket totals (a small aggregate) and a cumulative sum.
-    Two events per row whatever g is.
-  - distinct: an occurrence of a value counts from t until the earlier of
-    t + w and the next occurrence of the same value. Earlier buckets reach a
-    bucket only through the latest time per (user, value, bucket), a partial
-    aggregate replicated into the next ceil(w / g) buckets, but no further
-    than the next bucket where the value occurs again.
-
-  Every result is grouped per (user, bucket, t1), which the window's
-  partitioning already satisfies, so no further shuffle of the rows happens.
-* ``"sweep"``: the same sweep with one bucket spanning all time, i.e. one
-  ordered pass per user (no context rows; one task per user).
-* ``"binned"``: another name for ``"bucketed"``.
-* ``"window"``: one RANGE frame per user (``count`` or ``size(collect_set)``).
-  Simple, but one task holds each user's whole history and the frame is
-  re-aggregated per row; kept for small data and as a cross-check.
-
-Rows with a null user or a null time never match in the self join and are
-dropped. Window bounds are exact at microsecond resolution and inclusive on
-both ends.
+The source analyses write these as self joins on user with a time range, grouped
+by (user, t1). A self join costs the square of the rows per user. Here rows are
+first counted per (user, instant), so any number of rows at one instant is one row;
+then they are sorts and running sums.
+
+* ``trailing_count``: with k rows at one instant and n rows in its window, the self
+  join gives k * n.
+* ``trailing_distinct``: distinct non-null values in the window, per (user, t1).
+
+A window count is a sweep: +1 where something enters the window, -1 just after it
+leaves, and a running sum in time order. An instant enters at its time and leaves
+after the window's length; an occurrence of a value leaves earlier if the value
+occurs again before. That is two events per instant or occurrence, however the work
+is split.
+
+A user's time line is one group, unless the user has more than ``bucket_rows``
+instants: then it is cut at percentiles of the user's own instants (a sketch over
+all of them) into ``splits`` groups of like size, be they years or microseconds
+apart. The cuts are a DataFrame joined in; nothing is sampled, collected or decided
+while the plan is built. A group starts from the sum of all earlier groups' events,
+taken from one total per (user, group).
+
+``strategy="window"`` is the direct form, one RANGE frame per user: for small data
+and as a cross-check.
+
+Rows with a null user or a null time never match in the self join and are dropped
+from the windows. Bounds are exact at microsecond resolution and inclusive.
 """
 
 from __future__ import annotations
 
 import re
-from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+BUCKET_ROWS = 1_000_000
+SPLITS = 256
 
 
 def window_seconds(window: str | int) -> int:
     """``"1 hour"`` / ``"24 hours"`` / ``"30 minutes"`` / seconds -> whole seconds."""
     if isinstance(window, int):
-        return window
-    m = re.fullmatch(r"\s*(\d+)\s*([a-z]+?)s?\s*", window.lower())
-    if not m or m.group(2) not in _UNITS:
-        raise ValueError(f"unsupported window {window!r}")
-    return int(m.group(1)) * _UNITS[m.group(2)]
-
-
-# The event-generating steps below are written as SQL expressions: each is
-# parsed once on the JVM side instead of being assembled from many Column
-# objects over Py4J, which dominated the time to build these plans.
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+        seconds = window
+    else:
+        m = re.fullmatch(r"\s*(\d+)\s*([a-z]+?)s?\s*", window.lower())
+        if not m or m.group(2) not in _UNITS:
+            raise ValueError(f"unsupported window {window!r}")
+        seconds = int(m.group(1)) * _UNITS[m.group(2)]
+    if seconds <= 0:
+        raise ValueError("the window must be positive")
+    return seconds
 
 
-def _interval_sql(seconds: int, plus_micro: bool = False) -> str:
-    days, rest = divmod(seconds, 86400)
-    hours, rest = divmod(rest, 3600)
-    minutes, secs = divmod(rest, 60)
-    micros = 1 if plus_micro else 0
-    return f"INTERVAL '{days} {hours:02d}:{minutes:02d}:{secs:02d}.{micros:06d}' DAY TO SECOND"
+def _after(seconds: int) -> Column:
+    """The window's length and one microsecond: when something has left."""
+    return F.expr(f"make_dt_interval(0, 0, 0, CAST({seconds}.000001 AS DECIMAL(18,6)))")
 
 
-def _bucket_sql(ts_sql: str, width: int | str) -> str:
-    return f"CAST(FLOOR(unix_timestamp({ts_sql}) / {width}) AS BIGINT)"
+# ---- groups of a user's time line -------------------------------------------------
+def _cuts(instants: DataFrame, bucket_rows: int, splits: int) -> DataFrame:
+    """(c_u, cuts) of the users with more than ``bucket_rows`` instants (_u, _t)."""
+    many = instants.groupBy(F.col("_u").alias("c_u")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows)
+    shares = [i / splits for i in range(1, splits)]
+    return (
+        instants.join(many, F.col("_u").eqNullSafe(F.col("c_u")))
+        .groupBy("c_u")
+        .agg(F.percentile_approx("_t", shares, 20 * splits).alias("cuts"))
+    )
 
 
-def _sql_literal(value: object) -> str:
-    """A user key as a SQL literal (numbers and strings; other types as text)."""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float, Decimal)):
-        return str(value)
-    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{text}'"
+def _group(time: Column, splits: int) -> Column:
+    """Cut points at or before ``time``, by binary search in ``cuts``; 0 without cuts."""
+    step, steps = 1, []
+    while step < splits:
+        steps.insert(0, step)
+        step *= 2
 
+    def descend(low: Column, add: Column) -> Column:
+        reached = F.get(F.col("cuts"), low + add - 1) <= time
+        return F.when(F.coalesce(reached, F.lit(False)), low + add).otherwise(low)
 
-def _width_sql(user_sql: str, g: int, per_user: dict | None) -> str:
-    """Bucket width of a row: ``g``, or a narrower one for the users in ``per_user``."""
-    if not per_user:
-        return str(g)
-    cases = " ".join(f"WHEN {_sql_literal(k)} THEN {v}" for k, v in per_user.items())
-    return f"(CASE {user_sql} {cases} ELSE {g} END)"
+    return F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.aggregate(F.lit(steps), F.lit(0), descend))
 
 
-def hot_user_widths(
-    rows: DataFrame,
-    window: str | int,
-    *,
-    user: str = "user_id",
-    ts: str = "transaction_time",
-    hot_rows: int = 2_000_000,
-    sample_fraction: float = 0.01,
-    max_users: int = 256,
-    seed: int = 17,
-) -> dict:
-    """Narrower bucket widths for users with a burst: {user: width seconds}.
-
-    A sampled pass over (user, time) estimates the rows in each user's busiest
-    window-width bucket; users above ``hot_rows`` get buckets split so that
-    each holds about ``hot_rows`` rows. Only the top ``max_users`` users (one
-    row each) reach the driver.
-    """
-    w = window_seconds(window)
-    peak = (
-        rows.select(user, ts)
-        .where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-        .sample(fraction=sample_fraction, seed=seed)
-        .groupBy(user, F.expr(_bucket_sql(_q(ts), w)).alias("_b"))
-        .count()
-        .groupBy(user)
-        .agg(F.max("count").alias("_peak"))
-        .where(F.col("_peak") > hot_rows * sample_fraction)
-        .orderBy(F.col("_peak").desc())
-        .limit(max_users)
-    )
-    widths = {}
-    for key, sampled in peak.collect():
-        splits = min(w, -(-int(sampled / sample_fraction) // hot_rows))
-        widths[key] = max(1, w // splits)
-    return widths
+def _with_cuts(instants: DataFrame, bucket_rows: int, splits: int) -> DataFrame:
+    found = _cuts(instants, bucket_rows, splits)
+    return instants.join(found, F.col("_u").eqNullSafe(F.col("c_u")), "left").drop("c_u")
 
 
-# one bucket covering every representable time: the per-user sweep
-_ALL_TIME = 1 << 40
+_IN_GROUP = "PARTITION BY _u, _b ORDER BY _t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def _strategy(strategy: str, bucket: str | int | None) -> tuple[str, str | int | None]:
-    if strategy == "sweep":
-        return "bucketed", _ALL_TIME
-    if strategy in ("bucketed", "binned"):
-        return "bucketed", bucket
-    if strategy == "window":
-        return "window", bucket
-    raise ValueError(f"unknown strategy {strategy!r}")
+def _swept(events: DataFrame) -> DataFrame:
+    """(_u, _b, _t, _d, _k) -> (_u, _t, _k, _n) at the instants with _k: the running sum of _d."""
+    at = events.groupBy("_u", "_b", "_t").agg(F.sum("_d").alias("_d"), F.max("_k").alias("_k"))
+    start = (
+        events.groupBy("_u", "_b")
+        .agg(F.sum("_d").alias("_net"))
+        .selectExpr(
+            "_u AS s_u",
+            "_b AS s_b",
+            "coalesce(sum(_net) OVER (PARTITION BY _u ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+        )
+    )
+    run = at.selectExpr("*", f"sum(_d) OVER ({_IN_GROUP}) AS _run").where("_k IS NOT NULL")
+    return run.join(start, (F.col("_u") == F.col("s_u")) & (F.col("_b") == F.col("s_b"))).selectExpr(
+        "_u", "_t", "_k", "_run + _start AS _n"
+    )
 
 
-def _widths(window: str | int, bucket: str | int | None) -> tuple[int, int, int]:
-    """(window seconds, bucket seconds, buckets a row can reach after its own)."""
-    w = window_seconds(window)
-    g = w if bucket is None else window_seconds(bucket)
-    if w <= 0 or g <= 0:
-        raise ValueError("window and bucket must be positive")
-    return w, g, -(-w // g)
+def _ranked(out: DataFrame, name: str, user: str, ts: str, ordered: bool, by_time_desc: bool = False) -> DataFrame:
+    if not ordered:
+        return out
+    ties = [F.col(ts).desc(), F.col(user).asc()] if by_time_desc else [F.col(user).asc(), F.col(ts).asc()]
+    return out.orderBy(F.col(name).desc(), *ties)
 
 
-def _clean(df: DataFrame, user: str, ts: str, *cols: str) -> DataFrame:
-    return df.select(user, ts, *cols).filter(F.col(user).isNotNull() & F.col(ts).isNotNull())
+def _known(df: DataFrame, user: str, ts: str, *cols: str) -> DataFrame:
+    return df.select(F.col(user).alias("_u"), F.col(ts).alias("_t"), *cols).where("_u IS NOT NULL AND _t IS NOT NULL")
 
 
 # ---- trailing count ------------------------------------------------------------
-def _count_window(rows: DataFrame, user: str, ts: str, w: int, name: str) -> DataFrame:
-    frame = (
-        f"count(1) OVER (PARTITION BY {_q(user)} ORDER BY {_q(ts)} "
-        f"RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
-    )
-    return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.sum("_n").cast("bigint").alias(name))
-
-
-def _count_bucketed(rows: DataFrame, user: str, ts: str, w: int, g: int, name: str, per_user: dict | None = None) -> DataFrame:
-    u, t = _q(user), _q(ts)
-    width = _width_sql(u, g, per_user)
-    born, last_in = _bucket_sql(t, width), _bucket_sql(f"{t} + {_interval_sql(w)}", width)
-    # +1 at t in the row's own bucket (a probe there); -1 just after t + w in
-    # the bucket holding t + w (after every probe of that bucket if it falls
-    # on the boundary); _prior marks a -1 of a row born in an earlier bucket
-    ev = rows.selectExpr(
-        u,
-        "inline(array("
-        f"named_struct('_t', {t}, '_b', {born}, '_d', 1, '_probe', true, '_prior', false), "
-        f"named_struct('_t', {t} + {_interval_sql(w, plus_micro=True)}, '_b', {last_in}, '_d', -1, "
-        f"'_probe', false, '_prior', {born} < {last_in})))",
-    )
-    group = f"PARTITION BY {u}, _b"
-    running = f"sum(_d) OVER ({group} ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    if g >= w and not per_user:
-        # a row alive at a bucket's start leaves inside that bucket, so the
-        # bucket starts from the count of its -1 events of earlier-born rows
-        probes = ev.selectExpr(
-            u, "_b", "_t", "_probe", f"{running} AS _run", f"sum(IF(_prior, 1, 0)) OVER ({group}) AS _start"
-        ).where("_probe")
-    else:
-        # finer buckets: rows alive at a bucket's start are births minus
-        # leaves of all earlier buckets, from per-bucket totals (a partial
-        # aggregate, one row per task and bucket shuffled) and a running sum
-        start = (
-            ev.groupBy(user, "_b")
-            .agg(F.sum("_d").alias("_net"))
-            .selectExpr(
-                u,
-                "_b",
-                f"coalesce(sum(_net) OVER (PARTITION BY {u} ORDER BY _b "
-                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
-            )
-        )
-        probes = ev.selectExpr("*", f"{running} AS _run").where("_probe").join(start, [user, "_b"])
-    return (
-        probes.groupBy(user, "_b", "_t")
-        .agg(F.expr("CAST(sum(_run + _start) AS BIGINT)").alias(name))
-        .selectExpr(u, f"_t AS {t}", _q(name))
-    )
-
-
 def trailing_count(
     df: DataFrame,
     window: str | int = "1 hour",
@@ -230,27 +133,36 @@ def trailing_count(
     user: str = "user_id",
     ts: str = "transaction_time",
     strategy: str = "bucketed",
-    bucket: str | int | None = None,
-    hot_rows: int = 2_000_000,
-    sample_fraction: float = 0.01,
+    bucket_rows: int = BUCKET_ROWS,
+    splits: int = SPLITS,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): rows of the user in [t1 - window, t1], times the rows at t1;
-    kept when >= ``min_count``. ``bucket``: work-split width (default: the
-    window); ``"auto"`` narrows it for users with bursts (``hot_user_widths``)."""
-    strategy, bucket = _strategy(strategy, bucket)
-    rows = _clean(df, user, ts)
-    per_user = None
-    if bucket == "auto":
-        per_user = hot_user_widths(rows, window, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
-        bucket = None
-    w, g, _ = _widths(window, bucket)
+    kept when >= ``min_count``."""
+    w = window_seconds(window)
+    instants = _known(df, user, ts).groupBy("_u", "_t").agg(F.count(F.lit(1)).alias("_k"))
     if strategy == "window":
-        counts = _count_window(rows, user, ts, w, name)
+        frame = f"sum(_k) OVER (PARTITION BY _u ORDER BY _t RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
+        counted = instants.selectExpr("_u", "_t", "_k", f"{frame} AS _n")
+    elif strategy == "bucketed":
+        cut = _with_cuts(instants, bucket_rows, splits).withColumn("_leave", F.col("_t") + _after(w))
+        events = cut.select(
+            "_u",
+            F.inline(
+                F.array(
+                    F.struct(_group(F.col("_t"), splits).alias("_b"), F.col("_t"), F.col("_k").alias("_d"), F.col("_k")),
+                    F.struct(
+                        _group(F.col("_leave"), splits).alias("_b"), F.col("_leave").alias("_t"),
+                        (-F.col("_k")).alias("_d"), F.lit(None).cast("bigint").alias("_k"),
+                    ),
+                )
+            ),
+        )
+        counted = _swept(events)
     else:
-        counts = _count_bucketed(rows, user, ts, w, g, name, per_user)
-    out = counts.filter(F.col(name) >= min_count)
-    return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()) if ordered else out
+        raise ValueError(f"unknown strategy {strategy!r}")
+    out = counted.selectExpr(f"_u AS `{user}`", f"_t AS `{ts}`", f"CAST(_k * _n AS BIGINT) AS `{name}`")
+    return _ranked(out.filter(F.col(name) >= min_count), name, user, ts, ordered)
 
 
 def small_purchases(
@@ -266,59 +178,35 @@ def small_purchases(
 
 
 # ---- trailing distinct ---------------------------------------------------------
-def _distinct_window(rows: DataFrame, user: str, ts: str, value: str, w: int, name: str) -> DataFrame:
-    frame = (
-        f"size(collect_set({_q(value)}) OVER (PARTITION BY {_q(user)} ORDER BY {_q(ts)} "
-        f"RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW))"
-    )
-    return rows.withColumn("_n", F.expr(frame)).groupBy(user, ts).agg(F.max("_n").cast("bigint").alias(name))
-
-
-def _distinct_bucketed(rows: DataFrame, user: str, ts: str, value: str, w: int, g: int, name: str, per_user: dict | None = None) -> DataFrame:
-    u, t, v = _q(user), _q(ts), _q(value)
-    width = _width_sql(u, g, per_user)
-    reach = f"(({w} + {width} - 1) DIV {width})"
-    b = _bucket_sql(t, width)
-    own = rows.selectExpr(u, t, v, f"{b} AS _b", "true AS _own")
-    # context: latest time per (user, value, bucket), replicated into the next
-    # buckets while it can still be inside their rows' windows, and no further
-    # than the next bucket holding the same value (which supersedes it)
-    ctx = (
-        rows.where(f"{v} IS NOT NULL")
-        .groupBy(user, value, F.expr(b).alias("_b0"))
-        .agg(F.max(ts).alias(ts))
-        .selectExpr(
-            u, t, v, "_b0", f"coalesce(lead(_b0) OVER (PARTITION BY {u}, {v} ORDER BY _b0), _b0 + {reach}) AS _next"
-        )
-        .selectExpr(u, t, v, f"explode(sequence(_b0 + 1, least(_b0 + {reach}, _next))) AS _b", "false AS _own")
-        .where(f"unix_timestamp({t}) + {w + 1} >= _b * {width}")
+def _distinct_events(occurrences: DataFrame, w: int, bucket_rows: int, splits: int) -> DataFrame:
+    """Events of (_u, _v, _t), one row each; a null value only asks for the count there."""
+    cut = _with_cuts(occurrences, bucket_rows, splits).withColumn("_b", _group(F.col("_t"), splits))
+    # the next time of a value: the next one in its group, else the first in a later group
+    firsts = (
+        cut.where("_v IS NOT NULL")
+        .groupBy("_u", "_v", "_b")
+        .agg(F.min("_t").alias("_first"))
+        .selectExpr("_u AS f_u", "_v AS f_v", "_b AS f_b", "lead(_first) OVER (PARTITION BY _u, _v ORDER BY _b) AS _later")
     )
-    # a value occurrence counts from t until the earlier of t + w and the next
-    # occurrence of the same value; each own row is also a probe
-    by_value = f"OVER (PARTITION BY {u}, _b ORDER BY {v}, {t})"
-    occ = own.unionByName(ctx).selectExpr(
-        "*",
-        f"least(CASE WHEN lead({v}) {by_value} = {v} THEN lead({t}) {by_value} END, "
-        f"{t} + {_interval_sql(w, plus_micro=True)}) AS _leave",
-    )
-    ev = occ.selectExpr(
-        u,
-        "_b",
-        "inline(array("
-        f"named_struct('_t', {t}, '_d', IF({v} IS NULL, 0, 1), '_probe', _own), "
-        f"named_struct('_t', _leave, '_d', IF({v} IS NULL, 0, -1), '_probe', false)))",
-    ).where(
-        # a leave at or after the bucket's end comes after every probe of the bucket
-        f"_probe OR _d = 1 OR (_d = -1 AND unix_timestamp(_t) < (_b + 1) * {width})"
-    )
-    running = f"sum(_d) OVER (PARTITION BY {u}, _b ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return (
-        ev.selectExpr("*", f"{running} AS _n")
-        .where("_probe")
-        .groupBy(user, "_b", "_t")
-        .agg(F.expr("CAST(max(_n) AS BIGINT)").alias(name))
-        .selectExpr(u, f"_t AS {t}", _q(name))
+    same = (F.col("_u") == F.col("f_u")) & (F.col("_v") == F.col("f_v")) & (F.col("_b") == F.col("f_b"))
+    dated = (
+        cut.selectExpr("*", "lead(_t) OVER (PARTITION BY _u, _v, _b ORDER BY _t) AS _soon")
+        .join(firsts, same, "left")
+        .withColumn("_leave", F.least(F.coalesce("_soon", "_later"), F.col("_t") + _after(w)))
     )
+    one = F.when(F.col("_v").isNotNull(), 1).otherwise(0).cast("bigint")
+    return dated.select(
+        "_u",
+        F.inline(
+            F.array(
+                F.struct(F.col("_b"), F.col("_t"), one.alias("_d"), F.lit(1).cast("bigint").alias("_k")),
+                F.struct(
+                    _group(F.col("_leave"), splits).alias("_b"), F.col("_leave").alias("_t"),
+                    (-one).alias("_d"), F.lit(None).cast("bigint").alias("_k"),
+                ),
+            )
+        ),
+    )
 
 
 def trailing_distinct(
@@ -331,37 +219,29 @@ def trailing_distinct(
     user: str = "user_id",
     ts: str = "transaction_time",
     strategy: str = "bucketed",
-    bucket: str | int | None = None,
-    hot_rows: int = 2_000_000,
-    sample_fraction: float = 0.01,
+    bucket_rows: int = BUCKET_ROWS,
+    splits: int = SPLITS,
     n: int | None = None,
     order_by_time_desc: bool = False,
     ordered: bool = True,
 ) -> DataFrame:
     """Per (user, t1): distinct non-null ``column`` values in [t1 - window, t1];
     kept when >= ``min_count``. With ``n``, the top ``n`` by count (ties by
-    user, then time). ``bucket``: work-split width (default: the window);
-    ``"auto"`` narrows it for users with bursts (``hot_user_widths``)."""
+    user, then time)."""
     name = name or f"{column}_in_window"
-    strategy, bucket = _strategy(strategy, bucket)
-    rows = _clean(df, user, ts, column)
-    per_user = None
-    if bucket == "auto":
-        per_user = hot_user_widths(rows, window, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
-        bucket = None
-    w, g, _ = _widths(window, bucket)
+    w = window_seconds(window)
+    occurrences = _known(df, user, ts, F.col(column).alias("_v")).distinct()
     if strategy == "window":
-        counts = _distinct_window(rows, user, ts, column, w, name)
+        frame = f"collect_set(_v) OVER (PARTITION BY _u ORDER BY _t RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
+        counted = occurrences.selectExpr("_u", "_t", f"size({frame}) AS _n").groupBy("_u", "_t").agg(F.max("_n").alias("_n"))
+    elif strategy == "bucketed":
+        counted = _swept(_distinct_events(occurrences, w, bucket_rows, splits))
     else:
-        counts = _distinct_bucketed(rows, user, ts, column, w, g, name, per_user)
-    out = counts.filter(F.col(name) >= min_count)
+        raise ValueError(f"unknown strategy {strategy!r}")
+    out = counted.selectExpr(f"_u AS `{user}`", f"_t AS `{ts}`", f"CAST(_n AS BIGINT) AS `{name}`").filter(F.col(name) >= min_count)
     if n is not None:
-        return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc()).limit(n)
-    if not ordered:
-        return out
-    if order_by_time_desc:
-        return out.orderBy(F.col(name).desc(), F.col(ts).desc(), F.col(user).asc())
-    return out.orderBy(F.col(name).desc(), F.col(user).asc(), F.col(ts).asc())
+        return _ranked(out, name, user, ts, True).limit(n)
+    return _ranked(out, name, user, ts, ordered, order_by_time_desc)
 
 
 # ---- consecutive gaps ------------------------------------------------------------
@@ -371,45 +251,38 @@ def consecutive_gap(
     *,
     user: str = "user_id",
     ts: str = "transaction_time",
-    bucket: str | int | None = None,
-    hot_rows: int = 2_000_000,
-    sample_fraction: float = 0.01,
+    bucket_rows: int = BUCKET_ROWS,
+    splits: int = SPLITS,
     ordered: bool = True,
 ) -> DataFrame:
     """Pairs of consecutive events of a user at most ``max_hours`` apart.
 
     Output: user, prev_cb_time, transaction_time, hours_diff (whole seconds /
-    3600). Equal times give a gap of 0. The previous event is found with
-    ``lag`` inside (user, bucket) groups (bucket width default max_hours;
-    ``"auto"`` narrows it for users with bursts). Each group is seeded with
-    the latest time of each of the earlier buckets within max_hours (a
-    partial aggregate): an event further back is more than max_hours away, so
-    no qualifying pair is lost.
+    3600). Events at one time are each other's predecessors with a gap of 0. The
+    previous instant is the one before in the group, or the last of the nearest
+    earlier group that has any: one time per group. Null users are a user like any
+    other; null times are dropped.
     """
-    limit = max(1, int(-(-max_hours * 3600 // 1)))
-    u, t = _q(user), _q(ts)
-    rows = events.select(user, ts).where(f"{t} IS NOT NULL")
-    per_user = None
-    if bucket == "auto":
-        per_user = hot_user_widths(rows, limit, user=user, ts=ts, hot_rows=hot_rows, sample_fraction=sample_fraction)
-        bucket = None
-    _, g, _ = _widths(limit, bucket)
-    width = _width_sql(u, g, per_user)
-    reach = f"(({limit} + {width} - 1) DIV {width})"
-    b = _bucket_sql(t, width)
-    own = rows.selectExpr(u, t, f"{b} AS _b", "true AS _own")
-    seed = (
-        rows.groupBy(user, F.expr(b).alias("_b0"))
-        .agg(F.max(ts).alias(ts))
-        .selectExpr(u, t, f"explode(sequence(_b0 + 1, _b0 + {reach})) AS _b", "false AS _own")
+    instants = (
+        events.select(F.col(user).alias("_u"), F.col(ts).alias("_t"))
+        .where("_t IS NOT NULL")
+        .groupBy("_u", "_t")
+        .agg(F.count(F.lit(1)).alias("_k"))
+    )
+    cut = _with_cuts(instants, bucket_rows, splits).select("_u", "_t", "_k", _group(F.col("_t"), splits).alias("_b"))
+    lasts = (
+        cut.groupBy("_u", "_b")
+        .agg(F.max("_t").alias("_last"))
+        .selectExpr("_u AS l_u", "_b AS l_b", "lag(_last) OVER (PARTITION BY _u ORDER BY _b) AS _before")
     )
+    same = F.col("_u").eqNullSafe(F.col("l_u")) & (F.col("_b") == F.col("l_b"))
     out = (
-        own.unionByName(seed)
-        .selectExpr("*", f"lag({t}) OVER (PARTITION BY {u}, _b ORDER BY {t}) AS prev_cb_time")
-        .where("_own AND prev_cb_time IS NOT NULL")
-        .selectExpr(
-            u, "prev_cb_time", t, f"CAST(unix_timestamp({t}) - unix_timestamp(prev_cb_time) AS DOUBLE) / 3600.0D AS hours_diff"
-        )
+        cut.selectExpr("*", "lag(_t) OVER (PARTITION BY _u, _b ORDER BY _t) AS _prev")
+        .join(lasts, same)
+        .selectExpr("_u", "_t", "coalesce(_prev, _before) AS _prev", "explode(sequence(1, _k)) AS _i")
+        .selectExpr(f"_u AS `{user}`", "IF(_i = 1, _prev, _t) AS prev_cb_time", f"_t AS `{ts}`")
+        .where("prev_cb_time IS NOT NULL")
+        .selectExpr("*", f"CAST(unix_timestamp(`{ts}`) - unix_timestamp(prev_cb_time) AS DOUBLE) / 3600.0D AS hours_diff")
         .where(f"hours_diff <= {float(max_hours)!r}")
     )
     return out.orderBy(F.col("hours_diff").asc(), F.col(ts).desc(), F.col(user).asc()) if ordered else out

@@ -1,17 +1,5 @@
-"""Parameters of the registered queries on the synthetic dataset.
+"""Parameters of the registered queries that differ from the operators' defaults."""
 
-The operators keep the source analyses' thresholds as their defaults. The
-synthetic events are thin in time, so a few registered queries use looser
-parameters; with the defaults they return no rows on this data.
-"""
-
-# ---- fixed values: registered-query parameters ----
-CARD_TESTING_WINDOW = "24 hours"     # default "1 hour"
-CARD_TESTING_MIN = 3                 # default 5
-DECLINE_STORM_MIN = 2                # default 5
-CONCENTRATION_MIN_RATIO = 0.25       # default 0.60
-MERCHANT_SWITCH_WINDOW = "24 hours"  # default "1 hour"
-MERCHANT_SWITCH_MIN = 4              # default 4
+# ---- fixed values: the synthetic orders end years before the default date ----
 AS_OF = "1998-06-30"                 # default "2025-02-28"
 AS_OF_COLUMN = "debt_as_of_1998_06_30"
-TRAILING_BUCKET = "auto"            # per-user bucket widths: bursts of one user are split

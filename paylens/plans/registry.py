@@ -7,13 +7,13 @@ operator. ``ORACLE`` (``plans/oracle.py``) holds the DuckDB equivalent per key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.operators import activity, catalog, concentration, ledger, matching, quality, recency, trailing
 from paylens.plans import params as P
-from paylens.sources import adapters
 from paylens.sources.adapters import Dataset
 from paylens.sources.schemas import KEYS
 
@@ -171,22 +171,18 @@ def _c1_multi_device_24h(d: Dataset) -> DataFrame:
 @register("c1_chargeback_burst")
 def _c1_chargeback_burst(d: Dataset) -> DataFrame:
     tx = d.transactions()
-    return trailing.consecutive_gap(tx.filter(F.col("tx_type") == activity.CHARGEBACK), 48, bucket=P.TRAILING_BUCKET)
+    return trailing.consecutive_gap(tx.filter(F.col("tx_type") == activity.CHARGEBACK), 48)
 
 
 @register("c1_card_testing")
 def _c1_card_testing(d: Dataset) -> DataFrame:
     small = trailing.small_purchases(d.transactions())
-    return trailing.trailing_count(
-        small, P.CARD_TESTING_WINDOW, P.CARD_TESTING_MIN, name="purchases_in_1h", bucket=P.TRAILING_BUCKET
-    )
+    return trailing.trailing_count(small, "1 hour", 5, name="purchases_in_1h")
 
 
 @register("c1_multi_country_24h")
 def _c1_multi_country_24h(d: Dataset) -> DataFrame:
-    return trailing.trailing_distinct(
-        d.transactions(), "country", "24 hours", 2, name="countries_in_24h", n=10, bucket=P.TRAILING_BUCKET
-    )
+    return trailing.trailing_distinct(d.transactions(), "country", "24 hours", 2, name="countries_in_24h", n=10)
 
 
 @register("c2_velocity_24h")
@@ -207,14 +203,12 @@ def _c2_multi_country_24h(d: Dataset) -> DataFrame:
 @register("c2_decline_storm")
 def _c2_decline_storm(d: Dataset) -> DataFrame:
     declined = F.col("status") == activity.DECLINED
-    return recency.recent_count(
-        d.transactions(), 24, when=declined, min_count=P.DECLINE_STORM_MIN, name="declined_count"
-    )
+    return recency.recent_count(d.transactions(), 24, when=declined, min_count=5, name="declined_count")
 
 
 @register("c2_merchant_concentration")
 def _c2_merchant_concentration(d: Dataset) -> DataFrame:
-    return concentration.concentration(d.transactions(), "merchant_id", P.CONCENTRATION_MIN_RATIO, 10)
+    return concentration.concentration(d.transactions(), "merchant_id", 0.60, 10)
 
 
 @register("c2_rapid_merchant_switch")
@@ -222,11 +216,10 @@ def _c2_rapid_merchant_switch(d: Dataset) -> DataFrame:
     return trailing.trailing_distinct(
         d.transactions(),
         "merchant_id",
-        P.MERCHANT_SWITCH_WINDOW,
-        P.MERCHANT_SWITCH_MIN,
+        "1 hour",
+        4,
         name="merchants_1h",
         order_by_time_desc=True,
-        bucket=P.TRAILING_BUCKET,
     )
 
 
@@ -241,25 +234,22 @@ def _dq_primary_key(d: Dataset) -> DataFrame:
     return quality.duplicate_keys(d.raw("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-NOT_NULL_TABLES = ("invoices", "payments", "cash_applications", "customers")
+NOT_NULL_TABLES = ("invoices", "payments", "cash_applications", "customers", "credit_notes", "write_offs")
 
 
 @register("dq_not_null")
 def _dq_not_null(d: Dataset) -> DataFrame:
-    frames = {
-        "invoices": d.invoices(),
-        "payments": d.payments(),
-        "cash_applications": d.cash_applications(),
-        "customers": d.customers(),
-    }
-    parts = [quality.null_counts(frames[t], KEYS[t][1], table=t) for t in NOT_NULL_TABLES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    frames = {t: getattr(d, t)() for t in NOT_NULL_TABLES if t != "customers"} | {"customers": d.customer_names()}
+    return reduce(DataFrame.unionByName, [quality.null_counts(frames[t], KEYS[t][1], table=t) for t in NOT_NULL_TABLES])
 
 
 @register("dq_foreign_key")
 def _dq_foreign_key(d: Dataset) -> DataFrame:
-    finished_bills = adapters.bills(d.raw("orders").filter(F.col("o_orderstatus") == "F"))
-    return quality.orphans(d.payment_applications(), finished_bills, "bill_id")
+    """Bills that no payment application refers to."""
+    return quality.orphans(d.bills(), d.payment_applications(), "bill_id")
+
+
+@register("dq_declared")
+def _dq_declared(d: Dataset) -> DataFrame:
+    """All declared keys, required columns and references of the receivables tables."""
+    return quality.constraint_violations({t: d.customer_names() if t == "customers" else getattr(d, t)() for t in KEYS})

@@ -2,14 +2,12 @@
 
 On a cluster the session comes from the platform; the library only reads its
 settings. ``checkpoint_dir`` returns the shared folder named in
-``spark.checkpoint.dir`` and sets a scratch one only when the session has none
-(local tests).
+``spark.checkpoint.dir``; a session without one is an error.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -37,15 +35,13 @@ def build_session(
 ) -> SparkSession:
     """Build (or reuse) a session with the library's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]``; pass ``None`` on a
-    cluster where the master comes from spark-submit.
+    Without ``master`` none is set: on a cluster it comes from spark-submit.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None:
-        master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    if master.startswith("local"):
+    if master is not None:
+        builder = builder.master(master)
+    if master is not None and master.startswith("local"):
         # local mode runs every task inside the driver JVM; 1 GB default is too small
         conf["spark.driver.memory"] = os.environ.get("PAYLENS_DRIVER_MEMORY", "8g")
     if shuffle_partitions is not None:
@@ -78,20 +74,9 @@ def scale_settings(shuffle_bytes: int, cores: int, partition_bytes: int = 256 *
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset and
-    the session runs in local mode (tests) is a scratch folder created and
-    registered; on a cluster an unset value is an error, never a
-    machine-local fallback.
-    """
+    """Shared folder for checkpoints and intermediate tables, from ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    local = tempfile.mkdtemp(prefix="paylens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder all executors share")
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured

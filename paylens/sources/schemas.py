@@ -24,7 +24,7 @@ def _s(*fields: tuple[str, object, bool]) -> StructType:
     return StructType([StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-# ---- receivables (declared) -------------------------------------------------
+# ---- fixed values: receivables (declared) -------------------------------------------------
 CUSTOMERS = _s(
     ("customer_id", LongType(), False),
     ("customer_name", StringType(), True),
@@ -113,7 +113,7 @@ PAYMENT_APPLICATIONS = _s(
 )
 VENDORS = _s(("vendor_id", LongType(), True))
 
-# ---- declared keys of the receivables tables ---------------------------------
+# ---- fixed values: declared keys of the receivables tables ---------------------------------
 # table -> (primary key columns, not-null columns, [(fk column, parent, parent key)])
 KEYS = {
     "customers": (["customer_id"], ["customer_id"], []),

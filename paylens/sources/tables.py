@@ -22,31 +22,20 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
 
-# path -> schema read from the files' footers on first use; later reads pass it
-# explicitly, which skips the footer-reading job a schema-less read starts
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def read_table(spark: SparkSession, root: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """Scan one table of a dataset folder (``<root>/<name>.parquet``)."""
-    path = table_path(root, name)
-    schema = schema or _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """Scan one table of a dataset folder (``<root>/<name>.parquet``).
 
-
-def forget_schemas() -> None:
-    """Drop remembered table schemas (after a table's files were replaced)."""
-    _SCHEMAS.clear()
+    Without ``schema`` it is read from the files each time, so a table written
+    anew with other columns is seen as it is.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(root, name))
 
 
 def create_table(spark: SparkSession, name: str, path: str, schema: StructType) -> DataFrame:
     """``CREATE TABLE name (...) USING parquet LOCATION path``: a catalog table
     with a fixed schema over a shared folder; rows arrive via ``append_table``
-    or ``streaming.append_stream`` and are seen after ``refresh_table``."""
+    and are seen after ``refresh_table``."""
     return spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
 
 

@@ -113,3 +113,16 @@ def test_aging_bucket_edges_with_open_balances(spark):
     apps = spark.createDataFrame([], schemas.PAYMENT_APPLICATIONS)
     vendors = spark.createDataFrame([(5,)], schemas.VENDORS)
     assert rows(ledger.aging(vendors, bills, apps, AS_OF)) == [(5, m("70.00"), m("10.00"), m("20.00"), m("0.00"))]
+
+
+def test_a_party_listed_twice_is_one_row_with_its_debt_counted_twice(spark):
+    vendors = spark.createDataFrame([(1,), (1,), (2,), (3,)], "vendor_id bigint")
+    bills = spark.createDataFrame(
+        [(1, 10, m("100.00"), d("2025-01-15")), (2, 20, m("50.00"), d("2025-02-10"))],
+        "vendor_id bigint, bill_id bigint, amount decimal(18,2), due_date date",
+    )
+    apps = spark.createDataFrame([(10, m("30.00"), d("2025-01-20"))], "bill_id bigint, applied_amount decimal(18,2), applied_date date")
+    want = {1: m("140.00"), 2: m("50.00"), 3: m("0.00")}
+    assert dict(rows(ledger.debt_as_of(vendors, bills, apps, column="debt"))) == want
+    aged = rows(ledger.aging(vendors, bills, apps), "vendor_id", "total_debt", "overdue_31_60")
+    assert aged == [(1, m("140.00"), m("140.00")), (2, m("50.00"), m("0.00")), (3, m("0.00"), m("0.00"))]

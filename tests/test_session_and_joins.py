@@ -1,10 +1,11 @@
-"""Session sizing and the size-checked broadcast policy."""
+"""Session settings: sizing, the master, the shared folder."""
 
 from __future__ import annotations
 
-from paylens.plans.explain import plan_text
-from paylens.plans.joins import broadcast_if_small, estimated_bytes
-from paylens.session import scale_settings
+import pytest
+
+from paylens import session
+from paylens.session import checkpoint_dir, scale_settings
 
 
 def test_scale_settings_size_partitions_from_shuffle_volume():
@@ -14,16 +15,49 @@ def test_scale_settings_size_partitions_from_shuffle_volume():
     assert scale_settings(1024, cores=8)["spark.sql.shuffle.partitions"] == "16"
 
 
-def test_broadcast_only_when_estimate_is_small(spark):
-    small = spark.range(100).withColumnRenamed("id", "k")
-    big = spark.range(10_000_000).withColumnRenamed("id", "k")
-    assert estimated_bytes(small) is not None and estimated_bytes(small) < estimated_bytes(big)
-    joined_small = big.join(broadcast_if_small(small), "k")
-    assert "BroadcastHashJoin" in plan_text(joined_small)
-    joined_big = small.join(broadcast_if_small(big, limit=1024), "k")
-    # no hint: the planner decides from its own threshold (here a shuffle join)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" not in plan_text(joined_big)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+class _Builder:
+    """Records what ``build_session`` sets; stands in for the session as well."""
+
+    def __init__(self):
+        self.set, self.sparkContext = {}, self
+
+    def appName(self, name):
+        return self
+
+    def master(self, master):
+        return self.config("master", master)
+
+    def config(self, key, value):
+        self.set[key] = value
+        return self
+
+    def getOrCreate(self):
+        return self
+
+    def setLogLevel(self, level):
+        pass
+
+
+@pytest.mark.parametrize("master", [None, "local[3]"])
+def test_master_is_set_only_when_given(monkeypatch, master):
+    class Session:
+        builder = _Builder()
+
+    monkeypatch.setattr(session, "SparkSession", Session)
+    made = session.build_session(master=master)
+    assert made.set.get("master") == master
+    assert ("spark.driver.memory" in made.set) == (master is not None)
+
+
+def test_an_unset_shared_folder_is_an_error(spark):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Bare:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Bare())
+    if spark.conf.get("spark.checkpoint.dir", None):
+        assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -59,36 +59,38 @@ def _random_rows(seed, n=600, users=6, span_hours=60):
     return out
 
 
-# (window, strategy, bucket): the default bucket is the window; finer and
-# non-dividing bucket widths must give the same answer
+# (window, strategy, instants a user may have in one group): uncut time lines and
+# ones cut into few or many groups must give the same answer
 CASES = [
     ("1 hour", "window", None),
     ("24 hours", "window", None),
-    ("1 hour", "bucketed", None),
-    ("24 hours", "bucketed", None),
-    ("1 hour", "bucketed", "7 minutes"),
-    ("24 hours", "bucketed", "5 hours"),
-    ("1 hour", "bucketed", "2 hours"),
-    ("1 hour", "sweep", None),
-    ("24 hours", "binned", None),
+    ("1 hour", "bucketed", 1_000_000),
+    ("24 hours", "bucketed", 1_000_000),
+    ("1 hour", "bucketed", 20),
+    ("24 hours", "bucketed", 20),
+    ("24 hours", "bucketed", 150),
 ]
 
 
-@pytest.mark.parametrize("window,strategy,bucket", CASES)
-def test_trailing_count_matches_self_join(spark, window, strategy, bucket):
+def _opts(strategy, bucket_rows):
+    return {"strategy": strategy} | ({} if bucket_rows is None else {"bucket_rows": bucket_rows, "splits": 16})
+
+
+@pytest.mark.parametrize("window,strategy,bucket_rows", CASES)
+def test_trailing_count_matches_self_join(spark, window, strategy, bucket_rows):
     df = spark.createDataFrame(_random_rows(11), SCHEMA)
     secs = trailing.window_seconds(window)
     want = {k: v for k, v in _brute_count(df, secs).items() if v >= 2}
-    got = trailing.trailing_count(df, window, 2, name="n", strategy=strategy, bucket=bucket)
+    got = trailing.trailing_count(df, window, 2, name="n", **_opts(strategy, bucket_rows))
     assert {(r[0], r[1]): r[2] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("window,strategy,bucket", CASES)
-def test_trailing_distinct_matches_self_join(spark, window, strategy, bucket):
+@pytest.mark.parametrize("window,strategy,bucket_rows", CASES)
+def test_trailing_distinct_matches_self_join(spark, window, strategy, bucket_rows):
     df = spark.createDataFrame(_random_rows(23), SCHEMA)
     secs = trailing.window_seconds(window)
     want = {k: v for k, v in _brute_distinct(df, secs).items() if v >= 1}
-    got = trailing.trailing_distinct(df, "country", window, 1, name="n", strategy=strategy, bucket=bucket)
+    got = trailing.trailing_distinct(df, "country", window, 1, name="n", **_opts(strategy, bucket_rows))
     assert {(r[0], r[1]): r[2] for r in got.collect()} == want
 
 
@@ -128,12 +130,12 @@ def _brute_gaps(df, max_hours):
     return sorted((tuple(r) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("max_hours,bucket", [(1, None), (48, None), (48, "7 hours"), (1, "25 minutes")])
-def test_consecutive_gap_matches_plain_lag(spark, max_hours, bucket):
+@pytest.mark.parametrize("max_hours,bucket_rows", [(1, 1_000_000), (48, 1_000_000), (48, 10), (1, 30)])
+def test_consecutive_gap_matches_plain_lag(spark, max_hours, bucket_rows):
     data = [(u, t, c) for u, t, c in _random_rows(5, n=300, span_hours=400) if t is not None]
     data += [(None, ts("2024-01-05 10:00:00"), "x"), (None, ts("2024-01-05 10:10:00"), "x")]
     df = spark.createDataFrame(data, SCHEMA)
-    got = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket=bucket)), key=repr)
+    got = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket_rows=bucket_rows, splits=16)), key=repr)
     assert got == _brute_gaps(df, max_hours)
     assert any(r[0] is None for r in got)  # null users form their own sequence
 
@@ -162,42 +164,57 @@ _row = st.tuples(
 @given(
     data=st.lists(_row, min_size=1, max_size=40),
     window=st.sampled_from(["10 minutes", "1 hour"]),
-    bucket=st.sampled_from([None, "7 minutes", "2 hours"]),
+    rows_a_group=st.sampled_from([1_000_000, 3]),
 )
-def test_random_inputs_match_self_join(spark, data, window, bucket):
+def test_random_inputs_match_self_join(spark, data, window, rows_a_group):
     base = dt.datetime(2024, 3, 10)
     df = spark.createDataFrame(
         [(u, base + dt.timedelta(seconds=s, microseconds=us), v) for u, s, us, v in data], SCHEMA
     )
     secs = trailing.window_seconds(window)
-    got = trailing.trailing_count(df, window, 1, name="n", bucket=bucket, ordered=False)
+    cut = {"bucket_rows": rows_a_group, "splits": 8, "ordered": False}
+    got = trailing.trailing_count(df, window, 1, name="n", **cut)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_count(df, secs)
-    got = trailing.trailing_distinct(df, "country", window, 0, name="n", bucket=bucket, ordered=False)
+    got = trailing.trailing_distinct(df, "country", window, 0, name="n", **cut)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_distinct(df, secs)
     max_hours = secs / 3600
-    gaps = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket=bucket, ordered=False)), key=repr)
+    gaps = sorted(rows(trailing.consecutive_gap(df, max_hours, **cut)), key=repr)
     assert gaps == _brute_gaps(df, max_hours)
 
 
-def test_auto_buckets_narrow_only_hot_users_and_stay_exact(spark):
-    df = spark.createDataFrame(_random_rows(31, n=800, span_hours=30), SCHEMA)
-    widths = trailing.hot_user_widths(df, "24 hours", hot_rows=60, sample_fraction=1.0)
-    assert 1 in widths and widths[1] < 86400  # the hot user (about half the rows)
-    assert all(w < 86400 for w in widths.values())
-    secs = trailing.window_seconds("24 hours")
-    got = trailing.trailing_count(df, "24 hours", 1, name="n", bucket="auto", hot_rows=60, sample_fraction=1.0, ordered=False)
-    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_count(df, secs)
-    got = trailing.trailing_distinct(
-        df, "country", "24 hours", 0, name="n", bucket="auto", hot_rows=60, sample_fraction=1.0, ordered=False
-    )
-    assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_distinct(df, secs)
+def _groups(spark, rows_, bucket_rows, splits):
+    instants = spark.createDataFrame(rows_, "_u bigint, _t timestamp_ntz")
+    cut = trailing._with_cuts(instants, bucket_rows, splits)
+    return cut.select("_u", trailing._group(F.col("_t"), splits).alias("_b")).groupBy("_u", "_b").count().collect()
 
 
-def test_auto_buckets_for_consecutive_gaps(spark):
-    data = [(u, t, c) for u, t, c in _random_rows(41, n=400, span_hours=100) if t is not None]
-    df = spark.createDataFrame(data, SCHEMA)
-    got = sorted(rows(trailing.consecutive_gap(df, 48, bucket="auto", hot_rows=30, sample_fraction=1.0)), key=repr)
-    assert got == _brute_gaps(df, 48)
+def test_a_burst_within_seconds_is_spread_over_groups(spark):
+    base = dt.datetime(2024, 1, 1)
+    burst = [(1, base + dt.timedelta(microseconds=100 * i)) for i in range(100_000)]  # 100,000 instants in 10 seconds
+    burst += [(None, t) for _, t in burst[:20_000]] + [(2, base + dt.timedelta(hours=i)) for i in range(500)]
+    found = _groups(spark, burst, 1000, 64)
+    sizes = {u: [r["count"] for r in found if r["_u"] == u] for u in (1, 2, None)}
+    assert len(sizes[1]) == 64 and max(sizes[1]) < 2 * 100_000 / 64
+    assert len(sizes[None]) == 64 and sizes[2] == [500]
+
+
+@pytest.mark.parametrize("splits", [1, 4, 64])
+def test_two_events_per_occurrence_however_fine_the_groups(spark, splits):
+    base = dt.datetime(2024, 1, 1)
+    data = [(1, base + dt.timedelta(milliseconds=7 * i), str(i % 50)) for i in range(2000)]
+    occurrences = spark.createDataFrame(data, "_u bigint, _t timestamp_ntz, _v string")
+    assert trailing._distinct_events(occurrences, 60, 100 if splits > 1 else 10**6, max(2, splits)).count() == 2 * len(data)
+
+
+def test_building_a_plan_runs_no_job(spark):
+    df = spark.createDataFrame(_random_rows(3), SCHEMA)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("trailing-build", "")
+    trailing.trailing_count(df, "1 hour", 2, name="n")
+    trailing.trailing_distinct(df, "country", "1 hour", 1)
+    trailing.consecutive_gap(df, 48)
+    assert len(tracker.getJobIdsForGroup("trailing-build")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_small_purchases_amount_bounds(spark):
