@@ -17,8 +17,11 @@ Only components are asked for, so no group's pairs are listed:
 * under each key all nodes are compared in full with one of them, the leader;
 * a key whose nodes are in one component by then is settled. Under the others, two
   nodes of different components are compared in full unless what is known rules
-  the link out: shingles without a second owner on either side, and the difference
-  in how much of the leader they lack, bound the symmetric difference from below.
+  the link out. The symmetric difference of two sets is bounded from below by the
+  shingles without a second owner on either side plus the difference in how much of
+  the leader they lack, and by the differing bits of two parity sketches: a bit is
+  the parity of the number of shingles hashed to it, so each differing bit takes a
+  differing shingle.
 
 No bound, cap or sample decides a link; links are confirmed on whole sets.
 """
@@ -40,6 +43,7 @@ from paylens.llm.workspace import Workspace, ship_package
 POSITIONS, CHUNK, ERRORS = 60, 5, 1
 MOST = (POSITIONS // CHUNK) * (ERRORS + 1) - 1
 WORDS = 5
+PARITY_WORDS = 16
 SEED = 20240607
 
 _random = np.random.default_rng(SEED)
@@ -90,13 +94,22 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "keys"])
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS numbers of 64 bits: the parity of the shingles hashed to each bit."""
+    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column("text"), WORDS))
         at = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "shingles"])
+        sketches = np.stack([parity(s) for s in sets], axis=1) if sets else np.zeros((PARITY_WORDS, 0), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), lists, *map(pa.array, sketches)], ["node", "shingles", *(f"p{i}" for i in range(PARITY_WORDS))]
+        )
 
 
 def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +174,7 @@ def _links(base: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> Da
         wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), same_row
     ).select("node", "text")
     sets = ws.table(
-        texts.mapInArrow(_sets, "node bigint, shingles array<bigint>")
+        texts.mapInArrow(_sets, "node bigint, shingles array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(PARITY_WORDS)))
         .dropDuplicates(["node"])
         .withColumn("n", F.size("shingles").cast("bigint")),
         "sets",
@@ -200,12 +213,20 @@ def _links(base: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> Da
         .withColumn("component", F.coalesce("component", "node"))
     )
     open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    rest = ws.table(marked.join(open_keys, "key").select("key", "node", "n", "alone", "lacks", "component"), "rest")
+    sketch = [f"p{i}" for i in range(PARITY_WORDS)]
+    rest = ws.table(
+        marked.join(open_keys, "key").select("key", "node", "n", "alone", "lacks", "component").join(sets.select("node", *sketch), "node"),
+        "rest",
+    )
     left = rest.select("key", *[F.col(c).alias(f"l_{c}") for c in rest.columns if c != "key"])
+    # both differences are at most what a link allows
+    allowed = f"(100 - {percent}) * (l_n + n)"
+    unlike = " + ".join(f"bit_count(l_{p} ^ {p})" for p in sketch)
     pairs = (
         left.join(rest, "key")
         .filter("l_node < node and l_component <> component")
-        .filter(f"(100 + {percent}) * (l_alone + alone + abs(l_lacks - lacks)) <= (100 - {percent}) * (l_n + n)")
+        .filter(f"(100 + {percent}) * (l_alone + alone + abs(l_lacks - lacks)) <= {allowed}")
+        .filter(f"(100 + {percent}) * ({unlike}) <= {allowed}")
         .select(F.col("l_node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
