@@ -27,6 +27,7 @@ from paylens.llm.workspace import ship_package
 # ---- fixed values: Unicode white space, without the separators 1C to 1F that str.split() also cuts at ----
 SPACE_CODES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACES = re.compile("[" + "".join(map(chr, SPACE_CODES)) + "]+")
+SHORT_WORD, NO_RANK = 48, 1 << 60
 OTHER_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -94,10 +95,31 @@ class WordBPE:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest-ranked pair, leftmost first, until none is left."""
-        shown = self.shown
-        parts = [shown[b] for b in word.encode("utf-8")]
+        parts = list(word) if word.isascii() and word.isprintable() else [self.shown[b] for b in word.encode("utf-8")]
         parts[-1] += self.end
+        merged = self._merge_short(parts) if len(parts) <= SHORT_WORD else self._merge_long(parts)
         whole = self.vocab
+        return [whole[p] for p in merged if p in whole]
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """By a list of ranks: each step is a scan of a few numbers."""
+        rank = self.ranks.get
+        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == NO_RANK:
+                break
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NO_RANK)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """By a heap of pairs, for words of any length."""
         n = len(parts)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -117,7 +139,7 @@ class WordBPE:
             h = before[i]
             if h >= 0 and (r := self.ranks.get((parts[h], parts[i]))) is not None:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [whole[p] for p in parts if p and p in whole]
+        return [p for p in parts if p]
 
     def decode(self, ids: np.ndarray) -> str:
         """The file names no decoder: token strings with a blank between each two."""
@@ -141,7 +163,8 @@ def frequent_words(docs: DataFrame, path: str, top: int, per_task: int, text: st
         bpe, seen = load(path), Counter()
         for batch in batches:
             for value in batch.column(0):
-                seen.update(c for c in bpe.parts(value.as_py() or "") if type(c) is str)
+                body = value.as_py() or ""
+                seen.update(bpe.chunks(body) if not bpe.has_special(body) else (c for c in bpe.parts(body) if type(c) is str))
                 if len(seen) > 16 * per_task:
                     seen = Counter(dict(seen.most_common(4 * per_task)))
         words = Counter()

@@ -26,7 +26,7 @@ from paylens.llm.workspace import ship_package
 
 LEXICON_WORDS = 50_000
 WORDS_PER_TASK = 20_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 
 _OPEN: dict[tuple, "Encoder"] = {}
 
@@ -49,7 +49,9 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE_CHUNKS:
             self.clear()
-        out = b"".join(map(self.word, self.model.words(chunk)))
+        words = [chunk] if chunk.isascii() and chunk.isalpha() else self.model.words(chunk)
+        # a word is a chunk of its own, so both share the cache
+        out = self.word(chunk) if words == [chunk] else b"".join(map(self.__getitem__, words))
         if len(chunk) <= 64:
             self[chunk] = out
         return out

@@ -17,7 +17,7 @@ from paylens.llm import bpe
 
 TABLE_WORDS = 32_768
 WORDS_PER_TASK = 8_192
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 LIMIT = 2048
 
 _OPEN: dict[tuple, "Counts"] = {}
@@ -46,7 +46,9 @@ class Counts(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= CACHE_CHUNKS:
             self.clear()
-        n = sum(map(self.word, self.model.words(chunk)))
+        words = [chunk] if chunk.isascii() and chunk.isalpha() else self.model.words(chunk)
+        # a word is a chunk of its own, so both share the cache
+        n = self.word(chunk) if words == [chunk] else sum(map(self.__getitem__, words))
         if len(chunk) <= 64:
             self[chunk] = n
         return n
