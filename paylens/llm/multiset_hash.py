@@ -109,7 +109,7 @@ def with_next_in_order(docs: DataFrame, doc_id: str, carry: list[str], tie: str,
     n = partitions(docs.sparkSession)
     cuts = number_cuts(docs, doc_id, n)
     known = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(range_bucket(F.col(doc_id), known, len(cuts)))
+    bucket = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(range_bucket(F.col(doc_id), known, len(cuts)) + 1)
     own = docs.withColumn("_bucket", bucket).withColumn("_copy", F.lit(False))
     tops = own.groupBy("_bucket").agg(F.max(doc_id).alias("top")).orderBy(F.desc("_bucket")).collect()
     if not tops:
@@ -130,7 +130,7 @@ def with_next_in_order(docs: DataFrame, doc_id: str, carry: list[str], tie: str,
         )
         follows = own.unionByName(copies)
     order = W.partitionBy("_bucket").orderBy("_copy", F.col(doc_id).desc_nulls_last(), tie)
-    spread = follows.repartitionById(n + 1, F.col("_bucket") + 1)
+    spread = follows.repartitionById(n + 1, F.col("_bucket"))
     for name, value in compute.items():
         spread = spread.withColumn(name, value)
     for c in carry:
