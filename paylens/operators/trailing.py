@@ -88,17 +88,21 @@ def _group(time: Column, splits: int) -> Column:
 
 def _with_cuts(instants: DataFrame, bucket_rows: int, splits: int) -> DataFrame:
     found = _cuts(instants, bucket_rows, splits)
-    return instants.join(found, F.col("_u").eqNullSafe(F.col("c_u")), "left").drop("c_u")
+    joined = instants.join(found, F.col("_u").eqNullSafe(F.col("c_u")), "left").drop("c_u")
+    return joined.withColumn("_many", F.col("cuts").isNotNull())
 
 
 _IN_GROUP = "PARTITION BY _u, _b ORDER BY _t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def _swept(events: DataFrame) -> DataFrame:
-    """(_u, _b, _t, _d, _k) -> (_u, _t, _k, _n) at the instants with _k: the running sum of _d."""
-    at = events.groupBy("_u", "_b", "_t").agg(F.sum("_d").alias("_d"), F.max("_k").alias("_k"))
+    """(_u, _b, _t, _d, _k, _many) -> (_u, _t, _k, _n) at the instants with _k: the
+    running sum of _d. Only users with cuts (_many) have groups that start above 0."""
+    spread = events.repartition("_u", "_b")
+    at = spread.groupBy("_u", "_b", "_t").agg(F.sum("_d").alias("_d"), F.max("_k").alias("_k"))
     start = (
-        events.groupBy("_u", "_b")
+        spread.where("_many")
+        .groupBy("_u", "_b")
         .agg(F.sum("_d").alias("_net"))
         .selectExpr(
             "_u AS s_u",
@@ -107,8 +111,8 @@ def _swept(events: DataFrame) -> DataFrame:
         )
     )
     run = at.selectExpr("*", f"sum(_d) OVER ({_IN_GROUP}) AS _run").where("_k IS NOT NULL")
-    return run.join(start, (F.col("_u") == F.col("s_u")) & (F.col("_b") == F.col("s_b"))).selectExpr(
-        "_u", "_t", "_k", "_run + _start AS _n"
+    return run.join(start, (F.col("_u") == F.col("s_u")) & (F.col("_b") == F.col("s_b")), "left").selectExpr(
+        "_u", "_t", "_k", "_run + coalesce(_start, 0) AS _n"
     )
 
 
@@ -148,6 +152,7 @@ def trailing_count(
         cut = _with_cuts(instants, bucket_rows, splits).withColumn("_leave", F.col("_t") + _after(w))
         events = cut.select(
             "_u",
+            "_many",
             F.inline(
                 F.array(
                     F.struct(_group(F.col("_t"), splits).alias("_b"), F.col("_t"), F.col("_k").alias("_d"), F.col("_k")),
@@ -181,9 +186,10 @@ def small_purchases(
 def _distinct_events(occurrences: DataFrame, w: int, bucket_rows: int, splits: int) -> DataFrame:
     """Events of (_u, _v, _t), one row each; a null value only asks for the count there."""
     cut = _with_cuts(occurrences, bucket_rows, splits).withColumn("_b", _group(F.col("_t"), splits))
+    cut = cut.repartition("_u", "_v", "_b")
     # the next time of a value: the next one in its group, else the first in a later group
     firsts = (
-        cut.where("_v IS NOT NULL")
+        cut.where("_v IS NOT NULL AND _many")
         .groupBy("_u", "_v", "_b")
         .agg(F.min("_t").alias("_first"))
         .selectExpr("_u AS f_u", "_v AS f_v", "_b AS f_b", "lead(_first) OVER (PARTITION BY _u, _v ORDER BY _b) AS _later")
@@ -197,6 +203,7 @@ def _distinct_events(occurrences: DataFrame, w: int, bucket_rows: int, splits: i
     one = F.when(F.col("_v").isNotNull(), 1).otherwise(0).cast("bigint")
     return dated.select(
         "_u",
+        "_many",
         F.inline(
             F.array(
                 F.struct(F.col("_b"), F.col("_t"), one.alias("_d"), F.lit(1).cast("bigint").alias("_k")),
@@ -269,16 +276,18 @@ def consecutive_gap(
         .groupBy("_u", "_t")
         .agg(F.count(F.lit(1)).alias("_k"))
     )
-    cut = _with_cuts(instants, bucket_rows, splits).select("_u", "_t", "_k", _group(F.col("_t"), splits).alias("_b"))
+    cut = _with_cuts(instants, bucket_rows, splits).select("_u", "_t", "_k", "_many", _group(F.col("_t"), splits).alias("_b"))
+    cut = cut.repartition("_u", "_b")
     lasts = (
-        cut.groupBy("_u", "_b")
+        cut.where("_many")
+        .groupBy("_u", "_b")
         .agg(F.max("_t").alias("_last"))
         .selectExpr("_u AS l_u", "_b AS l_b", "lag(_last) OVER (PARTITION BY _u ORDER BY _b) AS _before")
     )
     same = F.col("_u").eqNullSafe(F.col("l_u")) & (F.col("_b") == F.col("l_b"))
     out = (
         cut.selectExpr("*", "lag(_t) OVER (PARTITION BY _u, _b ORDER BY _t) AS _prev")
-        .join(lasts, same)
+        .join(lasts, same, "left")
         .selectExpr("_u", "_t", "coalesce(_prev, _before) AS _prev", "explode(sequence(1, _k)) AS _i")
         .selectExpr(f"_u AS `{user}`", "IF(_i = 1, _prev, _t) AS prev_cb_time", f"_t AS `{ts}`")
         .where("prev_cb_time IS NOT NULL")

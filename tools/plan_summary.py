@@ -3,8 +3,7 @@
 Usage: python tools/plan_summary.py [sf_dir] [--at-scale]
 
 ``--at-scale`` turns off Spark's automatic broadcast (as if every table were
-far above the threshold, as at 100 TB); only sides that pass the library's
-own size check (``plans.joins.broadcast_if_small``) are still broadcast.
+far above the threshold, as at 100 TB).
 
 Prints a Markdown table: per key, the Parquet scans, hash exchanges over raw
 rows, hash exchanges over partial aggregates, range exchanges (global sorts),

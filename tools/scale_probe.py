@@ -29,7 +29,7 @@ def main() -> None:
     root = args[0] if args else "/root/testdata/sf0.1"
     ks = [int(a) for a in args[1:]] or [1, 4, 16]
     spark = build_session(
-        shuffle_partitions=int(os.environ.get("BENCH_CPUS", "8")), extra_conf={"spark.driver.memory": "16g"}
+        master=f"local[{os.environ.get('BENCH_CPUS', '8')}]", shuffle_partitions=int(os.environ.get("BENCH_CPUS", "8")), extra_conf={"spark.driver.memory": "16g"}
     )
     base = Dataset(spark, root).transactions()
     for k in ks:
