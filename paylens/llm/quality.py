@@ -29,8 +29,8 @@ from paylens.llm.workspace import Workspace, ship_package
 SAMPLE_ROWS = 16_000
 WORD_BITS = 18
 SHAPE_BINS = 12
-ROUNDS, RATE, RIDGE = 100, 0.03, 1e-4
-SMOOTH = 5.0
+ROUNDS, RATE, RIDGE = 200, 0.05, 1e-4
+SMOOTH = 2.0
 LETTERS = re.compile(r"[^\W\d_]+")
 CAPITALS = re.compile(r"(?<!\S)[^\W\d_a-z]{2,}")
 ODD_TOKEN = re.compile(r"(?<!\S)\S*[!#$%&*+/<=>@\\^_`{|}~]\S*")
