@@ -29,7 +29,7 @@ def main() -> None:
     import __spark_entry__ as entry
 
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1"} if "--at-scale" in sys.argv else {}
-    spark = build_session(shuffle_partitions=8, extra_conf=conf)
+    spark = build_session(master="local[8]", shuffle_partitions=8, extra_conf=conf)
     qs = entry.queries()
     cols = ["scans", "raw_shuffles", "agg_shuffles", "range", "broadcast", "joins", "windows", "topk"]
     print("| key | " + " | ".join(cols) + " |")
