@@ -9,9 +9,7 @@ bounded cache keeps what it has met. No row is shuffled.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm import bpe
 from paylens.llm.transducer import Lexicon, compile_lexicon
-from paylens.llm.workspace import ship_package
+from paylens.llm.workspace import Workspace, ship_package
 
 LEXICON_WORDS = 50_000
 WORDS_PER_TASK = 20_000
@@ -75,10 +73,8 @@ def ship_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str:
     """Compile the words' lexicon and add it to the files that executors fetch; its name there."""
     model = bpe.load(vocabulary)
     name = f"lexicon-{uuid.uuid4().hex}.madt"
-    path = os.path.join(tempfile.mkdtemp(prefix="paylens-lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(compile_lexicon((w.encode("utf-8"), model.merge(w)) for w in words))
-    spark.sparkContext.addFile(path)
+    data = compile_lexicon((w.encode("utf-8"), model.merge(w)) for w in words)
+    spark.sparkContext.addFile(Workspace(spark, "lexicon").file(name, data))
     return name
 
 

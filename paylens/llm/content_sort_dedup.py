@@ -23,7 +23,7 @@ from paylens.llm.workspace import Workspace, partitions
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 HEAD = 64
-SAMPLE_PER_RANGE = 50
+SAMPLE_PER_RANGE = 30
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def _cuts(base: DataFrame, docs: DataFrame, n: int) -> list[tuple]:
         return []
     share = min(1.0, SAMPLE_PER_RANGE * n / count)
     seen = base.select("head", "sha", "id_key").sample(share, seed=11) if share < 1 else base.select("head", "sha", "id_key")
-    keys = sorted((r["head"].encode(), r["sha"], r["id_key"]) for r in seen.toLocalIterator())
+    keys = sorted((r["head"].encode(), r["sha"], r["id_key"]) for r in seen.collect())
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
     return [(h.decode(), s, i) for h, s, i in cuts]
 

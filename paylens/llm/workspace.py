@@ -7,6 +7,7 @@ a lost executor then costs a re-read, never a different answer.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -49,6 +50,15 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def file(self, name: str, data: bytes) -> str:
+        """Write a small file through Spark's file systems; its path."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder(name))
+        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(data)
+        out.close()
+        return self.folder(name)
+
     def drop(self, name: str) -> None:
         """Delete one table of this run (its readers must have finished)."""
         jvm = self.spark.sparkContext._jvm
@@ -68,12 +78,12 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="paylens-package-"), "paylens-package.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext.addPyFile(Workspace(spark, "package").file("paylens-package.zip", archive.getvalue()))
     _SHIPPED.add(app)
