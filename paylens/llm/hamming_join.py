@@ -2,12 +2,12 @@
 
 A document's signature holds ``POSITIONS`` MinHash values of ``b`` bits. The
 distance of two signatures is the number of positions that differ. Signatures are
-cut into chunks; with ``MOST`` differing positions at most and more than
-``MOST / (ERRORS + 1)`` chunks, some chunk has at most ``ERRORS`` of them
-(pigeonhole). So each chunk is indexed under every choice of ``ERRORS`` positions
-left out, and every pair within the distance meets under one key at least. At the
-threshold of 0.85 a pair exceeds the distance with a probability of about one in a
-million.
+cut into chunks; with fewer differing positions than ``ERRORS + 1`` per chunk, some
+chunk has at most ``ERRORS`` of them (pigeonhole). So each chunk is indexed under
+every choice of ``ERRORS`` positions left out, and every pair within the distance
+meets under one key at least. Chunks of 5 positions allow 23 of 60 to differ, chunks
+of 4 allow 29; a pair at the threshold (0.85, or 0.8 for the smaller chunks) differs
+in more with a probability of about one in a million.
 
 Only components are asked for, so no group's pairs are listed:
 
@@ -40,8 +40,7 @@ from paylens.llm.components import components
 from paylens.llm.shingles import mix, shingle_sets
 from paylens.llm.workspace import Workspace, ship_package
 
-POSITIONS, CHUNK, ERRORS = 60, 5, 1
-MOST = (POSITIONS // CHUNK) * (ERRORS + 1) - 1
+POSITIONS, ERRORS = 60, 1
 WORDS = 5
 PARITY_WORDS = 16
 SEED = 20240607
@@ -59,12 +58,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def chunk_size(percent: int) -> int:
+    """Positions per chunk that keep pairs of this similarity within the distance."""
+    if not 80 <= percent <= 100:
+        raise ValueError("the index is laid out for 80 percent or more")
+    return 5 if percent >= 85 else 4
+
+
+def distance(size: int) -> int:
+    """Differing positions up to which every pair meets, for chunks of ``size``."""
+    return (POSITIONS // size) * (ERRORS + 1) - 1
+
+
+def chunk_keys(signatures: np.ndarray, size: int) -> np.ndarray:
     """Per signature the 64-bit keys of every chunk with ERRORS positions left out."""
     wide = signatures.astype(np.uint64)
     out = []
-    for chunk in range(0, POSITIONS, CHUNK):
-        for left in combinations(range(CHUNK), CHUNK - ERRORS):
+    for chunk in range(0, POSITIONS, size):
+        for left in combinations(range(size), size - ERRORS):
             key = np.full(len(wide), chunk * 100 + sum(1 << i for i in left), np.uint64)
             for i in left:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, chunk + i])
@@ -86,12 +97,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
-        keys = chunk_keys(sigs)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "keys"])
+def _keys(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
+            keys = chunk_keys(sigs, size)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "keys"])
+
+    return run
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -117,7 +131,7 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
     Linked are documents whose sets of 5-word shingles have
     100 * |intersection| >= percent * |union|; ``component_id`` is the smallest id
-    reachable. ``percent`` must be 85 or more, for which the index is laid out.
+    reachable. ``percent`` must be 80 or more.
 
     Null text counts as empty; a text without words has an empty set and is linked
     with nothing: its component is its own id. Repeated rows are linked as any equal
@@ -125,8 +139,7 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     they are never a component's id unless all its ids are null. An empty table
     gives an empty result. Other columns are ignored.
     """
-    if not 85 <= percent <= 100:
-        raise ValueError("the index is laid out for 85 percent or more")
+    chunk_size(percent)
     spark = docs.sparkSession
     ship_package(spark)
     ws = Workspace(spark, "near")
@@ -164,7 +177,7 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
 
 def _links(base: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    keyed = nodes.select("node", "sig").mapInArrow(_keys, "node bigint, keys array<bigint>").select(
+    keyed = nodes.select("node", "sig").mapInArrow(_keys(chunk_size(percent)), "node bigint, keys array<bigint>").select(
         "node", F.explode("keys").alias("key")
     )
     meets = ws.table(_shared(keyed), "meets")

@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent):
     sets = [shingles(r[1]) for r in rows]
     up = list(range(len(rows)))
 
@@ -29,7 +29,7 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     groups = defaultdict(list)
@@ -57,11 +57,11 @@ def family(seed=1, members=150):
     return rows + [(3000 + i, words(rng, rng.randint(1, 60)), "en", "s") for i in range(40)]
 
 
-@pytest.mark.parametrize("rows", [edge_rows(), family()], ids=["edge", "family"])
-def test_components_equal_brute_force(spark, rows):
-    got = hamming_join.near_components(make(spark, rows)).collect()
+@pytest.mark.parametrize("rows,percent", [(edge_rows(), 85), (family(), 85), (family(7), 80)], ids=["edge", "family", "family80"])
+def test_components_equal_brute_force(spark, rows, percent):
+    got = hamming_join.near_components(make(spark, rows), percent).collect()
     key = lambda x: tuple((v is None, v) for v in x)
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(rows), key=key)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(rows, percent), key=key)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
@@ -70,13 +70,14 @@ def test_no_documents(empty):
     assert suffix_levels.repeated_spans(empty).count() == 0
 
 
-def test_pairs_within_the_distance_share_a_key():
+@pytest.mark.parametrize("size", [4, 5])
+def test_pairs_within_the_distance_share_a_key(size):
     rng = np.random.default_rng(3)
     sigs = rng.integers(0, 1 << 16, (200, hamming_join.POSITIONS)).astype("<u2")
     other = sigs.copy()
     for row in other:
-        row[rng.choice(hamming_join.POSITIONS, hamming_join.MOST, replace=False)] ^= 1
-    a, b = hamming_join.chunk_keys(sigs), hamming_join.chunk_keys(other)
+        row[rng.choice(hamming_join.POSITIONS, hamming_join.distance(size), replace=False)] ^= 1
+    a, b = hamming_join.chunk_keys(sigs, size), hamming_join.chunk_keys(other, size)
     assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
