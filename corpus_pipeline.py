@@ -2,7 +2,8 @@
 
 1. quality: documents that the classifier finds poor or toxic go;
 2. exact dedup: of equal texts one row stays;
-3. near dedup: of each component of near duplicates one document stays;
+3. near dedup: of each component of documents whose sets of five-word shingles are
+   alike by 0.8 or more, one stays;
 4. mixing: a document is there once for each pass that takes it;
 5. tokens: ids of every document that is left.
 
@@ -62,7 +63,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = hamming_join.near_components(docs)
+    found = hamming_join.near_components(docs, percent=80)
     return _decided(docs, found.select("doc_id", "text_hash", F.col("kept").cast("bigint").alias("passes")))
 
 
