@@ -19,7 +19,7 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_hash.fingerprints(_read(spark, sf_dir, "documents"))
+    return multiset_hash.fingerprints(_read(spark, sf_dir, "documents")).drop("shared_edited", "shared_next")
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

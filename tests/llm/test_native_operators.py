@@ -95,6 +95,39 @@ def test_fingerprints_add_and_remove_paragraphs(spark):
     assert row.asDict() == {"sum": True, "rest": True, "order": True, "count": False, "same": 1.0, "none": 0.0}
 
 
+@pytest.mark.parametrize("n", [10, 100, 1000, 10_000])
+def test_shared_paragraphs_at_every_length(spark, n):
+    rows = []
+    for i in range(3):
+        # the last third of a text's characters is swapped for the next text's first ones
+        rows.append((30 - i, "\n".join(f"line {j:06d} of text {i} of {n}" for j in range(n)) + f"\n{'again' * 4}" * (n // 5), "en", "s"))
+    got = {r["doc_id"]: r for r in multiset_hash.fingerprints(make(spark, rows)).collect()}
+    bag = lambda t: Counter(p for p in t.split("\n") if p)
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        k = len(r[1]) // 3
+        for name, other in (("edited", r[1][: len(r[1]) - k] + after[1][:k]), ("next", after[1])):
+            a, b = bag(r[1]), bag(other)
+            true = (a & b).total() / (a | b).total()
+            assert abs(got[r[0]][f"shared_{name}"] - true) < 0.12, (n, name, true, got[r[0]])
+            if n <= 100:
+                assert abs(got[r[0]][f"shared_{name}"] - true) < 0.06
+
+
+def test_sparse_lanes_of_few_differences_are_exact(spark):
+    many = [f"paragraph {i}" for i in range(3000)]
+    of = lambda lines: multiset_hash.sparse_lanes(multiset_hash.paragraph_values(F.lit("\n".join(lines))))
+    row = spark.range(1).select(
+        multiset_hash.shared(of(many), of(many[::-1])).alias("same"),
+        multiset_hash.shared(of(many), of(many[:-10])).alias("fewer"),
+        multiset_hash.shared(of(many), of([*many, *["heavy"] * 3000])).alias("heavy"),
+        multiset_hash.shared(of([]), of([])).alias("none"),
+        multiset_hash.shared(of([]), of(["x"])).alias("one"),
+        multiset_hash.shared(of(["x"] * 4), of(["x"] * 3)).alias("count"),
+    ).first()
+    assert row["same"] == 1 and row["fewer"] == pytest.approx(2990 / 3000) and row["heavy"] == pytest.approx(0.5)
+    assert (row["none"], row["one"], row["count"]) == (1.0, 0.0, 0.75)
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
