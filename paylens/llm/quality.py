@@ -119,12 +119,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> np.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> list:
-    """(features, quality, toxic) of at most ``rows`` labelled documents, chosen by a
-    hash of their id. The chosen ids, ``rows`` at most, are broadcast."""
+    """(id, features, quality, toxic) of at most ``rows`` labelled documents, chosen by a
+    hash of their id among those that ``docs`` has. Of several rows of an id the one
+    with the smallest hash of its text counts. The chosen ids, ``rows`` at most, are
+    broadcast."""
     ship_package(docs.sparkSession)
     complete = labels.filter("doc_id is not null and quality is not null and toxic is not null")
-    few = complete.select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    few = few.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    complete = complete.select(
+        F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")
+    ).dropDuplicates(["l_id"])
+    found = docs.select(docs[doc_id].alias("d_id"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash"))
+    there = found.groupBy("d_id").agg(F.min("hash").alias("l_hash"))
+    few = complete.join(there, F.col("d_id") == F.col("l_id")).drop("d_id").orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +140,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                 ["l_id", "features", "quality", "toxic"],
             )
 
-    joined = docs.select(docs[doc_id].alias("d_id"), docs[text].alias("text")).join(F.broadcast(few), F.col("d_id") == F.col("l_id"))
-    found = joined.select("l_id", "text", "quality", "toxic").mapInArrow(extract, "l_id bigint, features binary, quality int, toxic int")
-    return sorted((r["l_id"], bytes(r["features"]), r["quality"], r["toxic"]) for r in found.collect())
+    joined = found.join(F.broadcast(few), (F.col("d_id") == F.col("l_id")) & (F.col("hash") == F.col("l_hash")))
+    sample = joined.select("l_id", "text", "quality", "toxic").mapInArrow(extract, "l_id bigint, features binary, quality int, toxic int")
+    # equal rows have equal features
+    sample = sample.dropDuplicates(["l_id"])
+    return sorted((r["l_id"], bytes(r["features"]), r["quality"], r["toxic"]) for r in sample.collect())
 
 
 def train(sample: list) -> np.ndarray:
@@ -163,8 +171,8 @@ def classify(
     ``host`` and ``path`` default to the columns source and lang. Null hosts and
     paths are a site of their own. Null text counts as empty; a document without
     words is not kept. Repeated rows each count in their site's rate. Labels with a
-    null or for unknown ids are not used; of several labels of an id one is. Without
-    labels all scores are 0.5 and nothing is kept. An empty table gives an empty result.
+    null or for unknown ids are not used; of several labels of an id one is, and of
+    several rows of a labelled id one is fitted on. Without labels all scores are 0.5 and nothing is kept. An empty table gives an empty result.
     Other columns are ignored.
     """
     spark = docs.sparkSession

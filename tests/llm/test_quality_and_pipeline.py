@@ -59,6 +59,14 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert len(a) == 25 and a == b
 
 
+def test_sample_is_of_documents_that_exist_one_row_each(spark):
+    docs = make(spark, [(i, f"text {i % 3} {j}", "en", "s") for i in range(30) for j in range(1 + 9 * (i == 4))] + [(4, "text 1 0", "en", "s")])
+    known = labels(spark, [(i, i % 2, 0, "x", 0) for i in range(2000)])
+    got = quality.labelled_sample(docs, known, rows=30)
+    assert [r[0] for r in got] == list(range(30)) and [r[2] for r in got] == [i % 2 for i in range(30)]
+    assert len(quality.labelled_sample(docs, known, rows=12)) == 12
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, SMALL).toPandas()
