@@ -125,6 +125,21 @@ def test_removed_bytes_equal_brute_force(spark, rows):
     assert all(sum(r["removed"][1::2]) - sum(r["removed"][::2]) == r["n_removed"] and len(r["removed"]) == 2 * r["n_spans"] for r in got)
 
 
+def test_many_texts_of_one_id_are_many_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = words(rng, 20)
+    rows = [(i, " ".join([words(rng, 12), passage, words(rng, 5)]), "en", "s") for i in [None] * 60 + [9] * 60 + [8, 10, 10]]
+    rows += rows[:1] * 20 + rows[60:61] * 20
+    plans, table = {}, suffix_levels.Workspace.table
+    monkeypatch.setattr(suffix_levels.Workspace, "table", lambda ws, df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), table(ws, df, name))[1])
+    got = suffix_levels.repeated_spans(make(spark, rows)).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    fields = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[f] for f in fields) for r in got), key=key) == sorted(brute_repeats(rows), key=key)
+    joins = [x for x in plans["cut"].split("\n") if "Join " in x]
+    assert joins and all(re.search(r"tid#\d+L = \w*tid#\d+L", x) for x in joins)
+
+
 def test_levels_merge_geometrically_and_find_all():
     rng = np.random.default_rng(2)
     family, seen = suffix_levels.Levels(), {}
