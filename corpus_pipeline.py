@@ -11,7 +11,7 @@ A stage's decisions are a narrow table of (id, hash of the text); the documents
 joined with it, so texts pass no operator that does not need them. All stages but
 the last return the columns of their input, whatever extra ones it has. Null ids
 and texts, repeated rows and empty tables are handled as each operator's docstring
-says; a document without an id is never a group's one id, so it stays in stage 3.
+says; stage 3 prefers documents with an id, and keeps all without words.
 """
 
 from __future__ import annotations
@@ -63,8 +63,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = hamming_join.near_components(docs, percent=80)
-    return _decided(docs, found.select("doc_id", "text_hash", F.col("kept").cast("bigint").alias("passes")))
+    found = hamming_join.near_components(docs, percent=80).filter("chosen")
+    # of equal rows one stays, but all rows without words
+    one = found.groupBy("doc_id", "text_hash").agg(F.when(F.max("n_shingles") == 0, F.count("*")).otherwise(1).alias("passes"))
+    return _decided(docs, one, once=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

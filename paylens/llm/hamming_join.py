@@ -127,7 +127,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, text_hash.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     Linked are documents whose sets of 5-word shingles have
     100 * |intersection| >= percent * |union|; ``component_id`` is the smallest id
@@ -136,7 +136,9 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     Null text counts as empty; a text without words has an empty set and is linked
     with nothing: its component is its own id. Repeated rows are linked as any equal
     texts, and all rows that bear the component's id are kept. Null ids take part;
-    they are never a component's id unless all its ids are null. An empty table
+    they are never a component's id unless all its ids are null. ``chosen`` are the
+    rows of one (doc_id, text_hash) of each component: its smallest id, nulls last,
+    and of that the smallest hash; rows equal in both are all chosen. An empty table
     gives an empty result. Other columns are ignored.
     """
     chunk_size(percent)
@@ -163,8 +165,11 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     links = _links(base, nodes, percent, ws)
     labels = components(links, ws, "final")
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_print = named.join(ids, "component").select("print", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    ids = named.groupBy("component").agg(first.alias("first"))
+    of_print = named.join(ids, "component").select(
+        "print", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")
+    )
     out = sigs.select("doc_id", "text_hash", "n", "print").join(of_print, "print", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
@@ -173,6 +178,7 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         "text_hash",
+        ((F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash")))).alias("chosen"),
     )
 
 

@@ -43,7 +43,7 @@ def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming_join.near_components(_read(spark, sf_dir, "documents")).drop("text_hash")
+    return hamming_join.near_components(_read(spark, sf_dir, "documents")).drop("text_hash", "chosen")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

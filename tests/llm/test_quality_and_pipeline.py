@@ -107,6 +107,18 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, pipeline):
     assert pipeline.run(spark, SMALL).count() == before
 
 
+def test_one_near_duplicate_stays_whatever_its_ids(spark, pipeline):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda tag: [" ".join([f"{tag}{w}" for w in base] + [f"end{i}"]) for i in range(4)]
+    rows = [(None, t, "en", "s") for t in near("a")]
+    rows += [(5, t, "en", "s") for t in near("b")] + [(5, near("b")[0], "en", "s")] * 2
+    rows += [(i, t, "en", "s") for i, t in zip((None, 8, 7, 8), near("c"), strict=True)]
+    rows += [(None, "", "en", "s"), (None, " ", "en", "s"), (None, "lone text", "en", "s")]
+    out = pipeline.near_stage(spark, make(spark, rows), "").collect()
+    kept = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out)
+    assert kept == Counter({(None, "a"): 1, (5, "b"): 1, (7, "c"): 1, (None, ""): 1, (None, " "): 1, (None, "l"): 1})
+
+
 def test_pipeline_on_edges(spark, pipeline, edge, empty, tmp_path):
     known = labels(spark, [(76, 1, 0, "x", 0), (100, 0, 0, "x", 0), (73, 1, 1, "x", 0)])
     known.write.parquet(f"{tmp_path}/labels.parquet")
