@@ -186,6 +186,61 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_remov
   sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id)"""
 
+#: DuckDB has no crc32: its table, and the sum over the bytes of a text.
+_CRC_TABLE = """crc_table AS (
+  SELECT i, list_reduce(list_concat([i], range(1, 9)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(0, 256) r(i)
+), crcs AS (SELECT list(c ORDER BY i) AS t FROM crc_table)"""
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode({})), '..')]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault
+  FROM conversations, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) FROM keyed WHERE fault <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS x,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+    coalesce(lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au'), false) AS odd FROM placed
+), counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 'blank') AS blank,
+    count_if(f = 'duplicate') AS duplicate, count_if(f = 'truncated') AS truncated, count_if(odd) AS illegal FROM judged GROUP BY conv_id
+), adds(s, t, said) AS (VALUES (0, 2, 'user:'), (1, 2, 'user:'), (2, 3, 'assistant:'), (3, 2, 'user:')),
+keeps(x, s, t) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+hops AS (
+  SELECT s, s AS t, 0 AS c, '' AS w, []::VARCHAR[] AS said FROM adds
+  UNION ALL SELECT s, t, 3, 'I', [said] FROM adds
+  UNION ALL SELECT a.s, b.t, 6, 'II', [a.said, b.said] FROM adds a JOIN adds b ON a.t = b.s
+), edits AS (
+  SELECT j.conv_id, j.i, s, s AS t, 4 AS c, 'D' AS w, []::VARCHAR[] AS said FROM judged j, (SELECT DISTINCT s FROM adds)
+  UNION ALL SELECT j.conv_id, j.i, s, t, 3 * (f = 'truncated')::INT, 'K', [role || ':' || text] FROM judged j JOIN keeps k ON k.x = j.x WHERE f IN ('', 'truncated')
+  UNION ALL SELECT j.conv_id, j.i, s, t, 3 + 3 * (f = 'truncated')::INT, 'R', [said || text] FROM judged j, adds WHERE f IN ('', 'truncated')
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, {{'c': 0, 'w': '', 'said': []::VARCHAR[]}} AS best FROM counts
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, e.t, min({{'c': p.best.c + h.c + e.c, 'w': p.best.w || h.w || e.w, 'said': list_concat(p.best.said, h.said, e.said)}})
+  FROM walk p JOIN hops h ON h.s = p.s JOIN edits e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 AND e.s = h.t
+  GROUP BY p.conv_id, p.i, e.t
+), ends AS (
+  SELECT p.conv_id, min({{'c': p.best.c + h.c, 'w': p.best.w || h.w, 'said': list_concat(p.best.said, h.said)}}) AS best
+  FROM walk p JOIN counts n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i JOIN hops h ON h.s = p.s AND (h.t = 3 OR h.t = 0)
+  GROUP BY p.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.w, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 ORACLE: dict[str, str] = {
     "op1_hilbert_shards": _hilbert(),
     "op2_multiset_hash": _multiset(),
@@ -194,4 +249,5 @@ ORACLE: dict[str, str] = {
     "op6_hamming_join": NEAR,
     "op7_mixing": MIX,
     "op9_suffix_levels": REPEATS,
+    "op12_hirschberg": CONVERSATIONS,
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, wacz
+from paylens.llm import bpe_codec, content_sort_dedup, conversation_repair, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, wacz
 from paylens.llm.oracle import ORACLE
 
 
@@ -62,6 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_hirschberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    found = conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows)))
+    ids = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, *texts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_multiset_hash": op2_multiset_hash,
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_levels": op9_suffix_levels,
     "op10_token_counts": op10_token_counts,
+    "op12_hirschberg": op12_hirschberg,
 }
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
