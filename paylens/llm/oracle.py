@@ -241,6 +241,37 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
+
+def _codes(rounds: int = 6) -> str:
+    """Codebooks by full assignment in every round."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, p, min(d * 16 + e) AS de FROM (SELECT r, p, e, sum((x.v - c{i}.v) * (x.v - c{i}.v))::BIGINT AS d FROM x JOIN c{i} USING (p, j) GROUP BY r, p, e) GROUP BY r, p
+)"""
+
+    def averaged(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (
+  SELECT p, e, j, coalesce((s - ((s % n) + n) % n) // n, v)::BIGINT AS v FROM c{i} LEFT JOIN (
+    SELECT p, de % 16 AS e, j, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r, p) GROUP BY ALL
+  ) USING (p, e, j)
+)"""
+
+    steps = ", ".join(s for i in range(rounds) for s in (assigned(i), averaged(i)))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT r, i // (n // 8) AS p, i % (n // 8) AS j, floor(embedding[i + 1]::DOUBLE * 4096)::BIGINT AS v
+  FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(0, len(embedding))) AS i FROM kept)
+), c0 AS (SELECT p, r AS e, j, v FROM x WHERE r < 16), {steps}, {assigned(rounds)},
+coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex((de % 16)::BIGINT)), 2, '0'), '' ORDER BY p) AS code, sum(de // 16)::BIGINT AS error FROM a{rounds} GROUP BY r
+), books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books"""
+
+
 ORACLE: dict[str, str] = {
     "op1_hilbert_shards": _hilbert(),
     "op2_multiset_hash": _multiset(),
@@ -250,4 +281,5 @@ ORACLE: dict[str, str] = {
     "op7_mixing": MIX,
     "op9_suffix_levels": REPEATS,
     "op12_hirschberg": CONVERSATIONS,
+    "op13_drake_hamerly": _codes(),
 }

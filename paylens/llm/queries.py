@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import bpe_codec, content_sort_dedup, conversation_repair, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, wacz
+from paylens.llm import bpe_codec, content_sort_dedup, conversation_repair, crf_language, hamming_join, hilbert_shards, mixing, multiset_hash, quality, suffix_levels, token_counts, vector_codes, wacz
 from paylens.llm.oracle import ORACLE
 
 
@@ -63,6 +63,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = crf_language.train(docs.where(~held_out))
+    return crf_language.identify(docs, model, keep=(docs["doc_id"], held_out.alias("held_out")))
+
+
 def op12_hirschberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     found = conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows)))
@@ -72,6 +79,14 @@ def op12_hirschberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, *texts)
 
 
+def op13_drake_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    sums = codes.groupBy(F.col("label").alias("s_label")).agg(F.sum("error").alias("label_error"))
+    return codes.join(sums, F.col("label").eqNullSafe(F.col("s_label"))).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_multiset_hash": op2_multiset_hash,
@@ -83,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_levels": op9_suffix_levels,
     "op10_token_counts": op10_token_counts,
+    "op11_crf": op11_crf,
     "op12_hirschberg": op12_hirschberg,
+    "op13_drake_hamerly": op13_drake_hamerly,
 }
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
