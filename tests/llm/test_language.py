@@ -1,0 +1,150 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from paylens.llm import crf_language as C
+from paylens.llm.queries import QUERIES
+from tests.llm.conftest import edge_rows, make
+
+ALPHABETS = {"xx": "abcdefgh", "yy": "efghijkl", "zz": "qrstuvwé"}
+
+
+def sentence(rng, lang, n):
+    return " ".join("".join(rng.choice(ALPHABETS[lang]) for _ in range(rng.randint(1, 8))) for _ in range(n))
+
+
+def corpus(rng, n):
+    rows = []
+    for i in range(n):
+        lang = rng.choice(list(ALPHABETS))
+        rows.append((i, sentence(rng, lang, rng.randint(3, 120)), lang, "s"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return C.train(make(spark, corpus(random.Random(1), 200)))
+
+
+def test_marginals_equal_sums_over_all_label_sequences():
+    rng = np.random.default_rng(0)
+    import itertools
+
+    for n in (1, 2, 4):
+        scores, moves = rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
+        want = np.zeros((n, 3))
+        for labels in itertools.product(range(3), repeat=n):
+            p = np.exp(sum(scores[t, y] for t, y in enumerate(labels)) + sum(moves[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+            for t, y in enumerate(labels):
+                want[t, y] += p
+        got, _ = C.marginals(scores, np.array([n]), moves)
+        assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_lanes_equal_one_plain_chain():
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 63, 64, 65, 128, 129, 700, 5])
+    scores, moves = (3 * rng.normal(size=(lengths.sum(), 4))).astype(np.float32), rng.normal(size=(4, 4)).astype(np.float32)
+    got, _ = C.marginals(scores, lengths, moves)
+    at = 0
+    for n in lengths:
+        e, t = np.exp(scores[at : at + n].astype(float)), np.exp(moves.astype(float))
+        a, b = [e[0] / e[0].sum()], [np.ones(4)]
+        for i in range(1, n):
+            v = (a[-1] @ t) * e[i]
+            a.append(v / v.sum())
+            w = t @ (e[n - i] * b[-1])
+            b.append(w / w.sum())
+        both = np.array(a) * np.array(b[::-1])
+        assert np.allclose(got[at : at + n], both / both.sum(axis=1, keepdims=True), atol=1e-4)
+        at += n
+
+
+def test_features_are_those_of_each_word_alone():
+    text = "ab c déf, ghij-k 日本 x1y 🙂 " + "z" * 30
+    words = C.split_words(text)
+    alone = ["ab", "c", "déf", "ghij", "k", "日本", "x", "y", "z" * 30]
+    assert [len(w) for w in alone] == words.lengths.tolist()
+    for (bucket, word), *single in zip(C.grams(words), *[C.grams(C.split_words(w)) for w in alone], strict=True):
+        for i, (own, _) in enumerate(single):
+            assert sorted(bucket[word == i].tolist()) == sorted(own.tolist())
+    (h, short), singles = C.short_words(words), [C.short_words(C.split_words(w))[0] for w in alone]
+    assert short.tolist() == [0, 1, 2, 3, 4, 5, 6, 7] and h.tolist() == [int(s[0]) for s in singles[:-1]]
+    assert all(int(C.short_words(C.split_words(w))[0][0]) not in h.tolist() for w in ("ba", "abc", "dé"))
+
+
+def test_slices_cut_between_words_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(C, "SLICE", 50)
+    rng = random.Random(2)
+    text = sentence(rng, "xx", 200) + " " + "q" * 180 + ". end"
+    parts = list(C.slices(text))
+    assert "".join(parts) == text and all(len(p) <= 50 for p in parts)
+    assert "".join(parts).split() == text.split() and sum(len(p.split()) for p in parts) <= len(text.split()) + 8
+
+
+def test_reading_does_not_depend_on_slices_or_company(model, monkeypatch):
+    rng = random.Random(3)
+    texts = [sentence(rng, x, n) for x in ALPHABETS for n in (1, 5, 70, 400)] + ["", "12 34", "x" * 500]
+    together = C.read(model, texts, spans=True)
+    monkeypatch.setattr(C, "SLICE", 600)
+    for text, want in zip(texts, together, strict=True):
+        got = C.read(model, [text], spans=True)[0]
+        assert (got.shares is None) == (want.shares is None) and got.spans == want.spans
+        assert want.shares is None or np.allclose(got.shares, want.shares, atol=1e-4)
+
+
+def test_switched_text_is_labelled_word_by_word(model):
+    rng = random.Random(4)
+    plan = [("xx", 25), ("zz", 30), ("yy", 20), ("xx", 15)]
+    got = C.read(model, [" ".join(sentence(rng, x, n) for x, n in plan)], spans=True)[0]
+    labels = [lang for n, lang in got.spans for _ in range(n)]
+    want = [lang for lang, n in plan for _ in range(n)]
+    assert len(labels) == len(want) and np.mean([a == b for a, b in zip(labels, want, strict=True)]) > 0.95
+    assert len(got.spans) <= 8
+
+
+def test_edges(spark, model, empty):
+    rows = [*edge_rows(), (900, None, "en", "s"), (901, "123 !?", "en", "s"), (902, " ".join(["word"] * 60_000), "en", "s")]
+    docs = make(spark, rows)
+    got = C.identify(docs, model, keep=(docs["doc_id"], docs["text"], docs["lang"], docs["key"]), spans=True).collect()
+    assert len(got) == len(rows)
+    by_text: dict = {}
+    for r in got:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
+        assert sum(s["words"] for s in r["spans"]) == len("".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split())
+        assert abs(by_text.setdefault(r["text"], r["score"]) - r["score"]) < 1e-4
+    assert C.identify(empty, model, keep=(empty["doc_id"],)).count() == 0
+    assert C.train(empty) is None
+    none = C.identify(docs, None, keep=(docs["doc_id"],)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
+
+
+def test_rare_and_single_languages(spark):
+    rng = random.Random(5)
+    one = C.train(make(spark, [(i, sentence(rng, "xx", 20), "xx", "s") for i in range(8)]))
+    assert one.languages == ["xx"] and C.read(one, ["abc", "1"])[0].shares.tolist() == [1.0]
+    rare = C.train(make(spark, [(1, "only words here", "one", "s"), (2, None, "two", "s"), (3, "999", "three", "s"), (4, "mm nn", None, "s")]))
+    assert rare.languages == ["one", "three"]
+
+
+def test_lexicon_counts_all_rows(spark):
+    rows = corpus(random.Random(6), 60)
+    model = C.train(make(spark, rows), sample_rows=3)
+    words = {w for _, t, *_ in rows for w in t.split() if len(w) <= C.LEXICON_LETTERS}
+    assert len(model.lexicon) == len(words)
+
+
+def test_held_out_documents(spark):
+    root = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in QUERIES["op11_crf"](spark, root).collect()}
+    docs = spark.read.parquet(f"{root}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2]
+    assert {i for i, r in got.items() if r["held_out"]} == {d["doc_id"] for d in held}
+    right = [got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]
+    assert len(right) > 200 and np.mean(right) > 0.98
