@@ -6,15 +6,19 @@ tables, which Spark does not enforce on write).
 * ``null_counts``: nulls per required column, one aggregate pass per table.
 * ``orphans``: child rows whose non-null foreign key has no parent (anti join;
   AQE splits a hot foreign-key value).
-* ``constraint_violations``: all of the above for a set of tables, driven by
-  ``sources.schemas.KEYS``; one small summary row per check.
+* ``constraint_violations``: all declared checks of a set of tables, driven by
+  ``sources.schemas.KEYS``, with one scan of each table and one shuffle for all: every
+  row gives its key values, tagged with the parent table they belong to and the check;
+  one group per key value then says how often the parent and each child hold it. Counts
+  are partial in the scan tasks, so a key or a null that a third of the rows hold moves
+  as one row for each task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.sources.schemas import KEYS
@@ -41,24 +45,67 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None)
     return child.filter(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
 
 
-def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per declared check on the given tables:
-    (table_name, check_name, column_name, violations)."""
-    parts: list[DataFrame] = []
+Check = tuple[str, str, tuple[str, ...], str]  # table, kind, columns, table whose key it is
+
+
+def _declared(tables: dict[str, DataFrame]) -> list[Check]:
+    """The declared checks that the given tables can answer, in order."""
+    out: list[Check] = []
     for table, (pk, required, fks) in KEYS.items():
         if table not in tables:
             continue
-        df = tables[table]
-        dup = duplicate_keys(df, pk).agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(dup.select(F.lit(table).alias("table_name"), F.lit("primary_key").alias("check_name"),
-                                F.lit(",".join(pk)).alias("column_name"), "violations"))
-        nn = null_counts(df, required, table=table)
-        parts.append(nn.select("table_name", F.lit("not_null").alias("check_name"), "column_name",
-                               F.col("null_count").alias("violations")))
-        for fk, parent, parent_key in fks:
-            if parent not in tables:
-                continue
-            orph = orphans(df, tables[parent], fk, parent_key).agg(F.count(F.lit(1)).alias("violations"))
-            parts.append(orph.select(F.lit(table).alias("table_name"), F.lit("foreign_key").alias("check_name"),
-                                     F.lit(fk).alias("column_name"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+        out.append((table, "primary_key", tuple(pk), table))
+        out += [(table, "not_null", (c,), "") for c in required]
+        out += [(table, "foreign_key", (fk,), parent) for fk, parent, _ in fks if parent in tables]
+    return out
+
+
+def _held(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
+    """(owner, value, check) of one table: a row for each key value that is there, and for
+    each required column that is null."""
+
+    def entry(i: int, check: Check) -> Column:
+        _, kind, columns, owner = check
+        there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        value = F.array(*[F.col(c).cast("string") for c in columns])
+        if kind == "not_null":
+            there, value = ~there, F.array(F.lit(str(i)))
+        return F.when(there, F.struct(F.lit(owner).alias("owner"), value.alias("value"), F.lit(i).alias("check")))
+
+    return df.select(F.inline(F.filter(F.array(*[entry(i, c) for i, c in checks]), lambda x: x.isNotNull())))
+
+
+def key_presence(tables: dict[str, DataFrame]) -> tuple[DataFrame, list[Check]]:
+    """(owner, value, n0, n1, ...): how often each check's rows hold a key value; and the
+    checks in the order of those columns."""
+    checks = list(enumerate(_declared(tables)))
+    rows = [_held(df, [(i, c) for i, c in checks if c[0] == name]) for name, df in tables.items() if any(c[0] == name for _, c in checks)]
+    counts = [F.count_if(F.col("check") == i).alias(f"n{i}") for i, _ in checks]
+    return reduce(DataFrame.unionByName, rows).groupBy("owner", "value").agg(*counts), [c for _, c in checks]
+
+
+def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per declared check on the given tables:
+    (table_name, check_name, column_name, violations).
+
+    Violations are key values held by several rows, rows with a null in a required
+    column, and child rows whose key is in no parent row. A foreign key whose parent
+    table is not given is not checked.
+    """
+    held, checks = key_presence(tables)
+    totals = []
+    for i, (_, kind, _, owner) in enumerate(checks):
+        n = F.col(f"n{i}")
+        if kind == "primary_key":
+            bad = F.count_if(n > 1)
+        elif kind == "not_null":
+            bad = F.sum(n)
+        else:
+            parent = next(j for j, c in enumerate(checks) if c[0] == owner and c[1] == "primary_key")
+            bad = F.sum(F.when(F.col(f"n{parent}") == 0, n).otherwise(0))
+        totals.append(F.coalesce(bad, F.lit(0)).alias(f"v{i}"))
+    rows = [
+        F.struct(F.lit(t).alias("table_name"), F.lit(kind).alias("check_name"), F.lit(",".join(c)).alias("column_name"), F.col(f"v{i}").alias("violations"))
+        for i, (t, kind, c, _) in enumerate(checks)
+    ]
+    return held.agg(*totals).select(F.inline(F.array(*rows)))

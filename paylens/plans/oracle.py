@@ -40,8 +40,10 @@ DOMAIN = {
     "cash_applications": f"""SELECT l_orderkey * 10 + l_linenumber AS application_id, l_orderkey AS invoice_id,
     {A.PAYMENT_ID_BASE} + l_orderkey - IF(l_linenumber % {A.NEIGHBOUR_LINES} = 0, l_orderkey % 2, 0) AS payment_id,
     l_extendedprice::DECIMAL(18,2) AS applied_amount, l_shipdate::DATE AS applied_date FROM lineitem""",
-    "credit_notes": """SELECT l_orderkey * 10 + l_linenumber AS credit_note_id, l_orderkey AS invoice_id, l_shipdate::DATE AS credit_date,
-    (l_extendedprice * l_discount)::DECIMAL(18,2) AS amount FROM lineitem""",
+    "credit_notes": f"""SELECT l_orderkey * 10 + l_linenumber AS credit_note_id,
+    CASE l_linenumber WHEN {A.MISTYPED_LINE} THEN {A.MISTYPED_BY} ELSE 1 END * l_orderkey AS invoice_id, l_shipdate::DATE AS credit_date,
+    (l_extendedprice * l_discount)::DECIMAL(18,2) AS amount, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'adjusted' END AS reason,
+    l_linestatus AS created_by FROM lineitem""",
     "write_offs": """SELECT o_orderkey AS write_off_id, o_orderkey AS invoice_id,
     IF(o_orderstatus = 'F', o_orderdate::DATE + 365, NULL) AS write_off_date, o_totalprice::DECIMAL(18,2) AS amount FROM orders""",
     "links": """SELECT *, payment_date - invoice_date AS days FROM cash_applications
@@ -88,15 +90,15 @@ FROM r WHERE reversed >= 2 AND ratio * 100 >= 2
 ORDER BY 3 DESC, 5 DESC, 4 DESC, 1 NULLS FIRST LIMIT 10"""),
     "c2_overview": _on("tx", f"""
 SELECT count(*) AS total_transactions, sum((status = 'approved')::INT)::BIGINT AS approved_tx,
-  sum((status = 'declined')::INT)::BIGINT AS declined_tx, len(list_distinct(list(user_id))) ::BIGINT AS unique_users,
-  len(list_distinct(list(merchant_id)))::BIGINT AS unique_merchants, {_money('sum(amount)')} AS total_volume,
+  sum((status = 'declined')::INT)::BIGINT AS declined_tx, count(DISTINCT user_id) AS unique_users,
+  count(DISTINCT merchant_id) AS unique_merchants, {_money('sum(amount)')} AS total_volume,
   sum(amount)::DOUBLE / nullif(count(amount), 0) AS avg_tx_amount FROM tx"""),
     "c2_user_behaviour": _on("tx", _PER_USER + f"""
 SELECT user_id, n AS total_tx, approved AS approved_tx, declined AS declined_tx, {_money('total')} AS total_amount,
   total::DOUBLE / nullif(valued, 0) AS avg_amount FROM r"""),
     "c2_high_decline": _on("tx", _PER_USER + """
 SELECT user_id, n AS total_tx, declined AS declined_tx, declined::DOUBLE / n AS decline_rate
-FROM r WHERE n > 9 AND declined::DOUBLE / n > 0.40"""),
+FROM r WHERE n >= 10 AND declined::DOUBLE / n > 0.40"""),
 }
 
 # ---- accounts payable: what has been applied is a number of each document ------------
@@ -192,7 +194,7 @@ FROM near GROUP BY user_id HAVING count(DISTINCT IF(fresh, card_id, NULL)) >= 3"
 SELECT * FROM bad WHERE declined_count >= 5"""),
     "c2_merchant_concentration": _on("tx", """, pairs AS (SELECT user_id, merchant_id, count(*) AS n FROM tx GROUP BY ALL),
 tops AS (SELECT user_id, sum(n)::BIGINT AS total_tx, max(n)::DOUBLE / sum(n) AS highest_merchant_ratio FROM pairs GROUP BY user_id)
-SELECT * FROM tops WHERE total_tx > 9 AND highest_merchant_ratio > 0.60"""),
+SELECT * FROM tops WHERE total_tx >= 10 AND highest_merchant_ratio > 0.60"""),
     "c1_card_testing": _on("tx", f""", instants AS (
   SELECT user_id, transaction_time, count(*) AS k FROM tx
   WHERE tx_type = 'purchase' AND amount > 0 AND amount <= 10 AND user_id IS NOT NULL GROUP BY ALL
@@ -255,7 +257,7 @@ SELECT l_orderkey, l_linenumber, n AS row_count FROM (
   SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL
 ) WHERE n > 1 AND l_orderkey + l_linenumber IS NOT NULL""",
     "dq_not_null": _on(_DECLARED_TABLES, _nulls()),
-    "dq_foreign_key": _on("bill paid", """
-SELECT vendor_id, bill_id, amount, due_date FROM bill ANTI JOIN paid USING (bill_id) WHERE bill_id IS NOT NULL"""),
+    "dq_foreign_key": _on("invoices credit_notes", """
+SELECT * FROM credit_notes WHERE invoice_id IS NOT NULL AND invoice_id NOT IN (SELECT invoice_id FROM invoices)"""),
     "dq_declared": _on(_DECLARED_TABLES, _declared()),
 }

@@ -245,8 +245,8 @@ def _dq_not_null(d: Dataset) -> DataFrame:
 
 @register("dq_foreign_key")
 def _dq_foreign_key(d: Dataset) -> DataFrame:
-    """Bills that no payment application refers to."""
-    return quality.orphans(d.bills(), d.payment_applications(), "bill_id")
+    """Credit notes of invoices that do not exist (a declared reference)."""
+    return quality.orphans(d.credit_notes(), d.invoices(), "invoice_id")
 
 
 @register("dq_declared")

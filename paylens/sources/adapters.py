@@ -27,8 +27,9 @@ Every adapter keeps all rows of its table. Mapping (``k`` is the integer under
   cash_applications, credit_notes <- lineitem. Payments have ids apart from
   invoices. A line pays its order's invoice from that order's payment, every third
   line from the payment of the even order next to it: invoices have several
-  applications and payments cover two invoices. A write-off of an order that is
-  not finished has no date yet.
+  applications and payments cover two invoices. The credit note of an order's seventh
+  line names an invoice number with a digit too many, which mostly does not exist. A
+  write-off of an order that is not finished has no date yet.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ PAYMENT_RETAIL_MULTIPLIER = 200
 PAYMENT_DATE_SPREAD = (7919, 75, 5)  # payment_date = order date + ((key * 7919) % 75 - 5) days
 PAYMENT_ID_BASE = 1_000_000_000_000
 NEIGHBOUR_LINES = 3                  # lines whose number is a multiple of 3
+MISTYPED_LINE, MISTYPED_BY = 7, 10   # line 7: the credit note names the invoice with a digit too many
 
 
 def transactions(events: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def cash_applications(lineitem: DataFrame) -> DataFrame:
 def credit_notes(lineitem: DataFrame) -> DataFrame:
     return lineitem.selectExpr(
         "l_orderkey * 10 + l_linenumber AS credit_note_id",
-        "l_orderkey AS invoice_id",
+        f"IF(l_linenumber = {MISTYPED_LINE}, l_orderkey * {MISTYPED_BY}, l_orderkey) AS invoice_id",
         "to_date(l_shipdate) AS credit_date",
         "CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS amount",
         "CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'adjusted' END AS reason",

@@ -126,3 +126,59 @@ def test_a_party_listed_twice_is_one_row_with_its_debt_counted_twice(spark):
     assert dict(rows(ledger.debt_as_of(vendors, bills, apps, column="debt"))) == want
     aged = rows(ledger.aging(vendors, bills, apps), "vendor_id", "total_debt", "overdue_31_60")
     assert aged == [(1, m("140.00"), m("140.00")), (2, m("50.00"), m("0.00")), (3, m("0.00"), m("0.00"))]
+
+
+def test_repeated_bills_equal_the_raw_joins(spark):
+    """Bills listed twice, with another amount, vendor or due date, without a key; all six reports."""
+    bills = [
+        (1, 10, m("100.00"), d("2025-02-20")), (1, 10, m("100.00"), d("2025-02-20")), (1, 10, m("70.00"), d("2025-01-10")),
+        (2, 10, m("100.00"), d("2024-11-20")), (1, 11, m("50.00"), d("2025-01-15")), (2, 20, m("80.00"), None), (2, 20, m("80.00"), d("2024-12-01")),
+        (2, None, m("5.00"), d("2025-01-01")), (2, None, m("5.00"), d("2025-01-01")), (3, 30, None, d("2025-01-01")), (None, 31, m("9.00"), d("2025-02-01")),
+    ]
+    apps = [(10, 100, m("30.00"), d("2025-01-20")), (10, 100, m("5.00"), d("2025-03-20")), (11, 101, m("60.00"), d("2025-01-20")), (20, 101, m("1.00"), None), (30, 102, m("2.00"), d("2025-01-01"))]
+    vendors, payments = [(1,), (1,), (2,), (3,), (4,), (None,)], [(100, m("40.00")), (100, m("40.00")), (100, m("41.00")), (103, m("7.00"))]
+    b, a = spark.createDataFrame(bills, schemas.BILLS), spark.createDataFrame(apps, schemas.PAYMENT_APPLICATIONS)
+    v, p = spark.createDataFrame(vendors, schemas.VENDORS), spark.createDataFrame(payments, schemas.PAYMENTS_AP)
+    for name, df in (("raw_b", b), ("raw_a", a), ("raw_v", v), ("raw_p", p)):
+        df.createOrReplaceTempView(name)
+
+    def same(df, sql):
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, map(tuple, spark.sql(sql).collect())))
+
+    used = "CAST(coalesce(sum(raw_a.applied_amount), 0) AS DECIMAL(38,2))"
+    same(
+        ledger.open_balance(b, a),
+        f"SELECT vendor_id, bill_id, amount, {used}, CAST(amount - {used} AS DECIMAL(38,2)) FROM raw_b LEFT JOIN raw_a USING (bill_id) GROUP BY vendor_id, bill_id, amount",
+    )
+    same(
+        ledger.open_balance(p, a, "payment_id", keep=(), names=("x", "y", "z")),
+        f"SELECT payment_id, amount, {used}, CAST(amount - {used} AS DECIMAL(38,2)) FROM raw_p LEFT JOIN raw_a USING (payment_id) GROUP BY payment_id, amount",
+    )
+    same(
+        ledger.unpaid_bills(b, a),
+        f"SELECT bill_id, amount, {used}, CAST(amount - {used} AS DECIMAL(38,2)) AS rest FROM raw_b LEFT JOIN raw_a USING (bill_id) GROUP BY bill_id, amount HAVING rest > 0",
+    )
+    same(
+        ledger.debt_by_party(b, a),
+        """SELECT vendor_id, CAST(sum(amount - coalesce(paid, 0)) AS DECIMAL(38,2)) FROM raw_b
+           LEFT JOIN (SELECT bill_id, sum(applied_amount) AS paid FROM raw_a GROUP BY bill_id) USING (bill_id) GROUP BY vendor_id""",
+    )
+
+    def owed(extra):
+        return f"""(SELECT raw_b.bill_id, {extra} raw_b.amount - coalesce(sum(applied_amount), 0) AS rest FROM raw_b
+          LEFT JOIN raw_a ON raw_a.bill_id = raw_b.bill_id AND applied_date <= DATE'{AS_OF}' GROUP BY raw_b.bill_id, {extra} raw_b.amount) o"""
+
+    same(
+        ledger.debt_as_of(v, b, a, AS_OF),
+        f"""SELECT raw_v.vendor_id, CAST(coalesce(sum(rest), 0) AS DECIMAL(38,2)) FROM raw_v LEFT JOIN raw_b ON raw_b.vendor_id = raw_v.vendor_id
+            LEFT JOIN {owed('')} ON o.bill_id = raw_b.bill_id GROUP BY raw_v.vendor_id""",
+    )
+    late = f"datediff(DATE'{AS_OF}', o.due_date)"
+    parts = ", ".join(
+        f"CAST(sum(CASE WHEN rest > 0 AND {late} BETWEEN {lo} AND {hi} THEN rest ELSE 0 END) AS DECIMAL(38,2))" for lo, hi in ((0, 30), (31, 60), (61, 10**6))
+    )
+    same(
+        ledger.aging(v, b, a, AS_OF),
+        f"""SELECT raw_v.vendor_id, CAST(coalesce(sum(rest), 0) AS DECIMAL(38,2)), {parts} FROM raw_v LEFT JOIN raw_b ON raw_b.vendor_id = raw_v.vendor_id
+            LEFT JOIN {owed('raw_b.due_date,')} ON o.bill_id = raw_b.bill_id GROUP BY raw_v.vendor_id""",
+    )

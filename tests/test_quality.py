@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from conftest import rows
+import random
+
+from conftest import d, m, rows
+from pyspark.sql.types import StructField, StructType
 
 from paylens.operators import catalog, quality
+from paylens.plans.explain import plan_text
 from paylens.sources import schemas
 
 
@@ -37,6 +41,42 @@ def test_constraint_violations_find_seeded_errors(spark, seed):
     assert got[("cash_applications", "foreign_key", "invoice_id")] == 0
 
 
+def test_declared_checks_take_one_scan_a_table_and_one_shuffle(spark, seed, tmp_path):
+    for name, df in seed.items():
+        df.write.parquet(str(tmp_path / name))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in seed}
+    plan = plan_text(quality.constraint_violations(tables))
+    assert plan.count("Scan parquet") == 6 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_declared_checks_equal_the_single_checks(spark):
+    rnd = random.Random(12)
+
+    def some(k):
+        return None if rnd.random() < 0.1 else rnd.randrange(k)
+
+    day, money = d("2025-01-01"), m("1.00")
+    data = {
+        "customers": [(some(30), "n", "s", "c", day) for _ in range(25)],
+        "invoices": [(some(60), some(40), day, day if some(3) else None, money, "OPEN", "x", None) for _ in range(60)],
+        "payments": [(some(60), some(40), day, money, None, None, None) for _ in range(50)],
+        "cash_applications": [(some(200), some(70), 7 if rnd.random() < 0.4 else some(70), money, day, None) for _ in range(150)],
+        "credit_notes": [(some(50), some(90), day, None, None, None) for _ in range(40)],
+        "write_offs": [],
+    }
+    shapes = {"customers": schemas.CUSTOMERS, "invoices": schemas.INVOICES, "payments": schemas.PAYMENTS,
+              "cash_applications": schemas.CASH_APPLICATIONS, "credit_notes": schemas.CREDIT_NOTES, "write_offs": schemas.WRITE_OFFS}
+    loose = {t: StructType([StructField(f.name, f.dataType) for f in shape]) for t, shape in shapes.items()}
+    tables = {t: spark.createDataFrame(data[t], loose[t]) for t in shapes}
+    got = {tuple(r)[:3]: r["violations"] for r in quality.constraint_violations(tables).collect()}
+    want = {}
+    for t, (pk, required, fks) in schemas.KEYS.items():
+        want[t, "primary_key", ",".join(pk)] = quality.duplicate_keys(tables[t], pk).count()
+        want |= {(t, "not_null", r["column_name"]): r["null_count"] for r in quality.null_counts(tables[t], required, table=t).collect()}
+        want |= {(t, "foreign_key", fk): quality.orphans(tables[t], tables[parent], fk, key).count() for fk, parent, key in fks}
+    assert got == want and sum(v > 0 for k, v in got.items() if k[1] == "foreign_key") >= 4
+
+
 def test_describe_lists_sql_types(spark):
     df = spark.createDataFrame([], schemas.RISK_PAYMENTS)
     got = rows(catalog.describe(df), "cid", "name", "type")

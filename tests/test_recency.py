@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from conftest import m, rows, ts
 from pyspark.sql import functions as F
 
@@ -53,6 +54,50 @@ def test_velocity_lists_every_user_including_null_and_undated(spark):
     assert got == [(2, 0), (3, 1), (None, 2)]
 
 
+def _random_log(spark, n=3000, users=40, days=5):
+    rnd = random.Random(17)
+    spec = []
+    for _ in range(n):
+        u = rnd.choice([1, 1, *range(2, users), None])
+        t = None if rnd.random() < 0.02 else f"2024-01-{rnd.randint(1, days):02d} {rnd.randint(0, 23):02d}:{rnd.randint(0, 59):02d}:{rnd.randint(0, 59):02d}.{rnd.choice(['0', '5'])}"
+        spec.append((u, t, rnd.choice("abcd"), "purchase", rnd.choice(["approved", "declined"])))
+    spec.append((9999, None, "a", "purchase", "approved"))
+    return _tx(spark, spec)
+
+
+@pytest.mark.parametrize("hours", [24, 1, 0.5, 49])
+@pytest.mark.parametrize("declined_only", [False, True])
+def test_rollup_counts_equal_the_window_form(spark, hours, declined_only):
+    tx = _random_log(spark)
+    tx.createOrReplaceTempView("recency_log")
+    hit = "status = 'declined'" if declined_only else "true"
+    want = spark.sql(
+        f"""
+        SELECT user_id, count_if({hit} AND s - unix_timestamp(transaction_time) <= {hours} * 3600) AS n FROM (
+          SELECT *, unix_timestamp(max(transaction_time) OVER (PARTITION BY user_id)) AS s FROM recency_log
+        ) GROUP BY user_id"""
+    )
+    when = F.col("status") == "declined" if declined_only else None
+    got = recency.recent_count(tx, hours, when=when, name="n")
+    assert sorted(rows(got), key=repr) == sorted(rows(want), key=repr)
+    least = recency.recent_count(tx, hours, when=when, min_count=3, name="n")
+    assert sorted(rows(least), key=repr) == sorted((r for r in rows(want) if r[1] >= 3), key=repr)
+
+
+def test_only_rows_of_the_boundary_hour_move_by_second(spark, monkeypatch):
+    tx = _random_log(spark)
+    windows = recency._windows(tx, 24, F.count(F.lit(1)), "user_id", "transaction_time")
+    edges = {r["_u"]: r["_edge"] for r in windows.collect()}
+    near = recency._near_the_edge(tx, windows, "user_id", "transaction_time").collect()
+    assert 0 < len(near) < 0.1 * tx.count()
+    assert all(r["_hour"] == edges[r["r_u"]] for r in near)
+    monkeypatch.setattr(recency, "SLOTS", 3)  # users share slots: more rows move, the counts stay
+    assert recency._near_the_edge(tx, windows, "user_id", "transaction_time").count() > len(near)
+    few = sorted(rows(recency.recent_count(tx, 24, name="n")), key=repr)
+    monkeypatch.undo()
+    assert few == sorted(rows(recency.recent_count(tx, 24, name="n")), key=repr)
+
+
 def test_recent_distinct_equals_window_form(spark):
     rnd = random.Random(3)
     spec = []

@@ -59,7 +59,7 @@ def _random_rows(seed, n=600, users=6, span_hours=60):
     return out
 
 
-# (window, strategy, instants a user may have in one group): uncut time lines and
+# (window, strategy, rows a user may have in one group): uncut time lines and
 # ones cut into few or many groups must give the same answer
 CASES = [
     ("1 hour", "window", None),
@@ -73,7 +73,7 @@ CASES = [
 
 
 def _opts(strategy, bucket_rows):
-    return {"strategy": strategy} | ({} if bucket_rows is None else {"bucket_rows": bucket_rows, "splits": 16})
+    return {"strategy": strategy} | ({} if bucket_rows is None else {"bucket_rows": bucket_rows})
 
 
 @pytest.mark.parametrize("window,strategy,bucket_rows", CASES)
@@ -135,7 +135,7 @@ def test_consecutive_gap_matches_plain_lag(spark, max_hours, bucket_rows):
     data = [(u, t, c) for u, t, c in _random_rows(5, n=300, span_hours=400) if t is not None]
     data += [(None, ts("2024-01-05 10:00:00"), "x"), (None, ts("2024-01-05 10:10:00"), "x")]
     df = spark.createDataFrame(data, SCHEMA)
-    got = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket_rows=bucket_rows, splits=16)), key=repr)
+    got = sorted(rows(trailing.consecutive_gap(df, max_hours, bucket_rows=bucket_rows)), key=repr)
     assert got == _brute_gaps(df, max_hours)
     assert any(r[0] is None for r in got)  # null users form their own sequence
 
@@ -172,7 +172,7 @@ def test_random_inputs_match_self_join(spark, data, window, rows_a_group):
         [(u, base + dt.timedelta(seconds=s, microseconds=us), v) for u, s, us, v in data], SCHEMA
     )
     secs = trailing.window_seconds(window)
-    cut = {"bucket_rows": rows_a_group, "splits": 8, "ordered": False}
+    cut = {"bucket_rows": rows_a_group, "ordered": False}
     got = trailing.trailing_count(df, window, 1, name="n", **cut)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == _brute_count(df, secs)
     got = trailing.trailing_distinct(df, "country", window, 0, name="n", **cut)
@@ -182,28 +182,71 @@ def test_random_inputs_match_self_join(spark, data, window, rows_a_group):
     assert gaps == _brute_gaps(df, max_hours)
 
 
-def _groups(spark, rows_, bucket_rows, splits):
-    instants = spark.createDataFrame(rows_, "_u bigint, _t timestamp_ntz")
-    cut = trailing._with_cuts(instants, bucket_rows, splits)
-    return cut.select("_u", trailing._group(F.col("_t"), splits).alias("_b")).groupBy("_u", "_b").count().collect()
+def _group_sizes(spark, data, bucket_rows):
+    instants = spark.createDataFrame(data, "_u bigint, _t timestamp_ntz")
+    found = trailing._grouped(instants, ["_u"], bucket_rows).groupBy("_u", "_b").agg(F.count("*").alias("n"), F.min("_t").alias("a"), F.max("_t").alias("z")).collect()
+    out = {}
+    for r in sorted(found, key=lambda r: r["_b"]):
+        out.setdefault(r["_u"], []).append(r)
+    for groups in out.values():  # groups follow each other in time
+        assert all(a["z"] < b["a"] for a, b in zip(groups, groups[1:]))
+    return {u: [r["n"] for r in groups] for u, groups in out.items()}
 
 
-def test_a_burst_within_seconds_is_spread_over_groups(spark):
-    base = dt.datetime(2024, 1, 1)
+def test_groups_follow_the_rows_of_a_user(spark):
+    base = dt.datetime(1968, 1, 1)
     burst = [(1, base + dt.timedelta(microseconds=100 * i)) for i in range(100_000)]  # 100,000 instants in 10 seconds
     burst += [(None, t) for _, t in burst[:20_000]] + [(2, base + dt.timedelta(hours=i)) for i in range(500)]
-    found = _groups(spark, burst, 1000, 64)
-    sizes = {u: [r["count"] for r in found if r["_u"] == u] for u in (1, 2, None)}
-    assert len(sizes[1]) == 64 and max(sizes[1]) < 2 * 100_000 / 64
-    assert len(sizes[None]) == 64 and sizes[2] == [500]
+    sizes = _group_sizes(spark, burst, 1000)
+    assert sum(sizes[1]) == 100_000 and max(sizes[1]) <= 1500 and len(sizes[1]) >= 67
+    assert max(sizes[None]) <= 1500 and sizes[2] == [500]
+
+
+def test_ten_thousand_groups_of_one_user(spark):
+    base = dt.datetime(2024, 1, 1)
+    dense = [(1, base + dt.timedelta(microseconds=i)) for i in range(100_000)] + [(1, base + dt.timedelta(days=i % 9000, microseconds=i)) for i in range(100_000)]
+    sizes = _group_sizes(spark, sorted(set(dense)), 20)
+    assert len(sizes[1]) >= 9_000 and max(sizes[1]) <= 30
 
 
-@pytest.mark.parametrize("splits", [1, 4, 64])
-def test_two_events_per_occurrence_however_fine_the_groups(spark, splits):
+def test_two_events_per_occurrence_however_fine_the_groups(spark):
     base = dt.datetime(2024, 1, 1)
     data = [(1, base + dt.timedelta(milliseconds=7 * i), str(i % 50)) for i in range(2000)]
     occurrences = spark.createDataFrame(data, "_u bigint, _t timestamp_ntz, _v string")
-    assert trailing._distinct_events(occurrences, 60, 100 if splits > 1 else 10**6, max(2, splits)).count() == 2 * len(data)
+    for bucket_rows in (10, 100, 10**6):
+        leaving = trailing._hot_leaving(occurrences, 60, bucket_rows)
+        assert leaving.count() == len(data)
+        assert trailing._events(leaving, "CAST(1 AS BIGINT)", "CAST(1 AS BIGINT)").count() <= 2 * len(data)
+
+
+def test_equal_rows_of_a_hot_user_move_as_counts(spark):
+    """Many rows at one instant: chunks with a number, each pair is still a row."""
+    t = ts("2024-01-01 10:00:00")
+    df = spark.createDataFrame([(1, t, "x")] * 5000 + [(1, t + dt.timedelta(hours=1), "x")] * 3, SCHEMA)
+    got = rows(trailing.consecutive_gap(df, 48, bucket_rows=100), "prev_cb_time", "transaction_time")
+    assert len(got) == 5002 and got.count((t, t)) == 4999 and got.count((t, t + dt.timedelta(hours=1))) == 1
+    counted = rows(trailing.trailing_count(df, "1 hour", 1, name="n", bucket_rows=100), "n")
+    assert sorted(counted) == [(3 * 5003,), (5000 * 5000,)]
+
+
+def _final_plan(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[text.index("Final Plan") : text.index("Initial Plan")]
+
+
+@pytest.mark.parametrize("build", [
+    lambda df, b: trailing.trailing_count(df, "1 hour", 1, name="n", bucket_rows=b),
+    lambda df, b: trailing.trailing_distinct(df, "country", "1 hour", 1, bucket_rows=b),
+    lambda df, b: trailing.consecutive_gap(df, 48, bucket_rows=b),
+])
+def test_without_hot_users_there_is_one_exchange_of_rows_and_no_join(spark, tmp_path, build):
+    spark.createDataFrame(_random_rows(3), SCHEMA).write.parquet(str(tmp_path / "tx"))
+    df = spark.read.parquet(str(tmp_path / "tx"))
+    plan = _final_plan(build(df, 10**6))
+    joins = ("SortMergeJoin", "HashJoin")
+    assert not any(j in plan for j in joins) and plan.count("Exchange hashpartitioning(_u") == 1
+    assert any(j in _final_plan(build(df, 50)) for j in joins)
 
 
 def test_building_a_plan_runs_no_job(spark):
