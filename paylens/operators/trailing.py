@@ -30,8 +30,9 @@ Which users have many rows is a count per user in the same plan (a partial count
 scan tasks), broadcast: at most ``HOT_USERS`` ids, those with the most rows. Where no
 user has so many rows, adaptive execution drops the join and the second branch; more
 than ``HOT_USERS`` such users leave the smaller ones in the first branch, with groups of
-at most all rows / ``HOT_USERS``. Nothing is sampled, collected or decided while the plan
-is built.
+at most all rows / ``HOT_USERS``. No job runs while the plan is built; files of less than
+``BYTES_A_ROW`` * ``bucket_rows`` bytes in all, one task's input, have the first branch
+alone.
 
 ``strategy="window"`` is the direct form, one RANGE frame per user: for small data
 and as a cross-check.
@@ -52,6 +53,7 @@ BUCKET_ROWS = 1_000_000
 HOT_USERS = 100_000
 CELLS_PER_BLOCK = 4096
 ROWS_PER_CHUNK = 65_536
+BYTES_A_ROW = 128
 
 
 def window_seconds(window: str | int) -> int:
@@ -80,8 +82,19 @@ def _hot(rows: DataFrame, bucket_rows: int) -> DataFrame:
     return counts.orderBy(F.col("_rows").desc(), "h_u").limit(HOT_USERS).select("h_u")
 
 
-def _branches(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the other users, in their users' partitions, and rows of the hot ones."""
+def _may_be_hot(rows: DataFrame, bucket_rows: int) -> bool:
+    """False where all files together are less than one scan task reads for
+    ``bucket_rows`` rows: then no user's rows can be too many for one task."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size > BYTES_A_ROW * bucket_rows
+
+
+def _branches(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the other users, in their users' partitions, and rows of the hot ones (None
+    if the input is so small that there are none)."""
+    if not _may_be_hot(rows, bucket_rows):
+        return rows.repartition("_u"), None
     hot = F.broadcast(_hot(rows, bucket_rows))
     same = F.col("_u").eqNullSafe(F.col("h_u"))
     return rows.join(hot, same, "left_anti").repartition("_u"), rows.join(hot, same, "left_semi")
@@ -192,10 +205,14 @@ def trailing_count(
         frame = f"sum(_k) OVER (PARTITION BY _u ORDER BY _t RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
         counted = _instants(known).selectExpr("_u", "_t", "_k", f"{frame} AS _n")
     elif strategy == "bucketed":
-        calm, hot = (
-            _events(_instants(rows).withColumn("_leave", F.col("_t") + _after(w)), "_k", "_k") for rows in _branches(known, bucket_rows)
-        )
-        counted = _swept(calm).union(_swept_in_groups(hot, bucket_rows))
+        calm, hot = _branches(known, bucket_rows)
+
+        def events(rows: DataFrame) -> DataFrame:
+            return _events(_instants(rows).withColumn("_leave", F.col("_t") + _after(w)), "_k", "_k")
+
+        counted = _swept(events(calm))
+        if hot is not None:
+            counted = counted.union(_swept_in_groups(events(hot), bucket_rows))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = counted.selectExpr(f"_u AS `{user}`", f"_t AS `{ts}`", f"CAST(_k * _n AS BIGINT) AS `{name}`")
@@ -260,11 +277,13 @@ def trailing_distinct(
         frame = f"collect_set(_v) OVER (PARTITION BY _u ORDER BY _t RANGE BETWEEN INTERVAL '{w}' SECOND PRECEDING AND CURRENT ROW)"
         counted = occurrences.selectExpr("_u", "_t", f"size({frame}) AS _n").groupBy("_u", "_t").agg(F.max("_n").alias("_n"))
     elif strategy == "bucketed":
-        calm, hot = (rows.distinct() for rows in _branches(known, bucket_rows))
+        calm, hot = _branches(known, bucket_rows)
         one, asked = "CAST(IF(_v IS NULL, 0, 1) AS BIGINT)", "CAST(1 AS BIGINT)"
-        calm = _leaving(calm, w, "lead(_t) OVER (PARTITION BY _u, _v ORDER BY _t)")
-        hot = _hot_leaving(hot, w, bucket_rows)
-        counted = _swept(_events(calm, one, asked)).union(_swept_in_groups(_events(hot, one, asked), bucket_rows))
+        calm = _leaving(calm.distinct(), w, "lead(_t) OVER (PARTITION BY _u, _v ORDER BY _t)")
+        counted = _swept(_events(calm, one, asked))
+        if hot is not None:
+            leaving = _hot_leaving(hot.distinct(), w, bucket_rows)
+            counted = counted.union(_swept_in_groups(_events(leaving, one, asked), bucket_rows))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = counted.selectExpr(f"_u AS `{user}`", f"_t AS `{ts}`", f"CAST(_n AS BIGINT) AS `{name}`").filter(F.col(name) >= min_count)
@@ -273,6 +292,24 @@ def trailing_distinct(
     return _ranked(out, name, user, ts, ordered, order_by_time_desc)
 
 
+def _hot_pairs(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """(_u, _prev, _t): each row with the one before, of users whose rows are cut into groups."""
+    chunk = F.floor(F.monotonically_increasing_id() / ROWS_PER_CHUNK).alias("_chunk")
+    chunks = rows.select("_u", "_t", chunk).groupBy("_u", "_t", "_chunk").agg(F.count(F.lit(1)).cast("int").alias("_k"))
+    cut = _grouped(chunks, ["_u"], bucket_rows)
+    lasts = (
+        cut.groupBy(F.col("_u").alias("l_u"), F.col("_b").alias("l_b"))
+        .agg(F.max("_t").alias("_last"))
+        .selectExpr("l_u", "l_b", "lag(_last) OVER (PARTITION BY l_u ORDER BY l_b) AS _before")
+    )
+    return (
+        cut.selectExpr("*", "lag(_t) OVER (PARTITION BY _u, _b ORDER BY _t, _chunk) AS _near")
+        .join(lasts, _equal([("_u", "l_u"), ("_b", "l_b")]))
+        .selectExpr("_u", "_t", "coalesce(_near, _before) AS _prev", "posexplode(array_repeat(0, _k)) AS (_i, _zero)")
+        .selectExpr("_u", "IF(_i = 0, _prev, _t) AS _prev", "_t")
+    )
+
+
 # ---- consecutive gaps ------------------------------------------------------------
 def consecutive_gap(
     events: DataFrame,
@@ -297,22 +334,10 @@ def consecutive_gap(
     calm, hot = _branches(dated, bucket_rows)
     pairs = calm.selectExpr("_u", "lag(_t) OVER (PARTITION BY _u ORDER BY _t) AS _prev", "_t")
 
-    chunk = F.floor(F.monotonically_increasing_id() / ROWS_PER_CHUNK).alias("_chunk")
-    chunks = hot.select("_u", "_t", chunk).groupBy("_u", "_t", "_chunk").agg(F.count(F.lit(1)).cast("int").alias("_k"))
-    cut = _grouped(chunks, ["_u"], bucket_rows)
-    lasts = (
-        cut.groupBy(F.col("_u").alias("l_u"), F.col("_b").alias("l_b"))
-        .agg(F.max("_t").alias("_last"))
-        .selectExpr("l_u", "l_b", "lag(_last) OVER (PARTITION BY l_u ORDER BY l_b) AS _before")
-    )
-    hot_pairs = (
-        cut.selectExpr("*", "lag(_t) OVER (PARTITION BY _u, _b ORDER BY _t, _chunk) AS _near")
-        .join(lasts, _equal([("_u", "l_u"), ("_b", "l_b")]))
-        .selectExpr("_u", "_t", "coalesce(_near, _before) AS _prev", "posexplode(array_repeat(0, _k)) AS (_i, _zero)")
-        .selectExpr("_u", "IF(_i = 0, _prev, _t) AS _prev", "_t")
-    )
+    if hot is not None:
+        pairs = pairs.union(_hot_pairs(hot, bucket_rows))
     out = (
-        pairs.union(hot_pairs)
+        pairs
         .selectExpr(f"_u AS `{user}`", "_prev AS prev_cb_time", f"_t AS `{ts}`")
         .where("prev_cb_time IS NOT NULL")
         .selectExpr("*", f"CAST(unix_timestamp(`{ts}`) - unix_timestamp(prev_cb_time) AS DOUBLE) / 3600.0D AS hours_diff")

@@ -46,7 +46,8 @@ def test_declared_checks_take_one_scan_a_table_and_one_shuffle(spark, seed, tmp_
         df.write.parquet(str(tmp_path / name))
     tables = {name: spark.read.parquet(str(tmp_path / name)) for name in seed}
     plan = plan_text(quality.constraint_violations(tables))
-    assert plan.count("Scan parquet") == 6 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert plan.count("Scan parquet") == 6 and plan.count("Exchange hashpartitioning(owner") == 2 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # key values, then one row for each table and column
 
 
 def test_declared_checks_equal_the_single_checks(spark):
@@ -77,6 +78,19 @@ def test_declared_checks_equal_the_single_checks(spark):
     assert got == want and sum(v > 0 for k, v in got.items() if k[1] == "foreign_key") >= 4
 
 
+def test_text_and_compound_keys_are_compared_as_text(spark, monkeypatch):
+    keys = {"a": (["x", "y"], ["x"], []), "b": (["z"], ["z"], [("r", "c", "k")]), "c": (["k"], ["k"], [])}
+    monkeypatch.setattr(quality, "KEYS", keys)
+    tables = {
+        "a": spark.createDataFrame([(1, "p"), (1, "p"), (1, "q"), (None, "p"), (None, "p")], "x bigint, y string"),
+        "b": spark.createDataFrame([("u", "5"), ("u", "6"), (None, None)], "z string, r string"),
+        "c": spark.createDataFrame([(5,)], "k int"),
+    }
+    got = {tuple(r)[:3]: r["violations"] for r in quality.constraint_violations(tables).collect()}
+    assert got == {("a", "primary_key", "x,y"): 1, ("a", "not_null", "x"): 2, ("b", "primary_key", "z"): 1, ("b", "not_null", "z"): 1,
+                   ("b", "foreign_key", "r"): 1, ("c", "primary_key", "k"): 0, ("c", "not_null", "k"): 0}
+
+
 def test_describe_lists_sql_types(spark):
     df = spark.createDataFrame([], schemas.RISK_PAYMENTS)
     got = rows(catalog.describe(df), "cid", "name", "type")
