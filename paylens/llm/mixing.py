@@ -4,7 +4,7 @@ Every source gets a word target. A target above the source's size is met by
 complete passes over the source first; what is left is drawn without replacement,
 each document by the key ``-ln(u) / quality``: the smallest keys win, so a
 document of twice the quality is twice as likely to come first. ``u`` is a hash of
-the document's id, so reruns agree.
+the document's id, of its text where the id is null, so reruns agree.
 
 The draw is a prefix sum in key order. A hot source is cut into key intervals;
 sums per (source, interval) give each interval's start, and the running sum inside
@@ -32,9 +32,9 @@ def prose_quality(text: Column) -> Column:
     return F.lit(0.05) + F.lit(0.95) * kept / F.greatest(F.length(text), F.lit(1))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that the id decides: 48 bits of an MD5. A null id counts as 'null'."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, text_md5: Column, seed: str) -> Column:
+    """A number in (0, 1) that the id decides, or the text's MD5 if it is null: 48 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), text_md5))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -92,9 +92,11 @@ def mix(
     source misses it by half a document at most. ``quality`` weighs documents
     (default: ``prose_quality``); below 0.000001 or null counts as that.
 
-    Null sources form a source of their own. Rows with equal ids have equal keys
-    and are ordered by size, then as drawn once and written down; equal rows are
-    interchangeable. An empty table gives an empty result. Other columns are ignored.
+    Null sources form a source of their own. Rows with null ids are drawn by their texts.
+    Ties of the key are ordered by id, size and the MD5 of the text; rows equal in all of
+    them and in the source are interchangeable, so the result does not depend on how the
+    rows are dealt out. Texts of any length count whole. An empty table gives an empty
+    result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mix")
@@ -105,9 +107,9 @@ def mix(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.regexp_count(body, F.lit(WORD)).cast("bigint").alias("size"),
-            (-F.log(uniform(F.col(doc_id), seed)) / F.greatest(worth, F.lit(1e-6))).alias("key"),
+            (-F.log(uniform(F.col(doc_id), F.md5(body.cast("binary")), seed)) / F.greatest(worth, F.lit(1e-6))).alias("key"),
             F.xxhash64(body).alias("text_hash"),
-            F.rand(7).alias("tie"),
+            F.md5(body.cast("binary")).alias("tie"),
         ).withColumn("step", F.floor((1 - F.exp(-F.col("key"))) * intervals).cast("int")),
         "rows",
     )

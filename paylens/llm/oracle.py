@@ -145,8 +145,9 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS ke
 MIX = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-      / greatest(0.05::DOUBLE + 0.95::DOUBLE * length(translate(coalesce(text, ''), '{ODD_CHARS}', '')) / greatest(length(coalesce(text, '')), 1), 0.000001) AS key
+    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+      / greatest(0.05::DOUBLE + 0.95::DOUBLE * length(translate(coalesce(text, ''), '{ODD_CHARS}', '')) / greatest(length(coalesce(text, '')), 1), 0.000001) AS key,
+    md5(coalesce(text, '')) AS tie
   FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -161,7 +162,7 @@ t AS (SELECT l.source, l.source_size, least(cap, coalesce(f.level * weight, cap)
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 r AS (
   SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size, d.tie ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target,

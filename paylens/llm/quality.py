@@ -165,7 +165,7 @@ def classify(
 ) -> DataFrame:
     """One row per document: doc_id, quality, toxic (probabilities after pooling), own_quality,
     own_toxic (before), host_quality, path_quality, host_toxic, path_toxic (shrunk rates), kept,
-    text_hash.
+    text_hash, host, path. Rows equal in id, text, host and path have equal scores.
 
     ``kept``: more likely good than not, and more likely not toxic than toxic.
     ``host`` and ``path`` default to the columns source and lang. Null hosts and
@@ -239,6 +239,8 @@ def classify(
         "path_toxic",
         (F.col("has_words") & (F.col("final_quality") > 0) & (F.col("final_toxic") < 0)).alias("kept"),
         "text_hash",
+        F.when(F.col("host") != "", F.substring("host", 2, 1 << 30)).alias("host"),
+        F.when(F.col("path") != "", F.substring("path", 2, 1 << 30)).alias("path"),
     )
 
 

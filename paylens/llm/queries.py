@@ -52,7 +52,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text_hash")
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text_hash", "host", "path")
 
 
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

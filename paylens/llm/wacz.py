@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from paylens.llm.workspace import Workspace, partitions, ship_package
 
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 50_000
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 # ---- fixed values: names and signatures of the formats ----
@@ -164,9 +165,11 @@ def _field(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, is_first: bool) -> bytes:
-    """A response record, or a revisit record (headers only) of the response ``first``."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def warc_record(page_id: int | None, url: str | None, payload: bytes | None, length: int, digest: str, first: int | None) -> bytes:
+    """A response record, or without payload a revisit record (headers only) of the
+    response ``first``; ``length`` and ``digest`` are those of the full payload."""
+    is_first = payload is not None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if is_first else http
     lines = ["WARC/1.1", f"WARC-Type: {'response' if is_first else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -215,20 +218,23 @@ def _archive(records: list[bytes], keys: list[dict]) -> bytes:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, html, sha, length, first) -> archives; a row without html is a
+    revisit of the page ``first``, of which length and digest are known."""
+
     def row(records: list[bytes], keys: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"archive": pa.array([_archive(records, keys)], pa.binary())})
 
     records, keys, size = [], [], 0
     for batch in batches:
-        for page_id, url, html, first, is_first in zip(*(batch.column(i) for i in range(5)), strict=True):
-            payload = (html.as_py() or "").encode("utf-8")
-            raw = gzipped(
-                warc_record(page_id.as_py(), url.as_py(), payload, payload_digest(payload), first.as_py(), is_first.as_py())
-            )
+        for cells in zip(*batch.columns, strict=True):
+            page_id, url, html, sha, length, first = (c.as_py() for c in cells)
+            digest = base64.b32encode(bytes.fromhex(sha)).decode("ascii")
+            payload = None if html is None else html.encode("utf-8")
+            raw = gzipped(warc_record(page_id, url, payload, length, digest, first))
             records.append(raw)
-            keys.append({"url": url.as_py(), "type": "response" if is_first.as_py() else "revisit"})
+            keys.append({"url": url, "type": "revisit" if payload is None else "response"})
             size += len(raw)
-            if size >= ARCHIVE_BYTES:
+            if size >= ARCHIVE_BYTES or len(records) >= ARCHIVE_RECORDS:
                 yield row(records, keys)
                 records, keys, size = [], [], 0
     if records:
@@ -242,20 +248,42 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     page_id is a response record and the others are revisits of it; rows that repeat
     that page_id are responses too, and null ids come last. Rows with smaller
     payloads are all responses. Null html is the empty payload; a null url is left
-    out. An empty table writes no archive. Other columns are ignored.
+    out. An empty table writes no archive. A very long payload is a record of its own
+    archive. Other columns are ignored.
+
+    Which page is the response of a digest is found on narrow rows. A payload moves once,
+    to a task that digest and page_id decide, where those of other pages are dropped; a
+    revisit needs its payload's length and digest only, so the copies of one page, be they
+    a third of all, are joined and packed without it, over ``SALTS`` tasks a digest.
     """
     spark = pages.sparkSession
     ship_package(spark)
+    body = F.coalesce(pages["html"], F.lit(""))
     base = pages.select(
-        pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html")
-    ).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = base.groupBy(F.col("sha").alias("f_sha")).agg(F.min("page_id").alias("first"))
-    small = F.octet_length("html") < min_bytes
-    typed = base.join(firsts, F.col("sha") == F.col("f_sha")).select(
-        "page_id", "url", "html", "first", (small | F.col("page_id").eqNullSafe(F.col("first"))).alias("is_first")
+        pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), body.alias("html"),
+        F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("bigint").alias("length"),
+    )
+    firsts = (
+        base.where(F.col("length") >= min_bytes)
+        .groupBy(F.col("sha").alias("f_sha"))
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    )
+    columns = ("page_id", "url", "html", "sha", "length")
+    none = F.lit(None).cast("bigint").alias("first")
+    is_first = (F.col("sha") == F.col("f_sha")) & F.col("page_id").eqNullSafe(F.col("first"))
+    responses = base.where(F.col("length") >= min_bytes).join(firsts, is_first, "left_semi").select(*columns, none)
+    small = base.where(F.col("length") < min_bytes).select(*columns, none)
+    salted = firsts.where("copies > 1").select("f_sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    others = base.select("page_id", "url", "sha", "length", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    revisits = (
+        others.where(F.col("length") >= min_bytes)
+        .join(salted, (F.col("sha") == F.col("f_sha")) & (F.col("salt") == F.col("f_salt")))
+        .where(~F.col("page_id").eqNullSafe(F.col("first")))
+        .select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "length", "first")
     )
-    archives = typed.mapInArrow(_pack, "archive binary")
-    archives.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    archives = responses.union(revisits) if min_bytes <= 0 else responses.union(small).union(revisits)
+    packed = archives.mapInArrow(_pack, "archive binary")
+    packed.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

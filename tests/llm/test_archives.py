@@ -47,6 +47,13 @@ def test_round_trip(spark, min_bytes):
     assert (5, "x" * 300_000) in html and (9, "\r\n\r\nWARC/1.1\r\n") in html and (8, "q\x00\x1f") in html
 
 
+def test_many_copies_of_one_page(spark):
+    """A third of all pages equal: one response, all others refer to it, their payloads do not move."""
+    rows = [(i, f"u{i}", "<p>hot</p>" * 50 if i % 3 == 0 else f"<p>{i}</p>") for i in range(100, 9100)]
+    got = wacz.archive_round_trip(pages(spark, rows)).groupBy("record_type", "refers_to").count().collect()
+    assert {(r["record_type"], r["refers_to"]): r["count"] for r in got} == {("response", None): 6001, ("revisit", 102): 2999}
+
+
 def test_no_pages(spark):
     assert wacz.archive_round_trip(pages(spark).filter("page_id = 77")).count() == 0
 

@@ -183,12 +183,21 @@ def test_mix_meets_targets(spark, edge, empty):
         assert abs(sum(r["taken"] for r in v) - target[s]) <= max(r["size"] for r in v)
         assert all(r["taken"] <= 2 * r["size"] and r["taken"] == r["size"] * r["passes"] for r in v)
     again = mixing.mix(edge.repartition(7)).collect()
-    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got if r["doc_id"]) == Counter(
-        (r["doc_id"], r["size"], r["taken"]) for r in again if r["doc_id"]
-    )
+    assert Counter((r["doc_id"], r["text_hash"], r["taken"]) for r in got) == Counter((r["doc_id"], r["text_hash"], r["taken"]) for r in again)
     assert mixing.mix(empty).count() == 0
 
 
+def test_null_ids_of_one_size_and_quality_are_drawn_alike_in_every_run(spark):
+    rows = [(None, f"word {chr(97 + i)}x", "en", "s") for i in range(26)] + [(7, f"word y{chr(97 + i)}", "en", "s") for i in range(10)]
+    runs = [
+        Counter((r["doc_id"], r["text_hash"], r["taken"]) for r in mixing.mix(make(spark, order).repartition(n), share=0.5).collect())
+        for order, n in ((rows, 1), (rows[::-1], 5), (rows[9:] + rows[:9], 3))
+    ]
+    assert runs[0] == runs[1] == runs[2]
+    taken = [n for i, _, n in runs[0].elements() if i is None]
+    assert 0 < sum(n > 0 for n in taken) < 26
+
+
 def test_better_documents_are_drawn_more_often(spark):
     rows = [(i, "word " * 10, "en" if i % 2 else "fr", "s") for i in range(2000)] + [(5000 + i, "word " * 10, "en", "t") for i in range(2000)]
     got = mixing.mix(make(spark, rows), weights=(1, 1), share=0.5, quality=F.when(F.col("lang") == "en", 0.9).otherwise(0.1)).collect()

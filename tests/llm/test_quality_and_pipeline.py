@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from paylens.llm import quality
+from paylens.llm import mixing, quality
 from paylens.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import edge_rows, make
 
@@ -71,12 +71,12 @@ def test_sample_is_of_documents_that_exist_one_row_each(spark):
 def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, SMALL).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(ORACLE[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    key = "page_id" if "page_id" in columns else "doc_id"
+    key = next(k for k in ("page_id", "doc_id", "conv_id", "vec_id") if k in columns)
     got, want = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
     for c in columns:
         a, b = (x[c].astype(object).where(x[c].notna(), None).tolist() for x in (got, want))
@@ -107,6 +107,47 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, pipeline):
     assert pipeline.run(spark, SMALL).count() == before
 
 
+def _bag(rows):
+    return Counter(map(repr, map(tuple, rows)))
+
+
+def test_no_row_is_lost_or_made_up(spark, pipeline):
+    """Rows equal in id and text but not in other columns: each survivor is one of the input,
+    as often as it is there, whatever the partitioning."""
+    rows = [(None, None, "en", "a"), (None, "", "fr", "b"), (None, None, "de", "c")]  # without words: all stay
+    rows += [(1, "one two three four five six", "en", "s"), (1, "one two three four five six", "fr", "s")]
+    rows += [(1, "one two three four five six", "fr", "t"), (None, "null id text here it is", "en", "s"), (None, "null id text here it is", "fr", "s")]
+    docs, have = make(spark, rows), _bag(make(spark, rows).collect())
+
+    near = pipeline.near_stage(spark, docs, "").collect()
+    assert not _bag(near) - have
+    assert sorted((r["lang"], r["source"]) for r in near if not r["text"]) == [("de", "c"), ("en", "a"), ("fr", "b")]
+    assert Counter(r["doc_id"] for r in near if r["text"]) == {1: 1, None: 1}
+
+    exact = pipeline.exact_stage(spark, docs, "").collect()
+    assert not _bag(exact) - have
+    assert Counter((r["text"] or "")[:3] for r in exact) == {"": 1, "one": 1, "nul": 1}
+
+    mixed = pipeline.mixing_stage(spark, docs, "").collect()
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["text_hash"], r["source"]] += r["passes"]
+    hashes = {r[0]: r[1] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    got = Counter((r["doc_id"], hashes[r["text"]], r["source"]) for r in mixed)
+    assert got == +want
+    assert all(n <= 2 * have[k] for k, n in _bag(mixed).items())  # a row comes twice at most
+    for stage in (pipeline.near_stage, pipeline.exact_stage, pipeline.mixing_stage):
+        assert _bag(stage(spark, docs.repartition(5), "").collect()) == _bag(stage(spark, docs.coalesce(1), "").collect())
+
+
+def test_quality_stage_keeps_the_rows_that_the_classifier_keeps(spark, pipeline, edge, tmp_path):
+    known = labels(spark, [(76, 1, 0, "x", 0), (100, 0, 0, "x", 0), (73, 1, 0, "x", 0), (70, 1, 0, "x", 0)])
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = Counter((r["doc_id"], r["text_hash"], r["host"], r["path"]) for r in quality.classify(edge, known).where("kept").collect())
+    out = pipeline.quality_stage(spark, edge, str(tmp_path)).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "source", "lang").collect()
+    assert Counter(map(tuple, out)) == kept and kept
+
+
 def test_one_near_duplicate_stays_whatever_its_ids(spark, pipeline):
     base = [f"w{i}" for i in range(100)]
     near = lambda tag: [" ".join([f"{tag}{w}" for w in base] + [f"end{i}"]) for i in range(4)]
