@@ -3,15 +3,20 @@
 1. quality: documents that the classifier finds poor or toxic go;
 2. exact dedup: of equal texts one row stays;
 3. near dedup: of each component of documents whose sets of five-word shingles are
-   alike by 0.8 or more, one stays;
+   alike by 0.8 or more, one stays; documents without words are linked with nothing and
+   all stay;
 4. mixing: a document is there once for each pass that takes it;
 5. tokens: ids of every document that is left.
 
-A stage's decisions are a narrow table of (id, hash of the text); the documents are
-joined with it, so texts pass no operator that does not need them. All stages but
-the last return the columns of their input, whatever extra ones it has. Null ids
-and texts, repeated rows and empty tables are handled as each operator's docstring
-says; stage 3 prefers documents with an id, and keeps all without words.
+A stage's decisions are a narrow table; the documents are joined with it by all columns
+that the decision depends on (id and hash of the text; site; source). Where one of several
+rows equal in id and text stays, it is the one whose columns have the least hash, taken
+by an aggregate that is partial in the scan tasks. So each surviving row is a row of the
+input, and which one does not depend on partitioning.
+
+All stages but the last return the columns of their input, whatever extra ones it has.
+Null ids and texts, repeated rows, very long texts and empty tables are handled as each
+operator's docstring says: nothing is cut or left out for its length.
 """
 
 from __future__ import annotations
@@ -23,54 +28,77 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, mixing, quality
+from paylens.llm.content_sort_dedup import BLANKS
 from paylens.llm.queries import vocabulary
 from paylens.llm.workspace import Workspace
 
 #: The stages train a model and follow links between whole sets: no SQL says the same.
 ORACLE_SQL = None
 
-NO_ID = -(1 << 63)
-
 
-def _decided(docs: DataFrame, decisions: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of ``docs`` that ``decisions`` (doc_id, text_hash, passes) take, as often as
-    it says; with ``once``, of rows equal in both the passes count for one row."""
-    wanted = decisions.groupBy(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")
-    ).agg(F.sum("passes").alias("_passes"), F.max("passes").alias("_most"))
-    keyed = docs.select(
-        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_hash"),
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(_doc_id, _text_hash, _<column>..., _row): the rows and what decisions are joined on."""
+    return docs.select(
+        docs["doc_id"].cast("bigint").alias("_doc_id"),
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_text_hash"),
+        *[docs[c].alias(f"_{c}") for c in columns],
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
     )
-    taken = keyed.join(wanted.filter("_passes > 0"), ["_id", "_hash"])
-    if once:
-        first = W.partitionBy("_id", "_hash").orderBy("_hash")
-        taken = taken.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_passes" if once else "_most")))
-    return taken.select("_row", copies.alias("_copy")).select("_row.*")
+
+
+def _same(pairs: dict[str, str]) -> F.Column:
+    out = F.lit(True)
+    for a, b in pairs.items():
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+_BY_TEXT = {"_doc_id": "doc_id", "_text_hash": "text_hash"}
+
+
+def _one_of_each(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_hash) of ``taken``."""
+    rows = _keyed(docs).groupBy("_doc_id", "_text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return rows.join(taken.select("doc_id", "text_hash").distinct(), _same(_BY_TEXT), "left_semi").select("_row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    found = quality.classify(docs, labels)
-    return _decided(docs, found.select("doc_id", "text_hash", F.col("kept").cast("bigint").alias("passes")))
+    kept = quality.classify(docs, labels).where("kept").select("doc_id", "text_hash", "host", "path").distinct()
+    site = _BY_TEXT | {"_source": "host", "_lang": "path"}
+    return _keyed(docs, "source", "lang").join(kept, _same(site), "left_semi").select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = content_sort_dedup.exact_groups(docs)
-    return _decided(docs, found.select("doc_id", "text_hash", F.col("kept").cast("bigint").alias("passes")), once=True)
+    return _one_of_each(docs, content_sort_dedup.exact_groups(docs).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = hamming_join.near_components(docs, percent=80).filter("chosen")
-    # of equal rows one stays, but all rows without words
-    one = found.groupBy("doc_id", "text_hash").agg(F.when(F.max("n_shingles") == 0, F.count("*")).otherwise(1).alias("passes"))
-    return _decided(docs, one, once=True)
+    body = F.coalesce(docs["text"], F.lit(""))
+    has_words = F.trim(body, F.lit(BLANKS)) != ""
+    found = hamming_join.near_components(docs.where(has_words), percent=80)
+    return _one_of_each(docs.where(has_words), found.where("chosen")).union(docs.where(~has_words))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _decided(docs, mixing.mix(docs).select("doc_id", "text_hash", "passes"), once=True)
+    counts = mixing.mix(docs).groupBy("doc_id", "text_hash", "source", "passes").agg(F.count(F.lit(1)).alias("rows"))
+    # rows of one key differ only where the draw ends among them: more passes come first
+    plans = counts.groupBy("doc_id", "text_hash", "source").agg(F.sort_array(F.collect_list(F.struct("passes", "rows")), asc=False).alias("plan"))
+    rows = _keyed(docs, "source").join(plans, _same(_BY_TEXT | {"_source": "source"}))
+    alike = rows.where(F.size("plan") == 1).select("_row", F.get("plan", F.lit(0))["passes"].alias("passes"))
+    nth = F.row_number().over(W.partitionBy("_doc_id", "_text_hash", "_source").orderBy(F.xxhash64("_row")))
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("passes"))
+    at = F.aggregate(
+        "plan",
+        start,
+        lambda a, x: F.struct(
+            (a["upto"] + x["rows"]).alias("upto"),
+            F.when(a["passes"].isNull() & (F.col("_nth") <= a["upto"] + x["rows"]), x["passes"]).otherwise(a["passes"]).alias("passes"),
+        ),
+    )
+    split = rows.where(F.size("plan") > 1).withColumn("_nth", nth).select("_row", at["passes"].alias("passes"))
+    taken = alike.union(split).where("passes > 0")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("passes").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
