@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paylens.llm import hamming_join, suffix_levels
@@ -140,18 +141,44 @@ def test_many_texts_of_one_id_are_many_keys(spark, monkeypatch):
     assert joins and all(re.search(r"tid#\d+L = \w*tid#\d+L", x) for x in joins)
 
 
-def test_levels_merge_geometrically_and_find_all():
+def test_family_reports_every_window_of_a_greater_document_once():
+    """Batches in any order, against all pairs; bytes decide, NULs and bytes over 127 included."""
     rng = np.random.default_rng(2)
-    family, seen = suffix_levels.Levels(), {}
+    pool = [bytes(rng.integers(0, 256, 50).astype(np.uint8)) for _ in range(300)] + [b"\0" * 50, b"a" * 49 + b"\0", b"a" * 50, b"\xff" * 50, b"a" * 48 + b"\0\0"]
+    family, seen, reported = suffix_levels.Family(), [], []
     for batch in range(64):
-        keys, ids = rng.integers(0, 900, 50).astype(np.uint64), rng.integers(0, 10_000, 50)
-        family.add(keys, ids)
-        for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
-            lo, hi = seen.get(k, (i, i))
-            seen[k] = min(lo, i), max(hi, i)
-    assert len(family.levels) <= 8
-    low, high = family.find(np.array(list(seen), np.uint64))
-    assert list(zip(low.tolist(), high.tolist(), strict=True)) == list(seen.values())
+        n = int(rng.integers(1, 60))
+        rows = [(pool[int(w)], int(k), int(t), int(p)) for w, k, t, p in zip(rng.integers(0, len(pool), n), rng.integers(0, 90, n), rng.integers(0, 2, n), rng.integers(0, 10**6, n), strict=True)]
+        seen += rows
+        windows = np.array([r[0] for r in rows], "S50")
+        got = family.add(suffix_levels.Level(windows, *(np.array(c, np.int64) for c in list(zip(*rows, strict=True))[1:])))
+        reported += list(zip([w.ljust(50, b"\0") for w in got.window.tolist()], got.key.tolist(), got.tid.tolist(), got.place.tolist(), strict=True))
+        sizes = [len(level) for level in family.levels]
+        assert all(x >= y for x, y in zip(sizes, sizes[1:])) and len(sizes) <= 10
+    least = {}
+    for w, k, *_ in seen:
+        least[w] = min(k, least.get(w, k))
+    assert Counter(reported) == Counter(r for r in seen if r[1] > least[r[0]])
+    assert sum(len(level) for level in family.levels) == sum(r[1] == least[r[0]] for r in seen)
+
+
+def test_result_and_moved_bytes_do_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    rows = repeats()
+    docs, fields, results, moved = make(spark, rows), ("doc_id", "n_removed", "n_spans", "kept_sha256"), [], []
+    for n in (2, 40):
+        monkeypatch.setattr(suffix_levels, "partitions", lambda spark, n=n: n)
+        results.append(Counter(tuple(r[f] for f in fields) for r in suffix_levels.repeated_spans(docs).collect()))
+    assert results[0] == results[1]
+    monkeypatch.undo()
+    texts = pa.array([r[1] for r in rows] * 20)
+    for n in (50, 4000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), texts], ["key", "tid", "text"])
+        raw = 0
+        for out in suffix_levels._anchor_blocks(n)(iter([batch])):
+            for blob in out.column("block"):
+                raw += sum(a.nbytes for a in suffix_levels._unpack(blob.as_py()).values())
+        moved.append(raw)
+    assert moved[1] < 2.5 * moved[0]  # an id for each anchor at most
 
 
 def test_anchors_of_equal_windows_are_equal(monkeypatch):
