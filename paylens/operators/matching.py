@@ -6,6 +6,9 @@ or aggregate it; Catalyst prunes the columns each one does not read. A hot
 invoice or payment (many applications on one key) is a skewed join key, which
 AQE's skew-join handling splits.
 
+The reports take the three tables, or a stored match relation (``sources.stored``) as the
+first argument and None for the others.
+
 Rules kept from the source analyses:
 * days to pay are whole days (payment date - invoice date), one row per
   application, not per invoice;
@@ -33,6 +36,10 @@ def matched(invoices: DataFrame, applications: DataFrame, payments: DataFrame) -
     return inv.join(app, "invoice_id").join(pay, "payment_id")
 
 
+def _matches(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None) -> DataFrame:
+    return invoices if applications is None else matched(invoices, applications, payments)
+
+
 def payment_status(payment_date: str = "payment_date", due_date: str = "due_date") -> F.Column:
     return F.when(F.col(payment_date) > F.col(due_date), F.lit(LATE)).otherwise(F.lit(ON_TIME))
 
@@ -42,8 +49,8 @@ def invoice_list(invoices: DataFrame, *, ordered: bool = True) -> DataFrame:
     return out.orderBy("invoice_date", "invoice_id") if ordered else out
 
 
-def match(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
-    out = matched(invoices, applications, payments).select(
+def match(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None, *, ordered: bool = True) -> DataFrame:
+    out = _matches(invoices, applications, payments).select(
         "invoice_id", "invoice_date", "payment_id", "payment_date", "applied_amount"
     )
     return out.orderBy("invoice_date", "invoice_id", "payment_id") if ordered else out
@@ -57,13 +64,13 @@ def unallocated(payments: DataFrame, applications: DataFrame, *, ordered: bool =
     return out.orderBy(F.col("amount").desc(), F.col("payment_id").asc()) if ordered else out
 
 
-def paid_before_issue(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
+def paid_before_issue(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None, *, ordered: bool = True) -> DataFrame:
     out = match(invoices, applications, payments, ordered=False).filter(F.col("payment_date") < F.col("invoice_date"))
     return out.orderBy("payment_date", "invoice_id", "payment_id") if ordered else out
 
 
-def days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
-    out = matched(invoices, applications, payments).select(
+def days_to_pay(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None, *, ordered: bool = True) -> DataFrame:
+    out = _matches(invoices, applications, payments).select(
         "invoice_id",
         "invoice_date",
         "payment_date",
@@ -72,22 +79,22 @@ def days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFram
     return out.orderBy(F.col("days_to_pay").desc(), F.col("invoice_id").asc(), F.col("payment_date").asc()) if ordered else out
 
 
-def avg_days_to_pay(invoices: DataFrame, applications: DataFrame, payments: DataFrame) -> DataFrame:
+def avg_days_to_pay(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None) -> DataFrame:
     """Mean days to pay over applications (not amount-weighted), rounded to 2 places."""
     days = days_between("payment_date", "invoice_date")
-    return matched(invoices, applications, payments).agg(F.round(F.avg(days), 2).alias("avg_days_to_pay"))
+    return _matches(invoices, applications, payments).agg(F.round(F.avg(days), 2).alias("avg_days_to_pay"))
 
 
-def timeliness(invoices: DataFrame, applications: DataFrame, payments: DataFrame, *, ordered: bool = True) -> DataFrame:
-    out = matched(invoices, applications, payments).select(
+def timeliness(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None, *, ordered: bool = True) -> DataFrame:
+    out = _matches(invoices, applications, payments).select(
         "invoice_id", "due_date", "payment_date", payment_status().alias("payment_status")
     )
     return out.orderBy("invoice_id", "payment_date") if ordered else out
 
 
-def timeliness_summary(invoices: DataFrame, applications: DataFrame, payments: DataFrame) -> DataFrame:
+def timeliness_summary(invoices: DataFrame, applications: DataFrame | None, payments: DataFrame | None) -> DataFrame:
     return (
-        matched(invoices, applications, payments)
+        _matches(invoices, applications, payments)
         .groupBy(payment_status().alias("payment_status"))
         .agg(F.count(F.lit(1)).alias("payment_count"))
     )
@@ -95,8 +102,8 @@ def timeliness_summary(invoices: DataFrame, applications: DataFrame, payments: D
 
 def timeliness_by_customer(
     invoices: DataFrame,
-    applications: DataFrame,
-    payments: DataFrame,
+    applications: DataFrame | None,
+    payments: DataFrame | None,
     customers: DataFrame,
     *,
     ordered: bool = True,
@@ -108,7 +115,7 @@ def timeliness_by_customer(
     application; the second aggregate merges namesakes.
     """
     per_id = (
-        matched(invoices, applications, payments)
+        _matches(invoices, applications, payments)
         .groupBy("customer_id", payment_status().alias("payment_status"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -123,8 +130,8 @@ def timeliness_by_customer(
 
 def slowest_paid(
     invoices: DataFrame,
-    applications: DataFrame,
-    payments: DataFrame,
+    applications: DataFrame | None,
+    payments: DataFrame | None,
     customers: DataFrame,
     n: int = 5,
 ) -> DataFrame:
@@ -136,7 +143,7 @@ def slowest_paid(
     """
     order = [F.col("days_to_pay").desc(), F.col("invoice_id").asc(), F.col("payment_id").asc()]
     top = (
-        matched(invoices, applications, payments)
+        _matches(invoices, applications, payments)
         .join(customers.select("customer_id"), "customer_id", "left_semi")
         .withColumn("days_to_pay", days_between("payment_date", "invoice_date"))
         .orderBy(*order)

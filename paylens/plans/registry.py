@@ -19,10 +19,13 @@ from paylens.sources.schemas import KEYS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+#: The same on any dataset, a stored one for example.
+REPORTS: dict[str, Callable[[Dataset], DataFrame]] = {}
 
 
 def register(key: str):
     def deco(fn: Callable[[Dataset], DataFrame]) -> Callable[[Dataset], DataFrame]:
+        REPORTS[key] = fn
         QUERIES[key] = lambda spark, root: fn(Dataset(spark, root))
         return fn
 
@@ -103,8 +106,8 @@ def _ap_aging(d: Dataset) -> DataFrame:
 
 
 # ---- matching (accounts receivable) -----------------------------------------------
-def _ar(d: Dataset) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return d.invoices(), d.cash_applications(), d.payments()
+def _ar(d: Dataset) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    return d.match_inputs()
 
 
 @register("ar_invoice_list")

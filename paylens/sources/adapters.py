@@ -235,6 +235,10 @@ class Dataset:
     def write_offs(self) -> DataFrame:
         return write_offs(self.raw("orders"))
 
+    def match_inputs(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """What the receivables reports take: invoices, applications and payments."""
+        return self.invoices(), self.cash_applications(), self.payments()
+
     DOMAIN_TABLES = (
         "transactions", "vendors", "bills", "payments_ap", "payment_applications",
         "customers", "invoices", "payments", "cash_applications", "credit_notes", "write_offs",
