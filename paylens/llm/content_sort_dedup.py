@@ -5,9 +5,10 @@ inside each range, and compared with their neighbour in full; a run of equal
 neighbours is a group. Runs that go on in the next range are joined by comparing
 the texts on both sides of each cut.
 
-The sort key is (first characters, digest, whole text, id). Cut points hold the
-first characters, the digest and an id, so their size is bounded, and a text with
-a third of all rows is cut by id into as many ranges as it fills.
+The sort key is (first characters, digest, whole text, id, tie). Cut points hold the
+first characters, the digest, an id and a tie, so their size is bounded, and a text with
+a third of all rows is cut by id into as many ranges as it fills; where the ids are null
+too, by the tie, a hash of the row's place in its file.
 """
 
 from __future__ import annotations
@@ -32,47 +33,39 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are equal when identical without blanks (null counts as empty). Of equal
     texts the row with the most code points in its original text stays, then the
     smallest id; a null id counts as greater than any other. Of repeated rows (same
-    id, same text length) one stays. An empty table gives an empty result. Other
+    id, same text length) one stays, of rows with null ids one that its place decides.
+    Texts of any length are compared whole; the two at the ends of a range are also kept
+    for the comparison across the cut. An empty table gives an empty result. Other
     columns are ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = (
-        docs.select(
-            F.col(doc_id).cast("bigint").alias("doc_id"),
-            F.length(body).alias("n_points"),
-            F.xxhash64(body).alias("text_hash"),
-            F.translate(body, BLANKS, "").alias("norm"),
-        )
-        .withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-        .withColumn("head", F.substring("norm", 1, HEAD))
-        .withColumn("id_key", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
-    )
+    base = _keys(docs, doc_id, text)
     n = partitions(spark)
-    cuts = _cuts(base, docs, n)
-    key = F.struct("head", "sha", "id_key")
-    known = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(s).alias("sha"), F.lit(i).alias("id_key")) for h, s, i in cuts])
+    cuts = _cuts(docs, doc_id, text, n)
+    key = F.struct("head", "sha", "id_key", "tie")
+    known = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(s).alias("sha"), F.lit(i).alias("id_key"), F.lit(t).alias("tie")) for h, s, i, t in cuts])
     ranged = base.withColumn("part", range_bucket(key, known, len(cuts))).repartitionById(n, F.col("part"))
-    order = W.partitionBy("part").orderBy("head", "sha", "norm", "id_key", "n_points")
+    order = W.partitionBy("part").orderBy("head", "sha", "norm", "id_key", "tie", "n_points")
     same = F.col("norm") == F.lag("norm").over(order)
     rows = ws.table(
         ranged.withColumn("same", F.coalesce(same, F.lit(False)))
         .withColumn(
             "again",
-            F.col("same") & (F.lag("id_key").over(order) == F.col("id_key")) & (F.lag("n_points").over(order) == F.col("n_points")),
+            F.col("same") & (F.lag("id_key").over(order) == F.col("id_key")) & (F.lag("tie").over(order) == F.col("tie"))
+            & (F.lag("n_points").over(order) == F.col("n_points")),
         )
         .withColumn("run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("is_first", F.row_number().over(order) == 1)
         .withColumn("is_last", F.lead("part").over(order).isNull())
         .select(
-            "doc_id", "id_key", "n_points", "text_hash", "sha", "part", "run", "again", "is_first", "is_last",
+            "doc_id", "id_key", "tie", "n_points", "text_hash", "sha", "part", "run", "again", "is_first", "is_last",
             F.when(F.col("is_first") | F.col("is_last"), F.col("norm")).alias("edge"),
         ),
         "rows",
     )
     runs = rows.groupBy("part", "run").agg(
-        F.min(F.struct((-F.col("n_points")).alias("minus"), F.col("id_key"))).alias("best"), F.count("*").alias("n")
+        F.min(F.struct((-F.col("n_points")).alias("minus"), F.col("id_key"), F.col("tie"))).alias("best"), F.count("*").alias("n")
     )
     runs = runs.join(_continued(rows), ["part", "run"], "left").select(
         "part", "run", "best", "n", F.coalesce("to_part", "part").alias("g_part"), F.coalesce("to_run", "run").alias("g_run")
@@ -84,24 +77,43 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id",
         F.when(keep != (1 << 63) - 1, keep).alias("keep_id"),
         F.col("group_size").cast("bigint").alias("group_size"),
-        ((F.col("id_key") == keep) & (F.col("n_points") == -F.col("best.minus")) & ~F.col("again")).alias("kept"),
+        ((F.col("id_key") == keep) & (F.col("tie") == F.col("best.tie")) & (F.col("n_points") == -F.col("best.minus")) & ~F.col("again")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "text_hash",
     )
 
 
-def _cuts(base: DataFrame, docs: DataFrame, n: int) -> list[tuple]:
-    """n - 1 sort keys from a sample of at most about SAMPLE_PER_RANGE keys a range."""
+def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows with normalised text and sort key."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return (
+        docs.select(
+            F.col(doc_id).cast("bigint").alias("doc_id"),
+            F.length(body).alias("n_points"),
+            F.xxhash64(body).alias("text_hash"),
+            F.translate(body, BLANKS, "").alias("norm"),
+            F.when(F.col(doc_id).isNull(), place).otherwise(0).alias("tie"),
+        )
+        .withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
+        .withColumn("head", F.substring("norm", 1, HEAD))
+        .withColumn("id_key", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    )
+
+
+def _cuts(docs: DataFrame, doc_id: str, text: str, n: int) -> list[tuple]:
+    """n - 1 sort keys from a sample of at most about SAMPLE_PER_RANGE keys a range; only
+    the sampled texts are normalised and hashed for it."""
     if n <= 1:
         return []
     count = docs.count()
     if not count:
         return []
     share = min(1.0, SAMPLE_PER_RANGE * n / count)
-    seen = base.select("head", "sha", "id_key").sample(share, seed=11) if share < 1 else base.select("head", "sha", "id_key")
-    keys = sorted((r["head"].encode(), r["sha"], r["id_key"]) for r in seen.collect())
+    seen = _keys(docs.sample(share, seed=11) if share < 1 else docs, doc_id, text).select("head", "sha", "id_key", "tie")
+    keys = sorted((r["head"].encode(), r["sha"], r["id_key"], r["tie"]) for r in seen.collect())
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
-    return [(h.decode(), s, i) for h, s, i in cuts]
+    return [(h.decode(), s, i, t) for h, s, i, t in cuts]
 
 
 def _continued(rows: DataFrame) -> DataFrame:

@@ -1,20 +1,19 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
-Each paragraph (a non-empty line) is hashed to a wide vector; a document's
-fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo a power of
-two. The order of paragraphs does not matter, and adding or removing paragraphs
+Each paragraph (a non-empty line, or a sentence of it: a line is also cut after a full
+stop, exclamation or question mark before a blank) is hashed to a wide vector; a
+document's fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo a
+power of two. The order of paragraphs does not matter, and adding or removing paragraphs
 adds or subtracts their vectors without reading the rest.
 
 The vector has ``WIDE`` lanes of 56 bits, in which every paragraph has a value, and
-``SPOTS`` lanes of 16 bits, in which a paragraph has a value in one lane only. The
-first make fingerprints of different multisets differ; the second tell how much two
-documents share: lanes that no differing paragraph falls into stay equal. With more
-than a few dozen differing paragraphs no lane does.
+``SPOTS`` lanes of 16 bits, in which a paragraph has a value in one lane only; they make
+fingerprints of different multisets differ.
 
-What long documents share is told by sparse lanes: a paragraph falls into level k with
+What two documents share is told by sparse lanes: a paragraph falls into level k with
 a probability of 2^-(k+1), and there into one of ``SPARSE`` lanes, which hold a count
-and a sum of values. They are added and subtracted like the fingerprint, and some
-level always has few differing lanes.
+and a sum of values. They are added and subtracted like the rest of the fingerprint, and
+some level always has few differing lanes, however long the documents are.
 
 Built-in functions only; everything but the neighbour's text is local to a row.
 """
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from paylens.llm.ranges import number_cuts, range_bucket
 from paylens.llm.workspace import partitions
 
+SENTENCE_END = "([.!?]) "
 WIDE, WIDE_HEX = 4, 14
 SPOTS, SPOT_HEX = 32, 4
 LEVELS, SPARSE, SPARSE_BITS = 24, 256, 40
@@ -42,8 +42,8 @@ def _modulus(lane: Column) -> Column:
 
 
 def paragraph_values(text: Column) -> Column:
-    """Per non-empty line: its values in the wide lanes, its spot and its value there."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
+    """Per paragraph: its values in the wide lanes, its spot and its value there."""
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n"), lambda p: p != "")
     digests = F.transform(lines, lambda p: F.sha2(p.cast("binary"), 256))
     return F.transform(
         digests,
@@ -90,20 +90,6 @@ def to_text(vector: Column) -> Column:
     return F.array_join(digits, "")
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """1 for equal fingerprints; else, of the spot lanes that either uses, the share
-    in which both are equal. About the share of common paragraphs while fewer differ
-    than there are lanes; it falls to 0 for more, which ``shared`` is for."""
-    pairs = F.filter(
-        F.arrays_zip(F.slice(left, WIDE + 1, SPOTS).alias("a"), F.slice(right, WIDE + 1, SPOTS).alias("b")),
-        lambda p: (p["a"] != 0) | (p["b"] != 0),
-    )
-    same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    return F.when(left == right, F.lit(1.0)).otherwise(
-        F.when(F.size(pairs) == 0, F.lit(0.0)).otherwise(same.cast("double") / F.size(pairs))
-    )
-
-
 def _bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -214,15 +200,18 @@ def with_next_in_order(docs: DataFrame, doc_id: str, carry: list[str], tie: str,
     """Each row with ``next_<c>`` of the row after it in descending ``doc_id`` (nulls
     last, ties by ``tie``); the first row comes after the last.
 
-    Ids are cut into ranges (percentiles), one per partition; inside a range the
-    next row is a ``lead``. Each range also gets a copy of the row that follows it.
+    Ids are cut into ranges (percentiles), null ids into ranges of the tie, one per
+    partition; inside a range the next row is a ``lead``. Each range also gets a copy of the row that follows it.
     The driver holds one id per range. ``compute`` columns are added after the
     shuffle, so that they are not part of it.
     """
     n = partitions(docs.sparkSession)
     cuts = number_cuts(docs, doc_id, n)
     known = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(range_bucket(F.col(doc_id), known, len(cuts)) + 1)
+    # null ids come last, in ranges of their ties, which are hashes
+    nulls = max(1, n // 3)
+    nth = F.least(F.floor((F.col(tie).cast("double") / 2.0**64 + 0.5) * nulls), F.lit(nulls - 1))
+    bucket = F.when(F.col(doc_id).isNull(), nulls - 1 - nth).otherwise(range_bucket(F.col(doc_id), known, len(cuts)) + nulls).cast("int")
     own = docs.withColumn("_bucket", bucket).withColumn("_copy", F.lit(False))
     tops = own.groupBy("_bucket").agg(F.max(doc_id).alias("top")).orderBy(F.desc("_bucket")).collect()
     if not tops:
@@ -243,7 +232,7 @@ def with_next_in_order(docs: DataFrame, doc_id: str, carry: list[str], tie: str,
         )
         follows = own.unionByName(copies)
     order = W.partitionBy("_bucket").orderBy("_copy", F.col(doc_id).desc_nulls_last(), tie)
-    spread = follows.repartitionById(n + 1, F.col("_bucket"))
+    spread = follows.repartitionById(n + nulls, F.col("_bucket"))
     for name, value in compute.items():
         spread = spread.withColumn(name, value)
     for c in carry:
@@ -253,16 +242,15 @@ def with_next_in_order(docs: DataFrame, doc_id: str, carry: list[str], tie: str,
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, shared_edited,
-    shared_next.
+    edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 3) characters replaced by the
     first as many (or all) of the next document in descending id. ``near_*`` is the
-    likeness to the edited text's and the next document's fingerprint; ``shared_*`` is
-    the share of common paragraphs, which holds at every length.
+    likeness to the edited text's and the next document's fingerprint: the share of
+    common paragraphs that their sparse lanes tell (``shared``).
 
     Null text counts as empty; a text without a non-empty line has the zero
-    fingerprint. Null ids come last; rows of equal id are ordered by a hash of
+    fingerprint. Very long texts are hashed whole. Null ids come last; rows of equal id are ordered by a hash of
     their text. A single row is its own next. An empty table gives an empty result.
     Other columns are ignored.
     """
@@ -272,7 +260,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     paired = with_next_in_order(
         base,
         "doc_id",
-        ["text", "vector", "lanes"],
+        ["text", "lanes"],
         "tie",
         {"vals": paragraph_values(F.col("text")), "vector": fingerprint_vector(F.col("vals")), "lanes": sparse_lanes(F.col("vals"))},
     )
@@ -282,7 +270,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         "vector",
-        "next_vector",
         "lanes",
         "next_lanes",
         F.concat(F.substring(F.col("text"), F.lit(1), n - swap), F.substring(F.col("next_text"), F.lit(1), swap)).alias("edited"),
@@ -299,8 +286,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "edited_sha256",
         to_text(F.col("vector")).alias("fingerprint"),
         to_text(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-        likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
-        shared(F.col("lanes"), F.col("edited_lanes")).alias("shared_edited"),
-        shared(F.col("lanes"), F.col("next_lanes")).alias("shared_next"),
+        shared(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        shared(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
     )

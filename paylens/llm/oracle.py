@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paylens.llm.mixing import ODD_CHARS
-from paylens.llm.multiset_hash import SPOT_HEX, SPOTS, WIDE, WIDE_HEX
+from paylens.llm.multiset_hash import LEVELS, SPARSE, SPARSE_BITS, SPOT_HEX, SPOTS, WIDE, WIDE_HEX
 
 
 def _hilbert(bits: int = 4) -> str:
@@ -83,16 +83,10 @@ def _multiset() -> str:
         for s in range(SPOTS)
     )
 
-    def vectors(source: str, column: str) -> str:
-        return f"""
-  SELECT o.{column} AS body, list_concat([{wide}], [{spots}]) AS v
-  FROM (SELECT DISTINCT {column} FROM {source}) o LEFT JOIN (
-    SELECT {column}, sha256(p) AS h FROM (SELECT {column}, unnest(string_split({column}, chr(10))) AS p FROM (SELECT DISTINCT {column} FROM {source})) WHERE p <> ''
-  ) l ON o.{column} = l.{column} GROUP BY o.{column}"""
-
-    like = """CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN len([1 FOR i IN range({w} + 1, {e} + 1) IF {a}[i] <> 0 OR {b}[i] <> 0]) = 0 THEN 0.0::DOUBLE
-    ELSE len([1 FOR i IN range({w} + 1, {e} + 1) IF ({a}[i] <> 0 OR {b}[i] <> 0) AND {a}[i] = {b}[i]])::DOUBLE
-      / len([1 FOR i IN range({w} + 1, {e} + 1) IF {a}[i] <> 0 OR {b}[i] <> 0]) END"""
+    paragraphs = """SELECT body, sha256(p) AS h FROM (
+    SELECT body, unnest(string_split(regexp_replace(body, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS p FROM bodies) WHERE p <> ''"""
+    part = "('0x' || substr(h, {}, " + str(WIDE_HEX) + "))::BIGINT"
+    low, top = (1 << SPARSE_BITS) - 1, 1 << LEVELS - 1
     text = "array_to_string([lpad(lower(to_hex({v}[i])), CASE WHEN i <= {w} THEN {l} ELSE {s} END, '0') FOR i IN range(1, {e} + 1)], '')"
     shape = {"w": WIDE, "e": WIDE + SPOTS, "l": WIDE_HEX, "s": SPOT_HEX}
     return f"""
@@ -101,11 +95,35 @@ paired AS (
   SELECT *, coalesce(lead(body) OVER (ORDER BY doc_id DESC), first_value(body) OVER (ORDER BY doc_id DESC)) AS next_body FROM d
 ), edits AS (
   SELECT *, substr(body, 1, n - n // 3) || CASE WHEN n // 3 > 0 THEN substr(next_body, 1, n // 3) ELSE '' END AS edited FROM paired
-), own AS ({vectors('edits', 'body')}), changed AS ({vectors('edits', 'edited')})
+), bodies AS (SELECT body FROM edits UNION SELECT edited FROM edits),
+p AS ({paragraphs}),
+prints AS (
+  SELECT o.body, list_concat([{wide}], [{spots}]) AS v FROM bodies o LEFT JOIN p ON o.body = p.body GROUP BY o.body
+), placed AS (
+  SELECT body, {part.format(1)} | {top} AS bits, {part.format(1 + WIDE_HEX)} & {SPARSE - 1} AS spot, {part.format(1 + 2 * WIDE_HEX)} & {low} AS value FROM p
+), lanes AS (
+  SELECT body, bit_count((bits & -bits) - 1)::INT AS level, spot, count(*) AS c, sum(value)::HUGEINT & {low} AS v FROM placed GROUP BY body, level, spot
+), pairs AS (SELECT body AS a, edited AS b FROM edits UNION SELECT body, next_body FROM edits),
+turned AS (
+  SELECT a, b, level, spot, c, v, c AS t FROM pairs JOIN lanes ON body = a
+  UNION ALL SELECT a, b, level, spot, -c, -v, c FROM pairs JOIN lanes ON body = b
+), lane AS (
+  SELECT a, b, level, sum(t) AS t, CASE WHEN sum(c) <> 0 THEN abs(sum(c)) WHEN sum(v) % {1 << SPARSE_BITS} <> 0 THEN 2 ELSE 0 END AS x FROM turned GROUP BY a, b, level, spot
+), by_level AS (SELECT a, b, level, sum(t) AS t, sum(x)::DOUBLE AS x, count_if(x > 0) AS used FROM lane GROUP BY a, b, level),
+base AS (
+  SELECT a, b, sum(t)::DOUBLE AS total, least(max(CASE WHEN used > {SPARSE // 4} THEN level + 1 ELSE 0 END), {LEVELS - 1}) AS k FROM by_level GROUP BY a, b
+), sparse AS (SELECT a, b, total, k, coalesce(sum(x) FILTER (level >= k), 0) AS seen FROM base JOIN by_level USING (a, b) GROUP BY a, b, total, k),
+guess AS (
+  SELECT s.a, s.b, any_value(total) AS total, any_value(seen) + coalesce(sum(greatest(coalesce(x, 0), seen * pow(2.0, s.k - j - 1))), 0) AS differ
+  FROM (SELECT *, unnest(CASE WHEN k > 0 THEN range(0, k) ELSE [NULL] END) AS j FROM sparse) s
+  LEFT JOIN by_level l ON l.a = s.a AND l.b = s.b AND l.level = s.j GROUP BY s.a, s.b
+), likes AS (
+  SELECT p.a, p.b, CASE WHEN total IS NULL THEN 1.0 ELSE greatest(0.0, total - differ) / (total + differ) END::DOUBLE AS near FROM pairs p LEFT JOIN guess g ON g.a = p.a AND g.b = p.b
+)
 SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256,
-  {text.format(v='a.v', **shape)} AS fingerprint, {text.format(v='c.v', **shape)} AS edited_fingerprint,
-  {like.format(a='a.v', b='c.v', **shape)} AS near_edited, {like.format(a='a.v', b='b.v', **shape)} AS near_next
-FROM edits e JOIN own a ON a.body = e.body JOIN own b ON b.body = e.next_body JOIN changed c ON c.body = e.edited"""
+  {text.format(v='x.v', **shape)} AS fingerprint, {text.format(v='y.v', **shape)} AS edited_fingerprint, l.near AS near_edited, m.near AS near_next
+FROM edits e JOIN prints x ON x.body = e.body JOIN prints y ON y.body = e.edited
+JOIN likes l ON l.a = e.body AND l.b = e.edited JOIN likes m ON m.a = e.body AND m.b = e.next_body"""
 
 
 EXACT = r"""
