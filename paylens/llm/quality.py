@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from paylens.llm.workspace import Workspace, ship_package
 
 SAMPLE_ROWS = 16_000
+SAMPLE_FEATURES = 4096
 WORD_BITS = 18
 SHAPE_BINS = 12
 ROUNDS, RATE, RIDGE = 200, 0.05, 1e-4
@@ -118,11 +119,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> np.
     return out.astype(np.float32)
 
 
+def bounded(found: np.ndarray, most: int) -> np.ndarray:
+    """The features a model is fitted on: all, or of very many words ``most`` spread evenly
+    over their numbers (which are hashes), and all shapes."""
+    words, rest = found[: -SHAPES - 1], found[-SHAPES - 1 :]
+    if len(words) <= most:
+        return found
+    words = np.sort(words)
+    return np.concatenate([words[np.arange(most) * len(words) // most], rest])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> list:
     """(id, features, quality, toxic) of at most ``rows`` labelled documents, chosen by a
     hash of their id among those that ``docs`` has. Of several rows of an id the one
     with the smallest hash of its text counts. The chosen ids, ``rows`` at most, are
-    broadcast."""
+    broadcast; what the driver collects is bounded by ``rows`` times ``SAMPLE_FEATURES``
+    numbers, however long the texts are. Scoring reads all features of every text."""
     ship_package(docs.sparkSession)
     complete = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     complete = complete.select(
@@ -134,7 +146,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(v.as_py() or "").tobytes() for v in batch.column("text")]
+            found = [bounded(features(v.as_py() or ""), SAMPLE_FEATURES).tobytes() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("l_id"), pa.array(found, pa.binary()), batch.column("quality"), batch.column("toxic")],
                 ["l_id", "features", "quality", "toxic"],

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import importlib.util
+import math
 import os
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -42,6 +44,68 @@ def test_sparse_sites_shrink_to_the_whole(spark):
     assert abs(got[1001]["path_quality"] - got[1]["path_quality"]) < 0.1
 
 
+MANY_WORDS = " ".join("".join(chr(97 + j // 26**k % 26) for k in range(4)) for j in range(30_000))
+
+
+def _pooled(rows, name):
+    """Host and path rates and pooled log odds of each row, by hand."""
+    p = [r[f"own_{name}"] for r in rows]
+    n, whole = len(p), (sum(p) + 0.5) / (len(p) + 1)
+    groups = [defaultdict(list), defaultdict(list)]
+    for r, x in zip(rows, p, strict=True):
+        groups[0][r["host"]].append(x)
+        groups[1][r["host"], r["path"]].append(x)
+
+    def strength(sites, centre):
+        noise = whole * (1 - whole)
+        spread = sum(len(v) * (sum(v) / len(v) - centre(k)) ** 2 for k, v in sites.items())
+        between = (spread - (len(sites) - 1) * noise) / max(1.0, n - sum(len(v) ** 2 for v in sites.values()) / n)
+        if len(sites) < 2 or between <= 0:
+            return 1e4
+        return min(1e4, max(2.0, noise / between - 1))
+
+    mean = lambda v: sum(v) / len(v)
+    a = strength(groups[0], lambda k: whole)
+    b = strength(groups[1], lambda k: mean(groups[0][k[0]]))
+    clip = lambda x: min(1 - 1e-6, max(1e-6, x))
+    out = []
+    for r, x in zip(rows, p, strict=True):
+        host, path = groups[0][r["host"]], groups[1][r["host"], r["path"]]
+        h = clip((sum(host) - x + a * whole) / (len(host) - 1 + a))
+        s = clip((sum(path) - x + b * h) / (len(path) - 1 + b))
+        own = math.log(x / (1 - x))
+        out.append((h, s, own - math.log(whole / (1 - whole)) + math.log(s / (1 - s))))
+    return out
+
+
+def test_rates_and_decisions_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        site = rng.choice(["a", "a", "b", "c", None])
+        good = rng.random() < {"a": 0.9, "b": 0.3}.get(site, 0.6)
+        text = " ".join(rng.choice(["good", "fine", "words", "here"] if good else ["||", "$$", "bad", "%%"]) for _ in range(rng.randint(1, 30)))
+        rows.append((i if i % 50 else None, text, rng.choice(["en", "fr", None]), site))
+    rows.append((700, MANY_WORDS, "en", "rare"))  # a very long text
+    known = labels(spark, [(i, int("good" in r[1] or "fine" in r[1]), int("bad" in r[1]), "x", 0) for i, r in enumerate(rows[:300]) if r[0] is not None])
+    got = quality.classify(make(spark, rows), known).collect()
+    assert len(got) == len(rows)
+    by_hand = {name: _pooled(got, name) for name in ("quality", "toxic")}
+    for i, r in enumerate(got):
+        for name in ("quality", "toxic"):
+            host, path, odds = by_hand[name][i]
+            assert r[f"host_{name}"] == pytest.approx(host, abs=1e-6) and r[f"path_{name}"] == pytest.approx(path, abs=1e-6)
+            assert r[name] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds)))), abs=1e-5)
+        assert r["kept"] == (r["quality"] > 0.5 and r["toxic"] < 0.5) or not r["kept"]
+    assert 0 < sum(r["kept"] for r in got) < len(got)
+
+
+def test_features_fitted_on_are_bounded():
+    long = quality.features(MANY_WORDS)
+    few = quality.bounded(long, 100)
+    assert len(few) == 100 + quality.SHAPES + 1 and set(few) <= set(long) and quality.bounded(few, 100) is few
+
+
 def test_edges(spark, edge, empty):
     none = labels(spark, [(None, 1, 0, "x", 0), (100, None, 0, "x", 0)])
     some = labels(spark, [(76, 1, 0, "x", 0), (76, 1, 0, "x", 0), (100, 0, 0, "x", 0), (97, 0, 1, None, None), (9999, 1, 1, "x", 0)])
