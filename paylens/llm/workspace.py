@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +40,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/paylens-llm/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/paylens-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self.path)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -61,9 +63,27 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete one table of this run (its readers must have finished)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.folder(name))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """A point in time for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, point: int) -> None:
+    """Delete the tables of all operators called since ``mark`` returned ``point``; results
+    that still read them must have been written before. The package that workers import
+    stays."""
+    for folder in _MADE[point:]:
+        if "/package-" not in folder:
+            _delete(spark, folder)
+    del _MADE[point:]
 
 
 def partitions(spark: SparkSession) -> int:
