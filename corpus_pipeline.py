@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from paylens.llm import bpe_codec, content_sort_dedup, hamming_join, mixing, quality
 from paylens.llm.content_sort_dedup import BLANKS
 from paylens.llm.queries import vocabulary
-from paylens.llm.workspace import Workspace
+from paylens.llm.workspace import Workspace, drop_since, mark
 
 #: The stages train a model and follow links between whole sets: no SQL says the same.
 ORACLE_SQL = None
@@ -115,9 +115,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each one's rows are written and read again."""
+    """All stages over the documents table; each one's rows are written and read again, and
+    what only a finished stage needed is deleted. The last stage's input stays."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    before = ""
     for name, stage in STAGES[:-1]:
+        point = mark()
         docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(spark, point)
+        if before:
+            ws.drop(before)
+        before = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,10 +67,9 @@ def _windowed_counts(tx: DataFrame, hours: float, when: F.Column | None, user: s
     windows = _windows(tx, hours, counted, user, ts)
     near = _near_the_edge(tx if when is None else tx.where(when), windows, user, ts)
     seconds = near.groupBy("r_u", "_hour", "_second").agg(F.count(F.lit(1)).alias("_k"))
-    bounds = windows.select(F.col("_u").alias("e_u"), "_from", "_edge")
-    inside = F.col("r_u").eqNullSafe(F.col("e_u")) & (F.col("_hour") == F.col("_edge")) & (F.col("_second") >= F.col("_from"))
-    edge = seconds.join(bounds, inside).groupBy(F.col("e_u").alias("k_u")).agg(F.sum("_k").alias("_part"))
-    return windows.join(edge, F.col("_u").eqNullSafe(F.col("k_u")), "left").select("_u", (F.col("_full") + F.coalesce("_part", F.lit(0))).alias("_count"))
+    inside = F.col("_u").eqNullSafe(F.col("r_u")) & (F.col("_edge") == F.col("_hour")) & (F.col("_second") >= F.col("_from"))
+    edge = F.coalesce(F.sum("_k"), F.lit(0))
+    return windows.join(seconds, inside, "left").groupBy("_u").agg((F.max("_full") + edge).alias("_count"))
 
 
 def with_hours_from_last(df: DataFrame, *, user: str = "user_id", ts: str = "transaction_time") -> DataFrame:
