@@ -282,6 +282,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
         .select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "length", "first")
     )
     archives = responses.union(revisits) if min_bytes <= 0 else responses.union(small).union(revisits)
+    # no more tasks than full archives, so that a small table is not thousands of tiny files
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(spark.sparkContext.defaultParallelism, size // ARCHIVE_BYTES)
+    if tasks < partitions(spark):
+        archives = archives.coalesce(tasks)
     packed = archives.mapInArrow(_pack, "archive binary")
     packed.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
