@@ -42,7 +42,7 @@ DOMAIN = {
     l_extendedprice::DECIMAL(18,2) AS applied_amount, l_shipdate::DATE AS applied_date FROM lineitem""",
     "credit_notes": f"""SELECT l_orderkey * 10 + l_linenumber AS credit_note_id,
     CASE l_linenumber WHEN {A.MISTYPED_LINE} THEN {A.MISTYPED_BY} ELSE 1 END * l_orderkey AS invoice_id, l_shipdate::DATE AS credit_date,
-    (l_extendedprice * l_discount)::DECIMAL(18,2) AS amount, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'adjusted' END AS reason,
+    (l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(4,2))::DECIMAL(18,2) AS amount, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'adjusted' END AS reason,
     l_linestatus AS created_by FROM lineitem""",
     "write_offs": """SELECT o_orderkey AS write_off_id, o_orderkey AS invoice_id,
     IF(o_orderstatus = 'F', o_orderdate::DATE + 365, NULL) AS write_off_date, o_totalprice::DECIMAL(18,2) AS amount FROM orders""",

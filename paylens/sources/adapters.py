@@ -170,7 +170,7 @@ def credit_notes(lineitem: DataFrame) -> DataFrame:
         "l_orderkey * 10 + l_linenumber AS credit_note_id",
         f"IF(l_linenumber = {MISTYPED_LINE}, l_orderkey * {MISTYPED_BY}, l_orderkey) AS invoice_id",
         "to_date(l_shipdate) AS credit_date",
-        "CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS amount",
+        "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS amount",
         "CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'adjusted' END AS reason",
         "l_linestatus AS created_by",
     )
