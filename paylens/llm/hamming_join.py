@@ -15,13 +15,14 @@ Only components are asked for, so no group's pairs are listed:
 * a shingle that no other candidate has cannot be shared; a node with more than 15%
   of such shingles has no link at all;
 * under each key all nodes are compared in full with one of them, the leader;
-* a key whose nodes are in one component by then is settled. Under the others, two
-  nodes of different components are compared in full unless what is known rules
-  the link out. The symmetric difference of two sets is bounded from below by the
-  shingles without a second owner on either side plus the difference in how much of
-  the leader they lack, and by the differing bits of two parity sketches: a bit is
-  the parity of the number of shingles hashed to it, so each differing bit takes a
-  differing shingle.
+* a key whose nodes are in one component by then is settled. The nodes of the others
+  meet once more, by an exact prefix join: in an order of all shingles by their number
+  of owners, the rarest first, two sets with a link share one of their first shingles
+  (a set of n lacks at most n - percent of n of them). Nodes of different components
+  that share such a shingle, and have enough shingles left after it, are compared in
+  full unless parity sketches rule the link out: a bit is the parity of the number of
+  shingles hashed to it, so each differing bit takes a differing shingle. Nodes of one
+  component are never paired.
 
 No bound, cap or sample decides a link; links are confirmed on whole sets.
 """
@@ -34,6 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paylens.llm.components import components
@@ -225,32 +227,52 @@ def _links(base: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> Da
     near = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
     first = star.filter(near).select("a", "b")
     labels = components(first, ws, "star")
-    marked = (
-        led.filter("node <> leader")
-        .join(star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (F.col("n_a") - F.col("common")).alias("lacks")), ["leader", "node"])
-        .join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
+    marked = led.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    sketch = [f"p{i}" for i in range(PARITY_WORDS)]
-    rest = ws.table(
-        marked.join(open_keys, "key").select("key", "node", "n", "alone", "lacks", "component").join(sets.select("node", *sketch), "node"),
-        "rest",
+    unsettled = ws.table(marked.join(open_keys, "key", "left_semi").select("node", "component").distinct(), "open")
+    pairs = _prefix_pairs(unsettled, sets, percent, ws)
+    second = _compared(pairs, sets).filter(near).select("a", "b")
+    return ws.table(first.union(second), "links")
+
+
+def _prefix_pairs(unsettled: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """(a, b): every pair of nodes (node, component) with a link between different
+    components, and others that neither places nor sketches rule out.
+
+    Each set is read from its rarest shingle on; ``left`` is the number of shingles from
+    one to the end. Shingles that no other node has come first and meet nothing. A linked
+    pair's first common shingle leaves at least the size of the intersection in both sets.
+    """
+    grams = unsettled.join(sets.select("node", "n", "shingles"), "node").select("node", "component", "n", F.explode("shingles").alias("s"))
+    owners = grams.groupBy("s").agg(F.count("*").alias("owners")).filter("owners > 1")
+    commonest_first = W.partitionBy("node").orderBy(F.desc("owners"), F.desc("s"))
+    prefix = ws.table(
+        grams.join(owners, "s")
+        .withColumn("left", F.row_number().over(commonest_first).cast("bigint"))
+        .filter(f"100 * left >= {percent} * n")
+        .select("s", "node", "component", "n", "left"),
+        "prefix",
     )
-    left = rest.select("key", *[F.col(c).alias(f"l_{c}") for c in rest.columns if c != "key"])
-    # both differences are at most what a link allows
-    allowed = f"(100 - {percent}) * (l_n + n)"
-    unlike = " + ".join(f"bit_count(l_{p} ^ {p})" for p in sketch)
-    pairs = (
-        left.join(rest, "key")
-        .filter("l_node < node and l_component <> component")
-        .filter(f"(100 + {percent}) * (l_alone + alone + abs(l_lacks - lacks)) <= {allowed}")
-        .filter(f"(100 + {percent}) * ({unlike}) <= {allowed}")
-        .select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+    groups = prefix.groupBy("s", "component").agg(F.max("left").alias("left"), F.min("n").alias("n"))
+    others = groups.select(F.col("s").alias("o_s"), F.col("component").alias("other"), F.col("left").alias("o_left"), F.col("n").alias("o_n"))
+    enough = f"(100 + {percent}) * least(left, o_left) >= {percent} * (n + o_n)"
+    meeting = groups.join(others, F.expr("s = o_s AND component < other")).filter(enough).select("s", "component", "other")
+    low = prefix.select("s", "component", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    high = prefix.select("s", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    met = (
+        meeting.join(low, ["s", "component"])
+        .join(high, ["s", "other"])
+        .filter(f"(100 + {percent}) * least(left_a, left_b) >= {percent} * (n_a + n_b)")
+        .select("a", "b", "n_a", "n_b")
         .distinct()
     )
-    second = _compared(pairs, sets).filter(near).select("a", "b")
-    return ws.table(first.union(second), "links")
+    sketch = [f"p{i}" for i in range(PARITY_WORDS)]
+    unlike = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in sketch)
+    of_a = sets.select(F.col("node").alias("a"), *[F.col(p).alias(f"a_{p}") for p in sketch])
+    of_b = sets.select(F.col("node").alias("b"), *[F.col(p).alias(f"b_{p}") for p in sketch])
+    # both differences are at most what a link allows
+    like = met.join(of_a, "a").join(of_b, "b").filter(f"(100 + {percent}) * ({unlike}) <= (100 - {percent}) * (n_a + n_b)")
+    return like.select("a", "b")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:

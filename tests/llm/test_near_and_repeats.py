@@ -66,6 +66,37 @@ def test_components_equal_brute_force(spark, rows, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_unsettled_nodes_meet_on_rare_shingles_only(spark):
+    """A template that 120 texts share to 70% and one family of small edits: every link between
+    different components is paired, none within one, and of the template's texts next to none."""
+    rng = random.Random(11)
+    template = words(rng, 140).split(" ")
+    texts = [" ".join([*template, *words(rng, 60).split(" ")]) for _ in range(120)]
+    base = words(rng, 160).split(" ")
+    for i in range(80):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
+    component = [*range(120), *[120 + (i % 2) for i in range(80)]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node bigint, text string")
+    sets = rows.mapInArrow(
+        hamming_join._sets, "node bigint, shingles array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(hamming_join.PARITY_WORDS))
+    ).selectExpr("*", "CAST(size(shingles) AS BIGINT) AS n")
+    open_nodes = spark.createDataFrame(list(enumerate(component)), "node bigint, component bigint")
+    hamming_join.ship_package(spark)
+    pairs = hamming_join._prefix_pairs(open_nodes, sets, 85, hamming_join.Workspace(spark, "test"))
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    full = [shingles(t) for t in texts]
+    linked = {
+        (i, j) for i in range(len(texts)) for j in range(len(texts))
+        if component[i] < component[j] and 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])
+    }
+    assert linked and linked <= got
+    assert all(component[a] < component[b] for a, b in got)
+    assert not [p for p in got if p[0] < 120]
+
+
 def test_no_documents(empty):
     assert hamming_join.near_components(empty).count() == 0
     assert suffix_levels.repeated_spans(empty).count() == 0
