@@ -176,10 +176,10 @@ def _frame(hours: int) -> str:
 
 def _kinds_in(column: str, hours: int, least: int, name: str, end: str = "") -> str:
     return _on("tx", f""", seen AS (
-  SELECT user_id, transaction_time, list({column}) {_frame(hours)} AS kinds
+  SELECT user_id, transaction_time, count(DISTINCT {column}) {_frame(hours)} AS {name}
   FROM tx WHERE user_id IS NOT NULL AND transaction_time IS NOT NULL
-), counted AS (SELECT DISTINCT user_id, transaction_time, len(list_distinct(kinds))::BIGINT AS {name} FROM seen)
-SELECT * FROM counted WHERE {name} >= {least}{end}""")
+)
+SELECT DISTINCT * FROM seen WHERE {name} >= {least}{end}""")
 
 
 ORACLE |= {
