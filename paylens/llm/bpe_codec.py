@@ -93,8 +93,9 @@ def encode(
     Ids are those of the tokenizers library without added special tokens; special
     strings in a text become their ids. Ids are then decoded, with no token left
     out. Null text counts as empty (no tokens, the empty decoded text). Repeated
-    rows are encoded each; any id type and null ids pass through. An empty table
-    gives an empty result. Other columns are ignored.
+    rows are encoded each; any id type and null ids pass through. A very long text is
+    encoded whole in one task, whose memory follows its length; a very long word is merged
+    in n log n steps and not cached. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -140,8 +140,9 @@ def near_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     texts, and all rows that bear the component's id are kept. Null ids take part;
     they are never a component's id unless all its ids are null. ``chosen`` are the
     rows of one (doc_id, text_hash) of each component: its smallest id, nulls last,
-    and of that the smallest hash; rows equal in both are all chosen. An empty table
-    gives an empty result. Other columns are ignored.
+    and of that the smallest hash; rows equal in both are all chosen. The set of a very
+    long text is whole: eight bytes a distinct shingle in one row. An empty table gives an
+    empty result. Other columns are ignored.
     """
     chunk_size(percent)
     spark = docs.sparkSession

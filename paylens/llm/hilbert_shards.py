@@ -141,8 +141,9 @@ def hilbert_shards(
     Null text has size 8 and crc32 0 (as the empty text); a null id, source or
     language is in its dimension's last cell. Ties in (curve_index, doc_id, size,
     crc32) take any order, drawn once and written down; rows equal in all of these
-    are interchangeable in the result. An empty table gives an empty result. Other
-    columns are ignored, whatever their names.
+    are interchangeable in the result. Of a text of any length only size and checksum move
+    on. An empty table gives an empty result. Other columns are ignored, whatever their
+    names.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law!r}")

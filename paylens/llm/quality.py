@@ -184,8 +184,9 @@ def classify(
     paths are a site of their own. Null text counts as empty; a document without
     words is not kept. Repeated rows each count in their site's rate. Labels with a
     null or for unknown ids are not used; of several labels of an id one is, and of
-    several rows of a labelled id one is fitted on. Without labels all scores are 0.5 and nothing is kept. An empty table gives an empty result.
-    Other columns are ignored.
+    several rows of a labelled id one is fitted on. Without labels all scores are 0.5 and
+    nothing is kept. Very long texts are scored by all their features. An empty table gives
+    an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)

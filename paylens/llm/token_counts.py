@@ -71,8 +71,8 @@ def token_counts(
 
     Counts are those of the tokenizers library without added special tokens; a
     special string in a text is one token. Null text counts as empty: 0 bytes, 0
-    tokens. Repeated rows and null ids pass through. An empty table gives an empty
-    result. Other columns are ignored.
+    tokens. Repeated rows and null ids pass through. A very long text is counted whole in
+    one task, whose memory follows its length. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     words = bpe.frequent_words(docs, vocabulary, table_words, WORDS_PER_TASK, text)
