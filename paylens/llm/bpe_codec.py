@@ -24,7 +24,7 @@ from paylens.llm.workspace import Workspace, ship_package
 
 LEXICON_WORDS = 50_000
 WORDS_PER_TASK = 20_000
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 250_000
 
 _OPEN: dict[tuple, "Encoder"] = {}
 

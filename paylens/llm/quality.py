@@ -46,7 +46,7 @@ _HASHED: dict[str, int] = {}
 def _word(word: str) -> int:
     found = _HASHED.get(word)
     if found is None:
-        if len(_HASHED) > 500_000:
+        if len(_HASHED) > 100_000:
             _HASHED.clear()
         found = _HASHED[word] = zlib.crc32(word.encode("utf-8")) >> (32 - WORD_BITS)
     return found
